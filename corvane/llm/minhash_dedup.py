@@ -218,3 +218,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` (all columns) that ``near_duplicates`` keeps, one per id; rows without an id stay unless dropped ones."""
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    left = docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return left.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -5,18 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm import embedding_dedup, licenses, minhash_dedup, mixing, nearest, packing, quality, secrets, span_dedup, toxicity
 from corvane.llm._common import table
 
 
-def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.minhash_dedup import near_duplicates
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
 
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_dedup": op10_minhash_dedup,
+    f.__name__: f
+    for f in (op1_packing, op2_toxicity, op3_embedding_dedup, op4_mixing, op5_span_dedup, op6_secret_scan, op7_nearest, op8_quality, op9_licenses, op10_minhash_dedup)
 }
 
-ORACLE: dict[str, str] = {}
+#: Queries that SQL expresses; the others are tested against brute force.
+ORACLE: dict[str, str] = {"op9_licenses": licenses.oracle()}

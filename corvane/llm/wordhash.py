@@ -63,32 +63,36 @@ def _weights(n: int) -> np.ndarray:
     return _POW
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, in order, and the number of words of each text."""
+def scan_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts, in order: hashes and first bytes in the batch's buffer; the buffer; words of each text.
+
+    The buffer holds the texts as UTF-8, each with a space behind it.
+    """
     rows = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     counts = np.zeros(len(rows), dtype=np.int64)
-    if not rows:
-        return np.zeros(0, np.uint64), counts
-    raw = np.frombuffer(b" ".join([*rows, b""]), dtype=np.uint8)
-    if len(raw) == 0:
-        return np.zeros(0, np.uint64), counts
-    space = _SPACE[raw]
+    whole = np.frombuffer(b" ".join([*rows, b""]), dtype=np.uint8)
+    space = _SPACE[whole]
     start = ~space
     start[1:] &= space[:-1]
     starts = np.flatnonzero(start)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), starts, whole, counts
     bounds = np.cumsum([len(r) + 1 for r in rows])
     counts = np.diff(np.searchsorted(starts, bounds, side="left"), prepend=0)
     # place of each byte within its word; white space adds nothing
     lead = int(starts[0])
-    place = np.arange(lead, len(raw), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    raw, space = raw[lead:], space[lead:]
+    place = np.arange(lead, len(whole), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(whole))))
     with np.errstate(over="ignore"):
-        value = _BYTE[_LOWER[raw]] * _weights(int(place.max()) + 1)[place]
-        value[space] = 0
+        value = _BYTE[_LOWER[whole[lead:]]] * _weights(int(place.max()) + 1)[place]
+        value[space[lead:]] = 0
         sums = np.add.reduceat(value, starts - lead)
-    return mix64(sums), counts
+    return mix64(sums), starts, whole, counts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, in order, and the number of words of each text."""
+    hashes, _, _, counts = scan_words(texts)
+    return hashes, counts
 
 
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
