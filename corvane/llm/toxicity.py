@@ -2,8 +2,9 @@
 
 1. Examples: of the labelled rows outside the held-out fold, at most ``sample`` of each label, those of the
    smallest id hash.  Texts that repeat count once.
-2. Terms: words whose presence is tied to the label among the examples (chi-square over ``least_chi``, more
-   frequent in toxic ones), at most ``terms``; their document frequencies are counted over all documents.
+2. Terms: a text's words, their beginnings of 3 to 7 letters, and both again with a mark when they come
+   twice or four times.  Used are the terms in at least ``least_share`` of the toxic examples whose presence is tied to
+   the label (chi-square over ``least_chi``, four times as frequent as elsewhere), at most ``terms``; their document frequencies are counted over all documents.
 3. Each text becomes its TF-IDF vector of length 1 over these terms.  The examples' inverted index is cut
    into blocks of examples; per term and block it keeps the largest weight.  The sum of these maxima bounds
    every cosine of the block, so blocks are visited best bound first until no bound beats the k-th cosine:
@@ -32,6 +33,25 @@ from corvane.llm._common import cut, held_out
 
 _TOKEN = re.compile(r"\w+")
 BLOCK = 64
+#: Lengths of beginnings of words that are terms, and numbers of occurrences that make a term of their own.
+HEADS, TIMES = range(3, 8), (2, 4)
+
+
+def terms_of(text: str | None, heads: frozenset[str] | None = None) -> Counter:
+    """Terms of a whole text with their frequencies; ``heads`` leaves out words with other first letters."""
+    out: Counter = Counter()
+    if not text:
+        return out
+    n = HEADS[0]
+    for w, c in Counter(_TOKEN.findall(text.lower())).items():
+        if heads is None or w[:n] in heads:
+            out[w] += c
+            for k in HEADS:
+                if k < len(w):
+                    out[w[:k] + "-"] += c
+    for t in TIMES:
+        out.update({f"{w}*{t}": c for w, c in list(out.items()) if c >= t and "*" not in w})
+    return out
 
 
 class BlockMaxIndex:
@@ -78,12 +98,12 @@ class Model:
     def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], k: int, prior: float):
         self.terms, self.idf, self.ids, self.labels, self.k = terms, idf, ids, labels, k
         self.index = BlockMaxIndex(vectors, max(1, len(terms)))
+        self.heads = frozenset(t.split("*")[0].rstrip("-")[: HEADS[0]] for t in terms)
         self.none, self.x, self.y = prior, np.array([0.0, 1.0]), np.array([prior, prior])
 
     def vector(self, text: str | None) -> dict[int, float]:
-        get = self.terms.get
-        count = Counter(t for w in _TOKEN.findall(text.lower()) if (t := get(w)) is not None) if text and self.terms else {}
-        return unit({t: (1 + np.log(c)) * self.idf[t] for t, c in count.items()})
+        found = terms_of(text, self.heads) if self.terms else {}
+        return unit({self.terms[w]: (1 + np.log(c)) * self.idf[self.terms[w]] for w, c in found.items() if w in self.terms})
 
     def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float | None, np.ndarray]:
         rows, sims = self.index.search(query, self.k, skip)
@@ -116,40 +136,34 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for b in blocks for v in (b[2], b[3])]), np.array([v for b in blocks for v in (b[0], b[0])])
 
 
-def _words(with_label: bool):
-    """Distinct words of each example's text, or how many texts of a batch hold each term."""
-
-    def run(batches):
-        for batch in batches:
-            ids, ys, words = [], [], []
-            for d, y, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = set(_TOKEN.findall(t.lower())) if t else set()
-                ids += [d] * len(own)
-                ys += [y] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.float64()), pa.array(words, pa.string())], ["doc_id", "y", "word"])
-
-    return run
+def _words(batches):
+    """Distinct terms of each example's text."""
+    for batch in batches:
+        ys, words = [], []
+        for y, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            own = terms_of(t)
+            ys += [y] * len(own)
+            words += own
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(words, pa.string())], ["y", "word"])
 
 
 def _frequencies(terms: list[str]):
-    known = {t: i for i, t in enumerate(terms)}
+    model = Model({t: i for i, t in enumerate(terms)}, np.zeros(0), np.zeros(0), np.zeros(0), [], 1, 0.0)
 
     def run(batches):
         total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 total[-1] += 1
-                if t:
-                    for w in known.keys() & set(_TOKEN.findall(t.lower())):
-                        total[known[w]] += 1
+                for w in model.terms.keys() & terms_of(t, model.heads).keys():
+                    total[model.terms[w]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
 
     return run
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 3000, terms: int = 4096, least_chi: float = 10.83, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 3000, terms: int = 4096, least_chi: float = 40.0, least_share: float = 0.01, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """The index of a bounded sample of labelled rows, with document frequencies of the whole corpus."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -169,14 +183,14 @@ def train(
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(n) < 2:
         return empty
-    words = cut(rows.select("doc_id", "y", "text").mapInArrow(_words(True), "doc_id long, y double, word string"))
+    words = rows.select("y", "text").mapInArrow(_words, "y double, word string")
     a, c = F.sum("y"), F.sum(1 - F.col("y"))
     counts = words.groupBy("word").agg(a.alias("a"), c.alias("c")).withColumn("p", F.col("a") / n[1.0]).withColumn("q", F.col("c") / n[0.0])
     size = n[0.0] + n[1.0]
     seen = F.col("a") + F.col("c")
     chi = F.lit(float(size)) * F.pow(F.col("a") * n[0.0] - F.col("c") * n[1.0], 2) / (seen * (size - seen) * n[0.0] * n[1.0])
-    # words of at least 1 in 500 toxic examples and 20 times as frequent there as elsewhere
-    picked = counts.filter((seen < size) & (F.col("p") >= F.greatest(F.lit(0.002), F.lit(20.0) * F.col("q")))).withColumn("chi", chi)
+    # tied to the label beyond what the best of a million unrelated words would be by chance
+    picked = counts.filter((seen < size) & (F.col("p") >= F.greatest(F.lit(least_share), F.lit(4.0) * F.col("q")))).withColumn("chi", chi)
     picked = [r["word"] for r in picked.filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "word").limit(terms).select("word").collect()]
     freq = texts.select("text").mapInArrow(_frequencies(picked), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     freq = {r["term"]: r["n"] for r in freq}
