@@ -18,6 +18,11 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * F.lit(100.0), F.nullif(whole, F.lit(0))), digits)
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """Rounding by floor, in plain double arithmetic, so that every engine agrees on ties."""
+    return F.floor(c * 10**digits + F.lit(0.5)) / F.lit(float(10**digits))
+
+
 def or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
