@@ -54,4 +54,4 @@ def import_candidates(rows: DataFrame, existing: DataFrame) -> DataFrame:
     filled = lambda c, w: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", w).otherwise(0.0)
     score = F.round(F.lit(0.40) + filled("email", 0.15) + filled("phone", 0.15) + filled("skills", 0.20), 2)
     skills = F.filter(F.transform(F.split("skills", ";"), F.trim), lambda s: s != "")
-    return fresh.withColumn("skills", skills).withColumn("confidence", score)
+    return fresh.withColumn("confidence", score).withColumn("skills", skills)
