@@ -26,8 +26,8 @@ from corvane.llm.trees import Trees, forest
 
 _DIGITS = re.compile(r"[0-9]")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)\w*[ \t]*[=:][ \t]*[\"']?([^\s\"']{6,})", re.I)
-_RUN = re.compile(r"[A-Za-z0-9_+/=.~@:$-]+")
-_EDGE = ".:=@-/"
+_RUN = re.compile(r"[A-Za-z0-9_+/.~@$-]+(?:=+(?![A-Za-z0-9_+/.~@$-]))?")
+_EDGE = ".@-/"
 _WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login")
 _OTHER = ("commit", "sha", "revision", "uuid", "guid", "version", "order", "phone", "tel", "mail", "checksum", "md5", "isbn", "card", "address", "http")
 #: Short frequent words and syllables; coverage by them tells prose and names from random strings.
@@ -50,11 +50,9 @@ def candidates(text: str | None, shortest: int = 8) -> list[tuple[int, int]]:
             hi += 1
         for r in _RUN.finditer(text, lo, hi):
             s, e = r.span()
-            if "=" in text[s:e].rstrip("="):
-                s += text[s:e].rstrip("=").rindex("=") + 1
             while s < e and text[s] in _EDGE:
                 s += 1
-            while e > s and text[e - 1] in ".:@-,":
+            while e > s and text[e - 1] in ".@-":
                 e -= 1
             if e - s >= shortest and _DIGITS.search(text, s, e):
                 spans.append((s, e))
@@ -64,6 +62,8 @@ def candidates(text: str | None, shortest: int = 8) -> list[tuple[int, int]]:
     for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
             out.append((s, e))
+        elif e > out[-1][1]:  # two that overlap are one
+            out[-1] = (out[-1][0], e)
     return out
 
 
@@ -144,7 +144,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
             elif kind == 7:
                 c = "/".join(word() for _ in range(r.randint(2, 4))) + f"/{word()}{r.randint(1, 99)}.txt"
             elif kind == 8:
-                c = f"https://www.{word()}.com/{word()}/{r.randint(1, 9999)}"
+                b, c = b + "https://", f"www.{word()}.com/{word()}/{r.randint(1, 9999)}"
             elif kind == 9:
                 c = f"v{r.randint(1, 20)}.{r.randint(0, 20)}.{r.randint(0, 99)}-beta{r.randint(1, 9)}"
             elif kind == 10:
