@@ -12,6 +12,9 @@ Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +73,37 @@ _OTHER = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form, with a space at both ends; null when nothing is left."""
-    c = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, _OTHER, " "), F.lit(" "))
+    """The canonical form; null when nothing is left. Rare rewrites run only on texts that hold what they rewrite."""
+    low = F.lower(text)
+    holder = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
+    c = F.when(holder, F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low)
+    return F.transform(F.array(F.concat(F.lit(" "), F.regexp_replace(c, _OTHER, " "), F.lit(" "))), _one_spelling)[0]
+
+
+def _one_spelling(c: Column) -> Column:
+    new = c
     for a, b in EQUIVALENT:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    c = F.trim(c)
+        new = F.replace(new, F.lit(f" {a} "), F.lit(f" {b} "))
+    other = c.rlike(" (" + "|".join(a for a, _ in EQUIVALENT) + ") ")
+    c = F.trim(F.when(other, new).otherwise(c))
     return F.when(c != "", c)
 
 
+def marks(texts: list[tuple[str, str]]) -> list[str]:
+    """Words of which every known text holds one, in any of its spellings: a line without all of them is none of the texts."""
+    out = set()
+    for _, text in texts:
+        longest = max(re.findall(r"[^\W_]+", text.lower()), key=len, default="")
+        word = dict(EQUIVALENT).get(longest, longest)
+        out |= {word, *(a for a, b in EQUIVALENT if b == word)}
+    return sorted(out)
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    low = F.lower(text)
+    return reduce(Column.__or__, [low.contains(w) for w in words], F.lit(False))
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """``license, digest`` of known texts, one row a digest."""
     rows = spark.createDataFrame(KNOWN if texts is None else texts, "license string, text string")
@@ -96,7 +121,9 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, id_col: st
         known = F.broadcast(known)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     whole = source.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest", "left")
-    lines = source.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    words = marks(KNOWN if texts is None else texts)
+    lines = source.filter(F.col("doc_id").isNotNull() & _holds(F.col("text"), words)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.filter(_holds(F.col("line"), words))
     lines = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
     lines = lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
     return whole.join(lines, "doc_id", "left").select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
