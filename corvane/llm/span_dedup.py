@@ -154,7 +154,8 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 12, id_col:
     spans = source.filter("doc_id is not null").mapInArrow(_emit(run, least_words), "span long, doc_id long, at int, n int")
     spans = cut(spans)
     repeated = spans.groupBy("span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at")).alias("first")).filter("times > 1")
-    repeated = repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.at").alias("first_at"))
+    # written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hot one
+    repeated = cut(repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.at").alias("first_at")))
     later = spans.join(repeated, "span").filter("doc_id <> first or at <> first_at")
     marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "span", "first")).alias("marks"))
     joined = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
