@@ -29,9 +29,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: what is linked to lo goes to the smallest of lo and its neighbours; only as hi has lo smaller ones.
+        # least is written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hub's.
+        least = cut(e.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = e.join(least.withColumnRenamed("hi", "lo"), "lo", "left").select(F.col("hi").alias("u"), F.coalesce("m", "lo").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         e = cut(small.union(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
