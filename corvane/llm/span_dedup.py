@@ -7,9 +7,14 @@ of equal runs the first by (doc_id, place) stays, and every sentence that any ot
 Equal runs are counted before they are joined back, and a run that a large part of all documents share is
 one row on the small side, so that its occurrences can be split.
 
+Passages that hold no such run (cut off inside sentences, or one long sentence) are met word by word: of every
+50 words of a text the piece of 38 words with the smallest hash goes into the same aggregation, so two copies of
+any 50 words share a piece.  Later copies of a piece are removed too; of a repeat of 50 words or more at most
+12 words at each end stay.  A copy that overlaps the first within its document is removed from behind it.
+
 Defined cases: null text stays null and empty text empty, without sentences; runs that the text's ends cut
-short are not hashed, so texts under ``run`` sentences or ``least_words`` words stay whole; very long texts
-are handled whole.  Rows with one doc_id are one document (equal places in them are one occurrence); null
+short are not hashed, so texts under ``run`` sentences or ``least_words`` words stay whole unless they have
+50 words; very long texts are handled whole.  Rows with one doc_id are one document (equal places in them are one occurrence); null
 ids come last and are never removed from.  A removal is applied only where the run stands.  Other columns
 are ignored; an empty table gives no rows.
 """
@@ -27,6 +32,8 @@ from corvane.llm.wordhash import mix64, scan_words
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Words of a piece, and neighbouring pieces of which the one with the smallest hash is taken: 38 + 13 - 1 = 50 words.
+PIECE, REACH = 38, 13
 
 
 def _sentences(texts: list[str | None]):
@@ -48,12 +55,14 @@ def _sentences(texts: list[str | None]):
 
 
 def _spans(texts: list[str | None], run: int, least: int):
-    """Of all runs: hash, text, first sentence (in the text), number of sentences; and of each sentence its text and bytes."""
+    """Of all runs: hash, text, first sentence (in the text), number of sentences; the same of pieces, with the first word
+    and 0; and of each sentence its text and bytes."""
     hashes, first, owner, starts, raw = _sentences(texts)
     n = len(owner)
     none = np.zeros(0, np.int64)
     if n == 0:
         return np.zeros(0, np.uint64), none, none, none, owner, first, starts, raw
+    word_text = np.repeat(owner, np.diff(first))
     at = np.arange(n)
     tail = np.searchsorted(owner, owner, side="right")  # one past the text's last sentence
     head = np.searchsorted(owner, owner, side="left")
@@ -70,7 +79,32 @@ def _spans(texts: list[str | None], run: int, least: int):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
         value = (sums[first[b]] - sums[first[a]]) * back[first[a]]
         value = mix64(value + (first[b] - first[a]).astype(np.uint64))
-    return value, owner[a], a - head[a], b - a, owner, first, starts, raw
+        pieces = mix64((sums[PIECE:] - sums[:-PIECE]) * back[: len(hashes) - PIECE + 1] ^ _STEP) if len(hashes) >= PIECE else sums[:0]
+    at = _lowest(pieces, word_text)
+    text = np.concatenate([owner[a], word_text[at]])
+    order = np.argsort(text, kind="stable")
+    place = np.concatenate([a - head[a], at - np.searchsorted(word_text, word_text[at], side="left")])
+    size = np.concatenate([b - a, np.zeros(len(at), np.int64)])
+    return np.concatenate([value, pieces[at]])[order], text[order], place[order], size[order], owner, first, starts, raw
+
+
+def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) over every ``n`` neighbours."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x, have = f(x[:-step], x[step:]), have + step
+    return x
+
+
+def _lowest(pieces: np.ndarray, word_text: np.ndarray) -> np.ndarray:
+    """First words of the pieces that have the smallest hash of some ``REACH`` neighbours of one text."""
+    if len(pieces) < REACH:
+        return np.zeros(0, np.int64)
+    low = _slide(pieces, REACH, np.minimum)
+    low = np.where(word_text[: len(low)] == word_text[PIECE + REACH - 2 :], low, np.uint64(0))
+    best = _slide(np.pad(low, REACH - 1), REACH, np.maximum)
+    return np.flatnonzero((best == pieces) & (best > 0))
 
 
 _TABLE = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -111,45 +145,53 @@ def _apply(run: int, least: int):
                 heads = np.cumsum(sizes) - sizes
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
                 base = np.concatenate([[0], np.cumsum([0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts])])
-                removed, ranges, origins = [], [], []
+                removed, dropped, ranges, origins = [], [], [], []
                 for i in range(len(texts)):
                     found = marks[i].as_py()
-                    gone = np.zeros(sizes[i], dtype=bool)
+                    # sentence k of the text has its words edge[k] to edge[k + 1]
+                    edge = first[heads[i] : heads[i] + sizes[i] + 1]
+                    edge = edge - edge[0]
+                    whole, gone = np.zeros(sizes[i], dtype=bool), np.zeros(edge[-1], dtype=bool)
                     own, spans = [], set()
                     if found:
                         lo, hi = bounds[i], bounds[i + 1]
                         here = {(int(s), int(k)): int(v) for s, k, v in zip(start[lo:hi], n[lo:hi], value[lo:hi].view(np.int64), strict=True)}
                         for f in found:
                             if here.get((f["at"], f["n"])) == f["span"]:
-                                gone[f["at"] : f["at"] + f["n"]] = True
+                                if f["n"]:
+                                    whole[f["at"] : f["at"] + f["n"]] = True
+                                    gone[edge[f["at"]] : edge[f["at"] + f["n"]]] = True
+                                else:
+                                    gone[f["since"] : f["at"] + PIECE] = True
                                 spans.add(f["first"])
                     if gone.any():
-                        # sentence k of the text runs from its first byte to the next sentence's
-                        h = heads[i]
-                        offset = base[i] + i
-                        edge = [int(starts[first[h + k]] - offset) for k in range(sizes[i])] + [int(base[i + 1] - base[i])]
-                        data = raw[offset : offset + edge[-1]].tobytes()
+                        # a word runs from its first byte to the next word's
+                        offset, w = base[i] + i, first[heads[i]]
+                        byte = np.append(starts[w : w + len(gone)] - offset, base[i + 1] - base[i])
+                        data = raw[offset : offset + byte[-1]].tobytes()
                         flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                         kept, last = [], 0
-                        for s, e in zip(flips[::2], flips[1::2], strict=True):
-                            own.append({"start": len(data[: edge[s]].decode("utf-8", "surrogatepass")), "end": len(data[: edge[e]].decode("utf-8", "surrogatepass"))})
-                            kept.append(data[last : edge[s]])
-                            last = edge[e]
+                        for s, e in zip(byte[flips[::2]], byte[flips[1::2]], strict=True):
+                            own.append({"start": len(data[:s].decode("utf-8", "surrogatepass")), "end": len(data[:e].decode("utf-8", "surrogatepass"))})
+                            kept.append(data[last:s])
+                            last = e
                         texts[i] = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
-                    removed.append(int(gone.sum()))
+                    removed.append(int(whole.sum()))
+                    dropped.append(int(gone.sum()))
                     ranges.append(own)
                     origins.append(sorted(spans))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(origins, pa.list_(pa.int64())), pa.array(texts, pa.string())],
-                    ["doc_id", "n_sentences", "n_removed", "removed", "first_in", "text"],
+                    [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(dropped, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(origins, pa.list_(pa.int64())), pa.array(texts, pa.string())],
+                    ["doc_id", "n_sentences", "n_removed", "words_removed", "removed", "first_in", "text"],
                 )
 
     return go
 
 
 def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_sentences, n_removed, removed`` (character ranges of the given text),
-    ``first_in`` (documents that keep what was removed) and ``text`` without the removed sentences."""
+    """One row per input row: ``doc_id, n_sentences, n_removed`` (sentences in repeated runs), ``words_removed`` (with
+    those of pieces), ``removed`` (character ranges of the given text), ``first_in`` (documents that keep what was removed)
+    and ``text`` without the removed ranges."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = source.filter("doc_id is not null").mapInArrow(_emit(run, least_words), "span long, doc_id long, at int, n int")
     spans = cut(spans)
@@ -157,6 +199,7 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 12, id_col:
     # written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hot one
     repeated = cut(repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.at").alias("first_at")))
     later = spans.join(repeated, "span").filter("doc_id <> first or at <> first_at")
-    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "span", "first")).alias("marks"))
+    since = F.when(F.col("doc_id") == F.col("first"), F.greatest("at", F.col("first_at") + PIECE)).otherwise(F.col("at"))
+    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "span", "first", since.alias("since"))).alias("marks"))
     joined = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_apply(run, least_words), "doc_id long, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>, first_in array<long>, text string")
+    return joined.mapInArrow(_apply(run, least_words), "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<struct<start:long,end:long>>, first_in array<long>, text string")

@@ -220,6 +220,32 @@ def test_span_dedup_awkward(spark):
     assert span_dedup.remove_repeats(awkward(spark).limit(0)).count() == 0
 
 
+def test_span_dedup_meets_every_repeat_of_fifty_words(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    p, q, r = fresh(64), fresh(50), fresh(51)
+    p[13] += "."  # one whole sentence between two cut ones
+    p[42] += "."
+    given = [(9101, p), (9102, p), (9103, q), (9104, q), (9105, r), (9106, r)]
+    extra = [(i, " ".join(fresh(7) + w + fresh(9)) + ".") for i, w in given] + [(9107, "same " * 120)]
+    df = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(df).collect()}
+    assert [got[i]["words_removed"] >= 38 for i in range(9101, 9107)] == [False, True] * 3
+    assert got[9102]["first_in"] == [9101] and got[9107]["text"].split() == ["same"] * 38
+    seen = {}
+    for i, text in sorted((r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] != 9107):
+        at = [(m.start(), m.end()) for m in re.finditer(WORD, text or "")]
+        w = [re.sub("[A-Z]", lambda x: x.group().lower(), text[s:e]) for s, e in at]
+        gone = np.zeros(len(w) + 1, int)
+        for x in got[i]["removed"]:
+            gone[[k + 1 for k, (s, _) in enumerate(at) if x["start"] <= s < x["end"]]] = 1
+        assert gone.sum() == got[i]["words_removed"]
+        gone = gone.cumsum()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) != i:
+                assert gone[k + 50] - gone[k] >= 38
+
+
 # licenses
 
 
