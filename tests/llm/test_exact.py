@@ -349,6 +349,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_component_state_holds_any_number_of_edges(spark):
+    rows = spark.range(1 << 25).select(F.lit(2).cast("long").alias("hi"), F.lit(1).cast("long").alias("lo"))
+    assert components._state(rows)[0] == 1 << 25
+    some = spark.createDataFrame([(3, 1), (2, 1), (9, 4)], "hi long, lo long")
+    assert components._state(some) == components._state(some.orderBy("hi")) != components._state(some.filter("hi <> 9"))
+
+
 def test_block_pairs_meet_all(spark):
     df = spark.range(50).select(F.lit(1).alias("g"), F.lit(50).alias("n"), "id")
     rows = block_pairs(df, "n", "id", 12).collect()
