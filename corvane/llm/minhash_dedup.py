@@ -1,7 +1,7 @@
 """Operator 10. MinHash near-dedup by a signature-coordinate inverted join.
 
 1. Every text becomes its set of distinct word shingles and a MinHash signature of ``coords``
-   coordinates.  Texts with equal sets fall into one class; a class acts through its smallest doc_id.
+   coordinates.  Texts with equal sets fall into one class; a class acts through one row's key, a hash of id and text.
 2. Classes are posted under each (coordinate, value).  Two sets of similarity s agree in a coordinate
    with probability s, so ``matches_needed`` sets the number of agreements T that a pair at the
    threshold misses with probability under 1e-9.
@@ -14,8 +14,8 @@
    Components of the confirmed links give the groups.
 
 Defined cases: null or blank text has no shingles, n_shingles 0 and links with nothing; a text shorter
-than a shingle is one shingle.  Rows that repeat a doc_id each get a row.  A null doc_id never names a
-group; such a row is kept unless its text equals or resembles that of a row with an id.  Columns other
+than a shingle is one shingle.  Rows that repeat a doc_id each get a row, and each goes by its own text.  A null
+doc_id never names a group that holds an id; of each group one row stays, the one with the smallest id, then key.  Columns other
 than the id and the text are ignored.  An empty table gives an empty result.
 """
 
@@ -25,10 +25,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import binary_rows, block_pairs, cut, group_starts, list_rows, local_forest, whole_groups
+from corvane.llm._common import WORD, binary_rows, block_pairs, cut, group_starts, list_rows, local_forest, whole_groups
 from corvane.llm.components import components
 from corvane.llm.wordhash import minhash, mix64, shingles
 
@@ -56,8 +56,8 @@ def _signatures(words: int, coords: int):
                 sig = minhash(values, sizes, coords)
                 has = np.where(sizes > 0, coords, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(a), pa.array(b), list_rows(sig[sizes > 0].view(np.int32).ravel(), has, pa.int32())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                    [part.column(0), part.column(2), pa.array(sizes), pa.array(a), pa.array(b), list_rows(sig[sizes > 0].view(np.int32).ravel(), has, pa.int32())],
+                    ["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sig"],
                 )
 
     return run
@@ -185,18 +185,25 @@ def _intersections(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     return inter.astype(np.int64)
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """Rows of one id and one text are one row; nulls have hashes of their own."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, row_key, n_shingles, component_id, kept``.
 
     Texts link when 100 * |A and B| >= ``percent`` * |A or B| over their ``words``-word shingle sets.
-    component_id is the smallest id reachable over links; kept is doc_id = component_id.
+    component_id is the smallest id reachable over links; kept are the rows of one id and text of each component, and those without shingles.
     """
     need = matches_needed(percent / 100, coords)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(source.mapInArrow(_signatures(words, coords), "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"))
-    # a class of equal sets acts through its smallest id
-    classes = base.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    classes = cut(classes.select("set_a", "set_b", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
+    source = source.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
+    base = cut(source.mapInArrow(_signatures(words, coords), "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sig array<int>"))
+    # a class of equal sets acts through its row of the smallest id; nulls come last
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", "sig"))
+    classes = base.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(first.alias("m"))
+    classes = cut(classes.select("set_a", "set_b", "n_shingles", F.col("m.row_key").alias("rep"), F.col("m.doc_id").alias("low"), F.col("m.sig").alias("sig")))
     posted = classes.select("rep", F.posexplode("sig")).select("rep", (F.col("pos") * F.lit(1 << 32) + F.col("col")).alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("l")).filter(F.size("l") >= need)
@@ -208,20 +215,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
     members = families.union(families.select(F.col("root").alias("node"), "root").distinct())
     sizes = families.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("family"))
     members = members.join(sizes, "root").withColumnRenamed("node", "rep").join(classes.select("rep", "set_a"), "rep")
-    texts = source.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "root", "family", "set_a", "text")
+    texts = source.join(members.withColumnRenamed("rep", "row_key"), "row_key").select(F.col("row_key").alias("rep"), "root", "family", "set_a", "text")
     sets = texts.mapInArrow(_sets(words), "rep long, root long, family long, values binary").dropDuplicates(["rep"])
     keys = ["root", "blk_p", "blk_q"]
     pieces = block_pairs(sets, "family", "rep", FAMILY_BLOCK).select(*keys, "rep", "values").repartition(*keys).sortWithinPartitions(*keys)
     groups = components(pieces.mapInArrow(_confirmed(percent), "a long, b long"), "a", "b")
-    named = classes.select("set_a", "set_b", "n_shingles", "rep").join(groups, classes["rep"] == groups["node"], "left")
-    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("of_class"))
-    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` (all columns) that ``near_duplicates`` keeps, one per id; rows without an id stay unless dropped ones."""
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return left.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    linked = groups.union(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
+    best = linked.groupBy("root").agg(F.min(F.struct(F.isnull("low").alias("none"), "low", "rep")).alias("m"))
+    linked = linked.join(best, "root").select("rep", F.col("m.low").alias("of"), F.col("m.rep").alias("stays"))
+    named = classes.select("set_a", "set_b", "n_shingles", "rep", "low").join(linked, "rep", "left")
+    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("of", "low").alias("of_class"), F.coalesce("stays", "rep").alias("stays"))
+    out = base.select("doc_id", "row_key", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
+    kept = F.coalesce(F.col("row_key") == F.col("stays"), F.lit(True))
+    return out.select("doc_id", "row_key", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that ``near_duplicates`` keeps, one per id and text; all rows without an id and a word stay."""
+    bare = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    keys = found.filter("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    left = docs.filter(~bare).withColumn("_row_key", _row_key(F.col(id_col), F.col(text_col)))
+    left = left.join(keys, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return left.select(docs.columns).union(docs.filter(bare))

@@ -322,6 +322,19 @@ def test_near_duplicates_awkward(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(3, one), (5, one + " end"), (5, two), (5, two), (6, two + " end"), (8, three), (8, three + " end"), (None, one), (None, "n " + three), (None, "x y z"), (None, "x y z"), (None, "p q r"), (None, None), (None, " "), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for some in (df, df.repartition(5).orderBy(F.desc("text"))):
+        found = minhash_dedup.near_duplicates(some)
+        assert found.count() == len(rows)
+        kept = [tuple(r) for r in minhash_dedup.keep_one(some, found).collect()]
+        threes = [r for r in kept if r[0] == 8]
+        assert len(threes) == 1 and sorted(map(str, kept)) == sorted(map(str, [(3, one), (5, two), *threes, (None, "x y z"), (None, "p q r"), (None, None), (None, " "), (9, None)]))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(3, 3), (5, 3), (5, 5), (6, 5), (8, 8), (None, 3), (None, 8), (None, None), (9, 9)}
+
+
 def test_matches_needed_misses_little():
     from math import comb
 
