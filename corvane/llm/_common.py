@@ -20,21 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that would be another one on each machine,
+    so there it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that all executors share")
         place = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    return f"{place.rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither repeat its work nor depend on executors."""
-    path = f"{shared_dir(df.sparkSession)}/corvane/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all that ``cut`` wrote for this application. Call it once results are stored: results still to be read need the files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text falls in ``fold``; such rows are never learnt from. Null ids count as not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -199,10 +199,47 @@ def test_embedding_dedup_awkward(spark):
     got = {}
     for r in rows:
         got.setdefault(r["vec_id"], (r["n_links"], r["component_id"], r["kept"]))
-    assert len(rows) == 13 and got[2] == (3, 1, False) and got[11][1] == 1 and all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10))
+    # linked with both rows of id 1, with 11 and with the row without an id, which is a vector like others
+    assert len(rows) == 13 and got[2] == (4, 1, False) and got[11][1] == 1 and all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_repeated_ids(spark):
+    """Rows go by their own vectors, in any order of the input; doubles are compared as doubles."""
+    rows = [(3, [1.0, 0.0, 0.01], 1), (5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (9, [0.0, 1.0, 0.01], 1), (11, [0.3, 0.3, -1.0], 1)]
+    want = [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (9, 1, 5, False), (11, 0, 11, True)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "vec_id long, embedding array<float>, label int")
+        assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect()) == want
+    rows = [(1, [1e39, 0.0], 1), (2, [1e39, 0.0], 1), (3, [1e-60, 1e-60], 1), (4, [1e-60, 1e-60], 1), (None, [1e300, 0.0], 1), (None, [5.0, -5.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (None, 2, 1, False), (None, 0, None, True)], key=str)
+
+
+def test_embedding_dedup_recall(spark):
+    """Pairs at a cosine just over the threshold, at the setting of production."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.normal(size=a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.98001 * a + np.sqrt(1 - 0.98001**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(int(i), v.tolist(), 0) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert embedding_dedup.near_duplicates(df).filter("n_links = 1 and component_id = vec_id % 1500").count() >= 2990
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corvane.llm import _common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _common.shared_dir(cluster)
+
+
 def test_nearest(spark):
     x, label = cloud(900, 24)
     df = vector_frame(spark, x, label)
