@@ -1,20 +1,20 @@
 """Operator 2. Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 1. Examples: of the labelled rows outside the held-out fold, at most ``sample`` of each label, those of the
-   smallest id hash.  Texts that repeat count once.
-2. Terms: a text's words, their beginnings of 3 to 7 letters, and both again with a mark when they come
-   twice or four times.  Used are the terms in at least ``least_share`` of the toxic examples whose presence is tied to
-   the label (chi-square over ``least_chi``, four times as frequent as elsewhere), at most ``terms``; their document frequencies are counted over all documents.
-3. Each text becomes its TF-IDF vector of length 1 over these terms.  The examples' inverted index is cut
-   into blocks of examples; per term and block it keeps the largest weight.  The sum of these maxima bounds
-   every cosine of the block, so blocks are visited best bound first until no bound beats the k-th cosine:
-   the neighbours are exact.
+   smallest id hash.  Texts that repeat count once.  All of them are indexed.
+2. Terms: all words of the examples.  A term weighs (1 + ln tf) * idf * tie; document frequencies are counted over
+   all documents.  tie is the square of the least lift that the examples support (how many times as frequent the term is among
+   toxic examples, two standard errors lower, 1 at least): it says how much a shared word matters and leaves no word out.
+3. Each text becomes its vector of length 1 over these terms.  The examples' inverted lists are cut into blocks
+   of examples, which were ordered so that like ones are neighbours; per term and block the index keeps the largest weight.
+   The sum of these maxima bounds every cosine of a block.  The best blocks give a k-th cosine; then every block
+   whose bound reaches it is read, and the others are skipped: the neighbours are exact.
 4. Neighbours vote with weight 1 / (1 - cosine + 0.01).  Votes become probabilities by isotonic regression on
-   the examples' own votes (each left out of its own), weighted back to the labels' true shares.  A text
-   without any of the terms gets the share of toxic rows among such examples.
+   the examples' own votes (each left out of its own), weighted back to the labels' true shares.
 
-Defined cases: null and empty texts hold no term and are scored as such; labels other than 0 and 1 and null
-ids teach nothing; without labels of both kinds every score is the share of label 1 (0.5 without labels).
+Defined cases: null and empty texts, and others that share no word with an example, have no neighbours and no evidence;
+they get the share of toxic rows among examples like them, or among all where there is none.  Labels other than
+0 and 1 and null ids teach nothing; without labels of both kinds every score is the share of label 1 (0.5 without labels).
 Equal cosines go to the smaller example id.  Rows that repeat each get a row; very long texts are read
 whole.  Other columns are ignored; an empty table gives no rows.
 """
@@ -29,99 +29,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, held_out
+from corvane.llm._common import cut, held_out, list_rows
 
 _TOKEN = re.compile(r"\w+")
+#: Examples in a block.
 BLOCK = 64
-#: Lengths of beginnings of words that are terms, and numbers of occurrences that make a term of their own.
-HEADS, TIMES = range(3, 8), (2, 4)
-
-
-def terms_of(text: str | None, heads: frozenset[str] | None = None) -> Counter:
-    """Terms of a whole text with their frequencies; ``heads`` leaves out words with other first letters."""
-    out: Counter = Counter()
-    if not text:
-        return out
-    n = HEADS[0]
-    for w, c in Counter(_TOKEN.findall(text.lower())).items():
-        if heads is None or w[:n] in heads:
-            out[w] += c
-            for k in HEADS:
-                if k < len(w):
-                    out[w[:k] + "-"] += c
-    for t in TIMES:
-        out.update({f"{w}*{t}": c for w, c in list(out.items()) if c >= t and "*" not in w})
-    return out
+
+
+def terms_of(text: str | None) -> Counter:
+    """Words of a whole text, in lower case, with their frequencies."""
+    return Counter(_TOKEN.findall(text.lower())) if text else Counter()
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over sparse rows of length 1; ids ascending break ties."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        post: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        self.top = np.zeros((terms, max(1, self.blocks)))
-        for i, v in enumerate(vectors):
-            b = i // BLOCK
-            for t, w in v.items():
-                where, weight = post.setdefault((t, b), ([], []))
-                where.append(i % BLOCK)
-                weight.append(w)
-                self.top[t, b] = max(self.top[t, b], w)
-        self.post = {k: (np.array(a), np.array(w)) for k, (a, w) in post.items()}
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` nearest rows with a positive cosine, without row ``skip``."""
-        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
-        if self.n == 0 or len(terms) == 0:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.top[terms]
-        rows, sims, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < worst - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                found = self.post.get((int(t), int(b)))
-                if found is not None:
-                    acc[found[0]] += w * found[1]
-            hit = np.flatnonzero(acc > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            rows, sims = np.concatenate([rows, hit + b * BLOCK]), np.concatenate([sims, np.round(acc[hit], 12)])
-            best = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[best], sims[best]
-            worst = sims[-1] if len(sims) else 0.0
-        return rows, sims
+    """Exact top-k by inner product over sparse rows of length 1, given as (terms, weights); the smaller of ``names`` breaks ties."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, names: np.ndarray | None = None):
+        self.names = np.arange(len(rows)) if names is None else names
+        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
+        sizes = np.array([len(t) for t, _ in rows], dtype=np.int64)
+        term = np.concatenate([t for t, _ in rows] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([w for _, w in rows] or [np.zeros(0)])
+        row = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((row, term))
+        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order].astype(np.float64)
+        # a run is the part of a term's list that lies in one block
+        key = term * max(1, self.blocks) + self.row // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.start = np.append(first, len(key)).astype(np.int64)
+        self.block = (key[first] % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.runs = np.searchsorted(term[first], np.arange(terms + 1))
+
+    def search(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows and cosines of the ``k`` nearest rows with a positive cosine, without row ``skip``; and the number of blocks read."""
+        terms, weights = query
+        run, n = _ranges(self.runs[terms], self.runs[terms + 1])
+        if len(run) == 0:
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        w, block = np.repeat(weights, n), self.block[run]
+        bound = np.bincount(block, w * self.top[run], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        ahead = np.zeros(self.blocks, dtype=bool)
+        ahead[order[: 1 + 2 * k // BLOCK]] = True
+        sims = self._read(run, w, ahead[block])
+        if skip >= 0:
+            sims[skip] = 0
+        least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+        rest = (bound > 0) & (bound >= least - 1e-9) & ~ahead
+        if rest.any():
+            sims += self._read(run, w, rest[block])
+            if skip >= 0:
+                sims[skip] = 0
+            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+        sims = np.round(sims, 12)
+        rows = np.flatnonzero((sims > 0) & (sims >= round(least, 12)))
+        best = np.lexsort((self.names[rows], -sims[rows]))[:k]
+        return rows[best], sims[rows[best]], int(ahead.sum() + rest.sum())
+
+    def _read(self, run: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
+        run, w = run[some], w[some]
+        at, n = _ranges(self.start[run], self.start[run + 1])
+        return np.bincount(self.row[at], np.repeat(w, n) * self.weight[at], self.n)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), one after another, and how many each has."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum())), n
+
+
+def like_order(rows: list[tuple[np.ndarray, np.ndarray]], terms: int, seed: int = 7) -> np.ndarray:
+    """An order that brings like rows together: halves are split by the sign of a few power steps towards the main direction."""
+    if len(rows) <= BLOCK:
+        return np.arange(len(rows))
+    rng = np.random.default_rng(seed)
+
+    def split(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) <= BLOCK:
+            return [at]
+        sizes = np.array([len(rows[i][0]) for i in at])
+        term, weight = np.concatenate([rows[i][0] for i in at]), np.concatenate([rows[i][1] for i in at])
+        own = np.repeat(np.arange(len(at)), sizes)
+        x = rng.normal(size=len(at))
+        for _ in range(4):
+            x -= x.mean()
+            x = np.bincount(own, np.bincount(term, weight * x[own], terms)[term] * weight, len(at))
+        order = np.argsort(x, kind="stable")
+        half = -(-len(at) // (2 * BLOCK)) * BLOCK  # whole blocks on the left
+        return split(at[order[:half]]) + split(at[order[half:]])
+
+    return np.concatenate(split(np.arange(len(rows))))
 
 
 class Model:
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], k: int, prior: float):
-        self.terms, self.idf, self.ids, self.labels, self.k = terms, idf, ids, labels, k
-        self.index = BlockMaxIndex(vectors, max(1, len(terms)))
-        self.heads = frozenset(t.split("*")[0].rstrip("-")[: HEADS[0]] for t in terms)
+    """Terms with their weights, the index of all examples, and the calibration of votes."""
+
+    def __init__(self, terms: dict[str, int], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], k: int, prior: float):
+        self.terms, self.weight, self.ids, self.labels, self.k = terms, weight, ids, labels, k
+        self.index = BlockMaxIndex(rows, len(terms), ids)
         self.none, self.x, self.y = prior, np.array([0.0, 1.0]), np.array([prior, prior])
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        found = terms_of(text, self.heads) if self.terms else {}
-        return unit({self.terms[w]: (1 + np.log(c)) * self.idf[self.terms[w]] for w, c in found.items() if w in self.terms})
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [(self.terms[w], c) for w, c in terms_of(text).items() if w in self.terms]
+        t, c = np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.float64)
+        v = (1 + np.log(c)) * self.weight[t]
+        return t, v / max(np.sqrt((v * v).sum()), 1e-300)
 
-    def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float | None, np.ndarray]:
-        rows, sims = self.index.search(query, self.k, skip)
+    def vote(self, query: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float | None, np.ndarray]:
+        rows, sims, _ = self.index.search(query, self.k, skip)
         if len(rows) == 0:
             return None, rows
         w = 1 / (1 - np.minimum(sims, 1) + 0.01)
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
-    def score(self, query: dict[int, float]) -> tuple[float, list[int]]:
+    def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
         raw, rows = self.vote(query)
         return (self.none if raw is None else float(np.interp(raw, self.x, self.y))), self.ids[rows].tolist()
 
 
-def unit(v: dict[int, float]) -> dict[int, float]:
-    size = float(np.sqrt(sum(w * w for w in v.values())))
-    return {t: w / size for t, w in v.items()} if size > 0 else {}
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the weighted non-decreasing fit of y on x (pool adjacent violators)."""
     order = np.argsort(x, kind="stable")
@@ -137,7 +163,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _words(batches):
-    """Distinct terms of each example's text."""
+    """Distinct words of each example's text."""
     for batch in batches:
         ys, words = [], []
         for y, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
@@ -147,23 +173,40 @@ def _words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(words, pa.string())], ["y", "word"])
 
 
-def _frequencies(terms: list[str]):
-    model = Model({t: i for i, t in enumerate(terms)}, np.zeros(0), np.zeros(0), np.zeros(0), [], 1, 0.0)
+def _frequencies(terms: dict[str, int]):
+    """Of each task's documents, how many hold each term; and, as the last term, how many documents there are."""
 
     def run(batches):
         total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total[-1] += 1
-                for w in model.terms.keys() & terms_of(t, model.heads).keys():
-                    total[model.terms[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+            total[-1] += batch.num_rows
+            seen = [terms[w] for t in batch.column(0).to_pylist() if t for w in terms.keys() & set(_TOKEN.findall(t.lower()))]
+            total[:-1] += np.bincount(seen, minlength=len(terms)) if seen else 0
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+
+    return run
+
+
+def tie(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Weight of terms that ``a`` of ``n1`` toxic and ``c`` of ``n0`` other examples hold: the square of the lift, two standard errors lower."""
+    lift = np.log((a + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
+    return np.exp(2 * np.maximum(0, lift - 2 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))))
+
+
+def _vectors(model: Model):
+    def run(batches):
+        for batch in batches:
+            rows = [model.vector(t) for t in batch.column(2).to_pylist()]
+            sizes = np.array([len(t) for t, _ in rows])
+            cells = [list_rows(np.concatenate([r[i] for r in rows] or [np.zeros(0)]), sizes, kind) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["doc_id", "y", "t", "w"])
 
     return run
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 3000, terms: int = 4096, least_chi: float = 40.0, least_share: float = 0.01, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 3000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """The index of a bounded sample of labelled rows, with document frequencies of the whole corpus."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -177,46 +220,40 @@ def train(
     empty = Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], k, prior)
     if len(share) < 2:
         return empty
-    rows = cut(texts.filter("doc_id is not null").join(some, "doc_id").select("doc_id", "y", "text"))
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "y", "text")).alias("m")).select("m.*")
-    rows = cut(rows)
+    rows = texts.filter("doc_id is not null").join(some, "doc_id").select("doc_id", "y", "text")
+    rows = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "y", "text")).alias("m")).select("m.*"))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(n) < 2:
         return empty
     words = rows.select("y", "text").mapInArrow(_words, "y double, word string")
-    a, c = F.sum("y"), F.sum(1 - F.col("y"))
-    counts = words.groupBy("word").agg(a.alias("a"), c.alias("c")).withColumn("p", F.col("a") / n[1.0]).withColumn("q", F.col("c") / n[0.0])
-    size = n[0.0] + n[1.0]
-    seen = F.col("a") + F.col("c")
-    chi = F.lit(float(size)) * F.pow(F.col("a") * n[0.0] - F.col("c") * n[1.0], 2) / (seen * (size - seen) * n[0.0] * n[1.0])
-    # tied to the label beyond what the best of a million unrelated words would be by chance
-    picked = counts.filter((seen < size) & (F.col("p") >= F.greatest(F.lit(least_share), F.lit(4.0) * F.col("q")))).withColumn("chi", chi)
-    picked = [r["word"] for r in picked.filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "word").limit(terms).select("word").collect()]
-    freq = texts.select("text").mapInArrow(_frequencies(picked), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    freq = {r["term"]: r["n"] for r in freq}
-    corpus = freq.get(len(picked), 0)
-    idf = np.array([1 + np.log((1 + corpus) / (1 + freq.get(i, 0))) for i in range(len(picked))])
-    model = Model({w: i for i, w in enumerate(picked)}, idf, np.zeros(0, np.int64), np.zeros(0), [], k, prior)
-
-    def vectors(batches):
-        for batch in batches:
-            cells = [sorted(model.vector(t).items()) for t in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("t", pa.int64()), ("w", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"t": t, "w": w} for t, w in c] for c in cells], kind)], ["doc_id", "y", "v"])
-
-    found = rows.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y double, v array<struct<t:long,w:double>>").orderBy("doc_id").collect()
-    ids, ys = np.array([r["doc_id"] for r in found]), np.array([r["y"] for r in found])
-    vs = [{x["t"]: x["w"] for x in r["v"]} for r in found]
-    weight = np.where(ys == 1, share[1.0] / n[1.0], share[0.0] / n[0.0])
-    full = np.array([bool(v) for v in vs])
-    model.none = float((weight * ys)[~full].sum() / weight[~full].sum()) if (~full).any() else prior
-    at = np.flatnonzero(full)
-    model.ids, model.labels = ids[at], ys[at]
-    model.index = BlockMaxIndex([vs[i] for i in at], max(1, len(picked)))
-    raw = np.array([np.nan if (v := model.vote(vs[i], skip=j)[0]) is None else v for j, i in enumerate(at)])
-    ok = ~np.isnan(raw)
-    if ok.any():
-        model.x, model.y = isotonic(raw[ok], ys[at][ok], weight[at][ok])
+    # the words of at most 2 * sample examples
+    counts = words.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c")).orderBy("word").toArrow()
+    terms = {w: i for i, w in enumerate(counts.column("word").to_pylist())}
+    tied = tie(counts.column("a").to_numpy(), counts.column("c").to_numpy(), n[1.0], n[0.0])
+    freq = texts.select("text").mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1)
+    seen[freq.column("term").to_numpy()] = freq.column("n").to_numpy()
+    model = Model(terms, (1 + np.log((1 + seen[-1]) / (1 + seen[:-1]))) * tied, np.zeros(0, np.int64), np.zeros(0), [], k, prior)
+    found = rows.select("doc_id", "y", "text").mapInArrow(_vectors(model), "doc_id long, y double, t array<long>, w array<double>").orderBy("doc_id").toArrow().combine_chunks()
+    return _fitted(model, found, share)
+
+
+def _fitted(model: Model, found: pa.Table, share: dict[float, int]) -> Model:
+    """``model`` with its index over the examples found and its calibration by their votes."""
+    ids, ys = found.column("doc_id").to_numpy(), found.column("y").to_numpy()
+    t, w = (found.column(c).combine_chunks() for c in ("t", "w"))
+    at, t, w = t.offsets.to_numpy(), t.values.to_numpy(), w.values.to_numpy()
+    rows = [(t[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    order = like_order(rows, len(model.terms))
+    rows, model.ids, model.labels = [rows[i] for i in order], ids[order], ys[order]
+    model.index = BlockMaxIndex(rows, len(model.terms), model.ids)
+    weight = np.where(model.labels == 1, share[1.0] / (ys == 1).sum(), share[0.0] / (ys == 0).sum())
+    raw = np.array([np.nan if (v := model.vote(r, skip=j)[0]) is None else v for j, r in enumerate(rows)])
+    lone = np.isnan(raw)
+    if lone.any():
+        model.none = float((weight * model.labels)[lone].sum() / weight[lone].sum())
+    if not lone.all():
+        model.x, model.y = isotonic(raw[~lone], model.labels[~lone], weight[~lone])
     return model
 
 

@@ -68,19 +68,88 @@ def test_toxicity(spark, frames):
     assert all(truth[e] in (0, 1) and crc(e) % 3 != 1 for r in rows for e in r["evidence"])
 
 
+def sparse_rows(n, terms, seed=5):
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        t = np.sort(r.choice(terms, 6, False))
+        w = r.integers(1, 5, 6).astype(float)  # few values, so that cosines tie
+        out.append((t, w / np.linalg.norm(w)))
+    return out
+
+
 def test_block_max_search_is_exact():
-    rng = np.random.default_rng(0)
-    rows = [toxicity.unit({int(t): float(w) for t, w in zip(rng.choice(40, 6, False), rng.random(6) + 0.1, strict=True)}) for _ in range(500)]
+    rows = sparse_rows(500, 40)
     dense = np.zeros((500, 40))
-    for i, v in enumerate(rows):
-        dense[i, list(v)] = list(v.values())
-    index = toxicity.BlockMaxIndex(rows, 40)
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    names = np.random.default_rng(2).permutation(500)
+    index = toxicity.BlockMaxIndex(rows, 40, names)
     for q in range(0, 500, 17):
         sims = np.round(dense @ dense[q], 12)
         sims[q] = -1
-        want = np.lexsort((np.arange(500), -sims))[:10]
-        got, s = index.search(rows[q], 10, skip=q)
-        assert np.allclose(np.sort(s), np.sort(sims[want])) and s.min() >= np.sort(sims)[-10] - 1e-9
+        want = np.lexsort((names, -sims))[:10]
+        got, s, _ = index.search(rows[q], 10, skip=q)
+        assert got.tolist() == want.tolist() and np.allclose(s, sims[want])
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    assert len(index.search(none, 10)[0]) == 0 and len(toxicity.BlockMaxIndex([], 0).search(none, 3)[0]) == 0
+    assert sorted(toxicity.like_order(rows, 40).tolist()) == list(range(500))
+
+
+def test_blocks_are_skipped():
+    """Where examples differ by subject, few blocks are read for a query."""
+    rows = [(t + 40 * (i % 16), w) for i, (t, w) in enumerate(sparse_rows(2048, 40))]
+    rows = [rows[i] for i in toxicity.like_order(rows, 640)]
+    index = toxicity.BlockMaxIndex(rows, 640)
+    read = np.mean([index.search(rows[q], 5)[2] for q in range(0, 2048, 97)])
+    assert index.blocks == 32 and read < 8
+
+
+def test_toxicity_by_brute_force(spark, frames):
+    """Document frequencies, weights, cosines, votes and calibration over again, in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    docs, labels, known = frames
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    words = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in texts}
+    truth = {i: y for i, _, y in known}
+    first = {}
+    for i, t in texts:
+        if crc(i) % 3 != 1:
+            first.setdefault(t, i)
+    ex = sorted(first.values())
+    n1 = sum(truth[i] for i in ex)
+    df = Counter(w for c in words.values() for w in c)
+    a, c = (Counter(w for i in ex if truth[i] == y for w in words[i]) for y in (1, 0))
+    weight = {}
+    for w in a.keys() | c.keys():
+        lift = math.log((a[w] + 0.5) / (n1 + 1)) - math.log((c[w] + 0.5) / (len(ex) - n1 + 1))
+        low = max(0, lift - 2 * math.sqrt(1 / (a[w] + 0.5) + 1 / (c[w] + 0.5)))
+        weight[w] = (1 + math.log((1 + len(words)) / (1 + df[w]))) * math.exp(2 * low)
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in words[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vs = {i: vector(i) for i in words}
+
+    def vote(i, skip=None):
+        sims = sorted(((-round(sum(x * vs[e].get(w, 0) for w, x in vs[i].items()), 9), e) for e in ex if e != skip))[:15]
+        w = [1 / (1 - min(-s, 1) + 0.01) for s, _ in sims]
+        return sum(x * truth[e] for x, (_, e) in zip(w, sims, strict=True)) / sum(w), {e for _, e in sims}
+
+    raw = np.array([vote(i, i)[0] for i in ex])
+    ys = np.array([float(truth[i]) for i in ex])
+    share = {y: sum(1 for i in truth if crc(i) % 3 != 1 and truth[i] == y) for y in (0, 1)}
+    x, y = toxicity.isotonic(raw, ys, np.where(ys == 1, share[1] / ys.sum(), share[0] / (1 - ys).sum()))
+    for i in list(words)[::7]:
+        v, near = vote(i)
+        assert abs(got[i]["score"] - np.interp(v, x, y)) < 1e-6 and len(near & set(got[i]["evidence"])) >= 14
 
 
 def test_isotonic():
