@@ -1,23 +1,28 @@
 """Operator 7. Approximate nearest neighbours by multi-index hashing.
 
-Codes: the signs of centred vectors under ``rotations`` learned rotations (iterative quantisation of a
-bounded sample), as many bits each as vectors have components.  A code is split into substrings of 8 bits,
-each with its own inverted index.  For radius r and m substrings, r = m * s + a, two codes within r agree
-up to s bits in one of the first a + 1 substrings or up to s - 1 in one of the others: probing those values
-retrieves every code within r.  Retrieved rows are checked on whole codes and reranked by exact distance.
+Codes: the signs of centred vectors under learned rotations (iterative quantisation of a bounded sample), as many
+rotations as the code needs bits.  A code is split into substrings of 16 bits, each with its own inverted index.  With
+m substrings and each probed within ``s`` bits, every code within radius m * (s + 1) - 1 is retrieved: by the
+pigeonhole principle one of its substrings differs in s bits at most.  All retrieved rows are reranked by exact distance.
 
-The radius is the ``quantile`` of the code distances between neighbours in the sample.  Every row is
-indexed: rows are dealt into shards by a hash of the id, queries into blocks, and each (shard, block) is one
-piece that returns the best ``k`` of each query.  A piece with fewer than k rows within r widens r until it
-has k.
+m and s are fitted, not set: the exact neighbours of ``asked`` sampled rows are found among all rows, in one pass, and codes
+grow until ``target`` of them are retrieved.  Of s = 0, 1, 2, ... the first is taken that gets there with at most ``most`` substrings;
+small s makes few strangers share a value.  Clustered vectors need few substrings; for vectors without structure the share of rows
+that must be probed is a property of the data (README gives measured shares).
+
+Every row is indexed.  Rows are dealt into shards of about ``shard_rows`` by a hash of the id, whatever the cluster, and
+each shard answers its queries in blocks of ``block_rows``; rows are copied once for each block, that is once in 65,536 queries.
+A query that gets fewer than ``k`` rows this way is compared with all rows, also by shards and blocks.
 
 Defined cases: vectors that are null, empty, zero, of unusual length or hold null or non-finite components
-take no part, nor do null ids; rows that repeat a query's id are its own; equal distances go to the smaller
-id; fewer candidates than k give fewer rows.  Other columns are ignored; an empty table gives no rows.
+take no part, nor do null ids; rows that repeat a query's id are its own, and of those the smallest vector asks; equal
+distances go to the smaller id; fewer candidates than k give fewer rows.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,71 +31,106 @@ from pyspark.sql import functions as F
 from corvane.llm._common import cut, group_starts, whole_groups
 from corvane.llm.vectors import matrix, most_common_width, usable
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_NEAR = [np.flatnonzero(_POP <= s).astype(np.uint8) for s in range(9)]
+#: Bits of a substring.
+BITS = 16
+FOUND = "query_id long, vec_id long, score double"
+
 
+def ball(s: int) -> np.ndarray:
+    """All differences of at most ``s`` bits."""
+    return np.array([sum(1 << b for b in some) for n in range(s + 1) for some in combinations(range(BITS), n)], dtype=np.uint16)
 
-def learn(sample: np.ndarray, rotations: int, rounds: int = 15, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and rotations: each minimises the distance between the rotated sample and its signs."""
+
+def learn(sample: np.ndarray, rotations: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """``rotations`` rotations of a centred sample side by side: each brings it close to its signs."""
     rng = np.random.default_rng(seed)
-    centre = sample.mean(0)
-    x, d = sample - centre, sample.shape[1]
     out = []
     for _ in range(rotations):
-        r = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        r = np.linalg.qr(rng.normal(size=(sample.shape[1],) * 2))[0]
         for _ in range(rounds):
-            u, _, vt = np.linalg.svd(np.where(x @ r > 0, 1.0, -1.0).T @ x)
+            u, _, vt = np.linalg.svd(np.where(sample @ r > 0, 1.0, -1.0).T @ sample)
             r = (u @ vt).T
         out.append(r)
-    return centre, np.concatenate(out, 1)
+    return np.concatenate(out, 1)
 
 
 def encode(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as rows of bytes."""
-    return np.packbits((x - centre) @ rotation > 0, axis=1)
-
-
-def distances(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return _POP[codes ^ code].sum(1, dtype=np.int64)
-
-
-def fit_radius(sample: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int, quantile: float, queries: int = 256) -> int:
-    """Code distance that ``quantile`` of the sample's true neighbours keep within."""
-    codes, found = encode(sample, centre, rotation), []
-    for i in range(min(queries, len(sample))):
-        d = ((sample - sample[i]) ** 2).sum(1)
-        d[i] = np.inf
-        near = np.argsort(d)[: min(k, len(sample) - 1)]
-        found.append(distances(codes[i], codes[near]))
-    return int(np.ceil(np.quantile(np.concatenate(found), quantile))) if found and len(sample) > 1 else codes.shape[1] * 8
+    """Substrings of the codes: (rows, m)."""
+    bits = rotation.shape[1] // BITS * BITS
+    return np.packbits((x - centre) @ rotation[:, :bits] > 0, axis=1).view(">u2").astype(np.uint16)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of bits in which substrings differ."""
+    return np.unpackbits((a ^ b)[..., None].view(np.uint8), axis=-1).sum(-1)
+
+
+def fit(sample: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], target: float, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Centre, rotations and s such that ``target`` of the neighbour ``pairs`` meet in a substring."""
+    centre, d = sample.mean(0), sample.shape[1]
+    rotation, nearest = np.zeros((d, 0)), None
+    while True:
+        have = rotation.shape[1] // BITS
+        more = -(-max(32, have) * BITS // d)
+        rotation = np.concatenate([rotation, learn(sample - centre, more, rotation.shape[1])], 1)
+        m = min(most, rotation.shape[1] // BITS)
+        a, b = (encode(p, centre, rotation[:, : m * BITS]) for p in pairs)
+        nearest = np.minimum.accumulate(_apart(a, b), axis=1)  # the best of the first substrings
+        for s in range(2):
+            met = (nearest <= s).mean(0) if len(a) else np.ones(m)
+            if met[-1] >= target:
+                m = int(np.argmax(met >= target)) + 1
+                return centre, rotation[:, : m * BITS], s
+        if m == most:
+            break
+    for s in range(2, BITS + 1):
+        met = (nearest <= s).mean(0)
+        if met[-1] >= target:
+            m = int(np.argmax(met >= target)) + 1
+            return centre, rotation[:, : m * BITS], s
+    raise AssertionError("two substrings differ in all bits at most")
 
 
 class MultiIndex:
-    """An inverted index for each byte of the codes."""
+    """An inverted index for each substring of the codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.start = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=256))]) for j in range(codes.shape[1])]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows within ``radius``."""
-        m = len(self.order)
-        s, a = divmod(radius, m)
-        hit = np.zeros(len(self.codes), dtype=bool)
+        self.n, m = codes.shape
+        self.order = np.empty((m, self.n), dtype=np.int32)
+        self.start = np.empty((m, (1 << BITS) + 1), dtype=np.int32)
         for j in range(m):
-            t = min(8, s if j <= a else s - 1)
-            if t < 0:
-                continue
-            v = _NEAR[t] ^ code[j]
-            lo, n = self.start[j][v], self.start[j][v.astype(np.int64) + 1] - self.start[j][v]
-            total = int(n.sum())
-            hit[self.order[j][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)]] = True
-        rows = np.flatnonzero(hit)
-        return rows[distances(code, self.codes[rows]) <= radius]
-
-
-def _search(centre, rotation, radius: int, k: int, width: int):
+            self.order[j] = np.argsort(codes[:, j], kind="stable")
+            np.cumsum(np.bincount(codes[:, j], minlength=1 << BITS), out=self.start[j, 1:])
+            self.start[j, 0] = 0
+            self.start[j] += j * self.n
+        self.order, self.start = self.order.ravel(), self.start.ravel()
+        self.base = (np.arange(m, dtype=np.int64) * ((1 << BITS) + 1))[:, None]
+
+    def probe(self, code: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """All rows with a substring that differs from the code's by one of ``near``."""
+        at = ((code[:, None] ^ near[None, :]) + self.base).ravel()
+        lo = self.start[at]
+        n = self.start[at + 1] - lo
+        some = np.flatnonzero(n)
+        lo, n = lo[some], n[some]
+        hit = np.zeros(self.n, dtype=bool)
+        hit[self.order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]] = True
+        return np.flatnonzero(hit)
+
+
+def _nearest_of(q: int, v: np.ndarray, rows: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int):
+    """The k nearest of ``rows`` but those of the query's id; ties go to the smaller id."""
+    rows = rows[ids[rows] != q]
+    d = np.sqrt(((base[rows] - v) ** 2).sum(1))
+    if len(rows) > 4 * k:
+        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+        rows, d = rows[some], d[some]
+    best = np.lexsort((ids[rows], d))[:k]
+    return np.full(len(best), q), ids[rows[best]], d[best]
+
+
+def _search(fitted, k: int, width: int):
+    """Answers of each (shard, block), by the index or, without ``fitted``, from all rows of the shard."""
     group = ["shard", "block"]
 
     def run(batches):
@@ -103,35 +143,63 @@ def _search(centre, rotation, radius: int, k: int, width: int):
                 base_ids, base = ids[~query], x[~query]
                 if len(base_ids) == 0 or not query.any():
                     continue
-                index = MultiIndex(encode(base, centre, rotation))
-                out = []
-                for q, v, code in zip(ids[query], x[query], encode(x[query], centre, rotation), strict=True):
-                    rows = index.within(code, radius)
-                    rows = rows[base_ids[rows] != q]
-                    if len(rows) < k:
-                        far = distances(code, index.codes)
-                        own = base_ids != q
-                        if own.sum() == 0:
-                            continue
-                        rows = np.flatnonzero(own & (far <= np.sort(far[own])[min(k, own.sum()) - 1]))
-                    d = np.sqrt(((base[rows] - v) ** 2).sum(1))
-                    best = np.lexsort((base_ids[rows], d))[:k]
-                    out.append((np.full(len(best), q), base_ids[rows[best]], d[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                everything, out = np.arange(len(base_ids)), []
+                if fitted:
+                    centre, rotation, bits = fitted
+                    index, codes, near = MultiIndex(encode(base, centre, rotation)), encode(x[query], centre, rotation), ball(bits)
+                for i, (q, v) in enumerate(zip(ids[query], x[query], strict=True)):
+                    out.append(_nearest_of(q, v, index.probe(codes[i], near) if fitted else everything, base_ids, base, k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _exact(ids: np.ndarray, x: np.ndarray, k: int, width: int):
+    """Each task's nearest rows of a few queries, with their vectors."""
+
+    def run(batches):
+        for batch in batches:
+            base_ids, base = batch.column(0).to_numpy(), matrix(batch.column(1), width)
+            for q, v in zip(ids, x, strict=True):
+                _, near, d = _nearest_of(q, v, np.arange(len(base_ids)), base_ids, base, k)
+                at = np.searchsorted(base_ids, near, sorter=(order := np.argsort(base_ids, kind="stable")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(d), batch.column(1).take(pa.array(order[at]))], ["query_id", "vec_id", "score", "embedding"])
 
     return run
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query; rows that repeat an id count once each."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+
+
+def _pieces(rows: DataFrame, asks: DataFrame, shards: int, blocks: int) -> DataFrame:
+    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"), "vec_id", "embedding")
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "vec_id", "embedding")
+    return base.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block")
+
+
+def fit_index(rows: DataFrame, width: int, k: int = 10, sample: int = 4096, asked: int = 96, target: float = 0.95, most: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
+    """Codes of ``rows`` (``vec_id, embedding``): learnt from ``sample`` rows, fitted to the exact neighbours, among all rows, of ``asked``."""
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("vec_id", "embedding").toArrow()
+    x, ids = matrix(some.column("embedding"), width), some.column("vec_id").to_numpy()
+    ids, at = np.unique(ids[:asked], return_index=True)
+    near = rows.select("vec_id", "embedding").mapInArrow(_exact(ids, x[at], k, width), FOUND + ", embedding array<double>")
+    near = _best(near, k).select("query_id", "embedding").toArrow()  # at most asked * k rows
+    asks = x[at][np.searchsorted(ids, near.column("query_id").to_numpy())]
+    return fit(x, (asks, matrix(near.column("embedding"), width)), target, most)
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
     k: int = 10,
-    rotations: int = 4,
-    sample: int = 8192,
-    quantile: float = 0.97,
-    shard_rows: int = 32_768,
-    block_rows: int = 4096,
+    sample: int = 4096,
+    asked: int = 96,
+    target: float = 0.95,
+    most: int = 512,
+    shard_rows: int = 16_384,
+    block_rows: int = 65_536,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -141,21 +209,16 @@ def search(
     rows = cut(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))))
     width = most_common_width(rows, "embedding")
     rows = rows.filter(F.size("embedding") == width)
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not asked:
-        return empty
-    some = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()], dtype=np.float64)
-    centre, rotation = learn(some, rotations)
-    radius = fit_radius(some, centre, rotation, k, quantile)
-    # shards hold a bounded number of rows, and there are enough of them to use all cores
-    shards = max(-(-total // shard_rows), min(2 * spark.sparkContext.defaultParallelism, -(-total // 1024)))
-    blocks = -(-asked // block_rows)
-    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"), "vec_id", "embedding")
+    total, queries = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
+    if not queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards, blocks = -(-total // shard_rows), -(-queries // block_rows)
     asks = rows.filter("query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "vec_id", "embedding")
-    pieces = base.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block")
-    found = pieces.mapInArrow(_search(centre, rotation, radius, k, width), "query_id long, vec_id long, score double")
-    # rows that repeat an id count once each; ties go to the smaller id
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = _pieces(rows, asks, shards, blocks).mapInArrow(_search(fit_index(rows, width, k, sample, asked, target, most), k, width), FOUND)
+    best = cut(_best(found, k))
+    lack = asks.join(best.filter(F.col("rank") == k).withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
+    left = lack.count()
+    if left:
+        rest = _pieces(rows, lack, shards, -(-left // block_rows)).mapInArrow(_search(None, k, width), FOUND)
+        best = best.join(lack.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_best(rest, k))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -312,7 +312,7 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
 def test_nearest(spark):
     x, label = cloud(900, 24)
     df = vector_frame(spark, x, label)
-    rows = nearest.search(df, F.col("vec_id") % 10 == 0, shard_rows=200, block_rows=32).collect()
+    rows = nearest.search(df, F.col("vec_id") % 10 == 0, shard_rows=200, block_rows=32, asked=40).collect()
     hits = 0
     for q in range(0, 900, 10):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -327,12 +327,35 @@ def test_nearest(spark):
 
 
 def test_nearest_retrieves_all_in_radius():
+    """The pigeonhole bound: with m substrings probed within s bits, nothing within m * (s + 1) - 1 is missed."""
     rng = np.random.default_rng(6)
-    codes = rng.integers(0, 256, (800, 8)).astype(np.uint8)
+    x = rng.normal(size=(800, 16))
+    x[400:] = x[:400] + rng.normal(size=(400, 16)) * 0.1
+    rotation = nearest.learn(x, 8, 1)
+    codes = nearest.encode(x, np.zeros(16), rotation)
+    assert codes.shape == (800, 8) and all(len(nearest.ball(s)) == n for s, n in ((0, 1), (1, 17), (2, 137)))
     index = nearest.MultiIndex(codes)
-    for r in (0, 5, 13, 20, 27):
-        for q in range(0, 800, 97):
-            assert index.within(codes[q], r).tolist() == np.flatnonzero(nearest.distances(codes[q], codes) <= r).tolist()
+    for s in (0, 1, 2):
+        for q in range(0, 800, 37):
+            apart = nearest._apart(codes, codes[q])
+            got = index.probe(codes[q], nearest.ball(s))
+            assert got.tolist() == np.flatnonzero(apart.min(1) <= s).tolist()
+            assert set(np.flatnonzero(apart.sum(1) <= 8 * (s + 1) - 1)) <= set(got)
+
+
+def test_nearest_probes_few_rows_of_clusters():
+    """On clustered vectors the fitted index reads under a tenth of all rows and finds nine neighbours in ten."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(200, 32)), 60, axis=0) + rng.normal(size=(12_000, 32)) * 0.35
+    ask = rng.choice(12_000, 60, False)
+    true = [np.argsort(((x - x[q]) ** 2).sum(1))[1:11] for q in ask]
+    a, b = np.repeat(x[ask[:30]], 10, axis=0), x[np.concatenate(true[:30])]
+    centre, rotation, s = nearest.fit(x[::4], (a, b), 0.95, 512)
+    codes = nearest.encode(x, centre, rotation)
+    index = nearest.MultiIndex(codes)
+    got = [index.probe(codes[q], nearest.ball(s)) for q in ask[30:]]
+    assert np.mean([len(set(g) & set(t)) / 10 for g, t in zip(got, true[30:], strict=True)]) >= 0.9
+    assert np.mean([len(g) for g in got]) < 0.1 * len(x)
 
 
 def test_nearest_awkward(spark):
