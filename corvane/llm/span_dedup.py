@@ -1,22 +1,22 @@
 """Operator 5. Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in ``.``, ``!`` or ``?`` or that a line feed follows.  From every
-sentence the shortest run of at least ``run`` sentences and ``least_words`` words is hashed, forwards and
-backwards, over words with ASCII letters lower-cased.  All runs of all documents meet in one aggregation;
-of equal runs the first by (doc_id, place) stays, and every sentence that any other covers is removed.
+A sentence ends with a word that ends in ``.``, ``!`` or ``?`` or that a line feed follows.  Every run of ``run``
+consecutive sentences is hashed (three unless the caller says otherwise, however short they are), over words with ASCII letters lower-cased;
+longer repeats are met by the runs they hold.  All runs of all documents meet in one aggregation; of equal runs the
+first by (doc_id, place) stays, and every sentence that any other covers is removed.
 Equal runs are counted before they are joined back, and a run that a large part of all documents share is
 one row on the small side, so that its occurrences can be split.
 
-Passages that hold no such run (cut off inside sentences, or one long sentence) are met word by word: of every
+Passages that hold no such run (one or two long sentences, or cut off inside sentences) are met word by word: of every
 50 words of a text the piece of 38 words with the smallest hash goes into the same aggregation, so two copies of
 any 50 words share a piece.  Later copies of a piece are removed too; of a repeat of 50 words or more at most
 12 words at each end stay.  A copy that overlaps the first within its document is removed from behind it.
 
-Defined cases: null text stays null and empty text empty, without sentences; runs that the text's ends cut
-short are not hashed, so texts under ``run`` sentences or ``least_words`` words stay whole unless they have
-50 words; very long texts are handled whole.  Rows with one doc_id are one document (equal places in them are one occurrence); null
-ids come last and are never removed from.  A removal is applied only where the run stands.  Other columns
-are ignored; an empty table gives no rows.
+Defined cases: null text stays null and empty text empty, without sentences; texts under ``run`` sentences stay whole
+unless they have 50 words; very long texts are handled whole.  A document is an id with a text: rows equal in both are one document (equal
+places in them are one occurrence, so they keep or lose the same), rows that share an id alone are documents of their own, and so are
+rows without an id, which come last and are removed from like others.  Only marks of a document's own places are gathered, so a
+cell grows with its text alone.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def _sentences(texts: list[str | None]):
     return hashes, first, owner[first[:-1]], starts, raw
 
 
-def _spans(texts: list[str | None], run: int, least: int):
+def _spans(texts: list[str | None], run: int):
     """Of all runs: hash, text, first sentence (in the text), number of sentences; the same of pieces, with the first word
     and 0; and of each sentence its text and bytes."""
     hashes, first, owner, starts, raw = _sentences(texts)
@@ -63,16 +63,9 @@ def _spans(texts: list[str | None], run: int, least: int):
     if n == 0:
         return np.zeros(0, np.uint64), none, none, none, owner, first, starts, raw
     word_text = np.repeat(owner, np.diff(first))
-    at = np.arange(n)
-    tail = np.searchsorted(owner, owner, side="right")  # one past the text's last sentence
     head = np.searchsorted(owner, owner, side="left")
-    # forwards: [i, stop); backwards: [begin, j]
-    stop = np.maximum(at + run, np.searchsorted(first, first[:-1] + least, side="left"))
-    begin = np.minimum(at - run + 1, np.searchsorted(first, first[1:] - least, side="right") - 1)
-    a = np.concatenate([at[stop <= tail], begin[begin >= head]])
-    b = np.concatenate([stop[stop <= tail], at[begin >= head] + 1])
-    ab = np.unique(np.stack([a, b], 1), axis=0)
-    a, b = ab[:, 0], ab[:, 1]
+    a = np.flatnonzero(owner[: n - run + 1] == owner[run - 1 :]) if n >= run else none  # runs that stay in their text
+    b = a + run
     # prefix sums of words times powers give the hash of any run; the power of its first word is divided out
     with np.errstate(over="ignore"):
         power, back = _powers(len(hashes))
@@ -121,26 +114,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0][:n], _TABLE[1][:n]
 
 
-def _emit(run: int, least: int):
+def _emit(run: int):
     def go(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                value, text, start, n, *_ = _spans(part.column(1).to_pylist(), run, least)
+                value, text, start, n, *_ = _spans(part.column(2).to_pylist(), run)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), part.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["span", "doc_id", "at", "n"]
+                    [pa.array(value.view(np.int64)), *(part.column(i).take(pa.array(text)) for i in (0, 1)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["span", "doc_id", "row", "at", "n"]
                 )
 
     return go
 
 
-def _apply(run: int, least: int):
+def _apply(run: int):
     def go(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts, marks = part.column(1).to_pylist(), part.column(2)
-                value, text, start, n, owner, first, starts, raw = _spans(texts, run, least)
+                value, text, start, n, owner, first, starts, raw = _spans(texts, run)
                 sizes = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
                 heads = np.cumsum(sizes) - sizes
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -151,7 +144,7 @@ def _apply(run: int, least: int):
                     # sentence k of the text has its words edge[k] to edge[k + 1]
                     edge = first[heads[i] : heads[i] + sizes[i] + 1]
                     edge = edge - edge[0]
-                    whole, gone = np.zeros(sizes[i], dtype=bool), np.zeros(edge[-1], dtype=bool)
+                    gone = np.zeros(edge[-1], dtype=bool)
                     own, spans = [], set()
                     if found:
                         lo, hi = bounds[i], bounds[i + 1]
@@ -159,11 +152,10 @@ def _apply(run: int, least: int):
                         for f in found:
                             if here.get((f["at"], f["n"])) == f["span"]:
                                 if f["n"]:
-                                    whole[f["at"] : f["at"] + f["n"]] = True
                                     gone[edge[f["at"]] : edge[f["at"] + f["n"]]] = True
                                 else:
                                     gone[f["since"] : f["at"] + PIECE] = True
-                                spans.add(f["first"])
+                                spans |= {f["first"]} - {None}
                     if gone.any():
                         # a word runs from its first byte to the next word's
                         offset, w = base[i] + i, first[heads[i]]
@@ -176,7 +168,7 @@ def _apply(run: int, least: int):
                             kept.append(data[last:s])
                             last = e
                         texts[i] = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
-                    removed.append(int(whole.sum()))
+                    removed.append(int(np.logical_or.reduceat(gone, edge[:-1]).sum()) if sizes[i] else 0)
                     dropped.append(int(gone.sum()))
                     ranges.append(own)
                     origins.append(sorted(spans))
@@ -188,18 +180,19 @@ def _apply(run: int, least: int):
     return go
 
 
-def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_sentences, n_removed`` (sentences in repeated runs), ``words_removed`` (with
-    those of pieces), ``removed`` (character ranges of the given text), ``first_in`` (documents that keep what was removed)
+def remove_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_sentences, n_removed`` (sentences that lose words), ``words_removed``,
+    ``removed`` (character ranges of the given text), ``first_in`` (documents that keep what was removed)
     and ``text`` without the removed ranges."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = source.filter("doc_id is not null").mapInArrow(_emit(run, least_words), "span long, doc_id long, at int, n int")
-    spans = cut(spans)
-    repeated = spans.groupBy("span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at")).alias("first")).filter("times > 1")
+    source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    spans = cut(source.mapInArrow(_emit(run), "span long, doc_id long, row long, at int, n int"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "at"))
+    repeated = spans.groupBy("span").agg(F.count(F.lit(1)).alias("times"), first.alias("first")).filter("times > 1")
     # written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hot one
-    repeated = cut(repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.at").alias("first_at")))
-    later = spans.join(repeated, "span").filter("doc_id <> first or at <> first_at")
-    since = F.when(F.col("doc_id") == F.col("first"), F.greatest("at", F.col("first_at") + PIECE)).otherwise(F.col("at"))
-    marks = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "span", "first", since.alias("since"))).alias("marks"))
-    joined = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_apply(run, least_words), "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<struct<start:long,end:long>>, first_in array<long>, text string")
+    repeated = cut(repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")))
+    later = spans.join(repeated, "span").filter("row <> first_row or at <> first_at")
+    since = F.when(F.col("row") == F.col("first_row"), F.greatest("at", F.col("first_at") + PIECE)).otherwise(F.col("at"))
+    marks = later.groupBy("row").agg(F.collect_set(F.struct("at", "n", "span", "first", since.alias("since"))).alias("marks"))
+    joined = source.join(marks, "row", "left").select("doc_id", "text", "marks")
+    return joined.mapInArrow(_apply(run), "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<struct<start:long,end:long>>, first_in array<long>, text string")

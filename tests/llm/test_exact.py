@@ -170,46 +170,61 @@ def sentences(text):
     return out + ([tuple(cur)] if cur else [])
 
 
-def brute_spans(given, run=2, least=12):
-    seen, where = {}, defaultdict(list)
-    for i, text in sorted(given):
+def brute_spans(given, run=3):
+    """Sentences that repeated runs cover, and words that stand in a 38-word stretch met before."""
+    where, gone = defaultdict(list), defaultdict(set)
+    for i, text in given:
         s = sentences(text)
-        spans = set()
-        for a in range(len(s)):
-            for b in range(a + run, len(s) + 1):
-                if sum(map(len, s[a:b])) >= least:
-                    spans.add((a, b))
-                    break
-        for b in range(len(s), 0, -1):
-            for a in range(b - run, -1, -1):
-                if sum(map(len, s[a:b])) >= least:
-                    spans.add((a, b))
-                    break
-        for a, b in spans:
-            where[tuple(s[a:b])].append((i, a, b))
-    gone = defaultdict(set)
+        for a in range(len(s) - run + 1):
+            where[tuple(s[a : a + run])].append((i, a))
     for places in where.values():
-        first = min(places)
-        for i, a, b in places:
-            if (i, a) != first[:2]:
-                gone[i] |= set(range(a, b))
-    return {i: len(gone[i]) for i, _ in given}
+        for i, a in sorted(places)[1:]:
+            gone[i] |= set(range(a, a + run))
+    seen, again = set(), defaultdict(set)
+    for i, text in sorted(given):
+        w = [x for s in sentences(text) for x in s]
+        for k in range(len(w) - 37):
+            stretch = tuple(w[k : k + 38])
+            if stretch in seen:
+                again[i] |= set(range(k, k + 38))
+            seen.add(stretch)
+    return gone, again
 
 
 def test_span_dedup(spark):
     df = docs(spark)
-    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu. Nu xi omicron pi rho sigma tau upsilon. Phi chi psi omega end."
-    extra = spark.createDataFrame([(9001, "Start here with words. " + passage + " Then another close."), (9002, "unfinished line " + passage + " And done.")], "doc_id long, text string")
+    passage = "Alpha beta gamma delta. Eta theta iota. Nu xi omicron pi. Phi chi psi omega end."
+    extra = spark.createDataFrame([(9001, "Start here with words. " + passage + " Then another close."), (9002, "unfinished line " + passage + " And done."), (9003, "Only two. Phi chi psi omega end. Nu xi omicron pi. Done here.")], "doc_id long, text string")
     df = df.select("doc_id", "text").unionByName(extra)
     given = [(r["doc_id"], r["text"]) for r in df.collect()]
     got = {r["doc_id"]: r for r in span_dedup.remove_repeats(df).collect()}
-    assert {i: r["n_removed"] for i, r in got.items()} == brute_spans(given)
-    assert got[9001]["n_removed"] == 0 and "Phi chi" not in got[9002]["text"] and got[9002]["first_in"] == [9001]
+    # the first sentence of the passage is cut into another in 9002, the last three form a run; two sentences are none
+    assert [got[i]["n_removed"] for i in (9001, 9002, 9003)] == [0, 3, 0] and "Phi chi" not in got[9002]["text"] and got[9002]["first_in"] == [9001]
+    gone, again = brute_spans(given)
+    assert sum(map(len, gone.values())) > 100
     for i, text in given:
+        places = [(m.start(), m.end()) for m in re.finditer(WORD, text or "")]
+        lost = {k for k, (s, _) in enumerate(places) if any(x["start"] <= s < x["end"] for x in got[i]["removed"])}
+        s, k, must, touched = sentences(text), 0, set(), 0
+        for n, sentence in enumerate(s):
+            own = set(range(k, k + len(sentence)))
+            must |= own if n in gone[i] else set()
+            touched += bool(own & lost)
+            k += len(sentence)
+        assert must <= lost <= must | again[i] and len(lost) == got[i]["words_removed"] and touched == got[i]["n_removed"]
         kept, last = "", 0
         for x in got[i]["removed"]:
             kept, last = kept + text[last : x["start"]], x["end"]
-        assert kept + text[last:] == got[i]["text"] and got[i]["n_sentences"] == len(sentences(text))
+        assert kept + text[last:] == got[i]["text"] and got[i]["n_sentences"] == len(s)
+
+
+def test_span_dedup_of_rows(spark):
+    """Rows that share an id go by their own texts, and rows without an id are removed from as well."""
+    a, b = "One two three. Four five. Six seven eight.", "Nine ten. Eleven twelve. Thirteen."
+    rows = [(5, a), (5, b), (7, a), (None, "Other start. " + b), (None, "Other start. " + b), (5, a)]
+    for given in (rows, rows[::-1]):
+        got = span_dedup.remove_repeats(spark.createDataFrame(given, "doc_id long, text string")).collect()
+        assert sorted((str(r["doc_id"]), r["n_removed"], r["text"].strip()) for r in got) == sorted([("5", 0, a), ("5", 0, a), ("5", 0, b), ("7", 3, ""), *[("None", 3, "Other start.")] * 2])
 
 
 def test_span_dedup_awkward(spark):
