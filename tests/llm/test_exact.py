@@ -279,6 +279,36 @@ def test_license_spelling(spark):
     assert licenses.scan(awkward(spark)).count() == 9 and licenses.scan(awkward(spark).limit(0)).count() == 0
 
 
+def test_license_lines_and_spellings(spark):
+    """A known text's own holder line gives no mark, spellings next to each other are all taken, rows without an id are looked up."""
+    texts = spark.createDataFrame([("Own", "Copyright (c) 2020 Averyveryverylongholdername\nfree to use by all"), ("Two", "the licence licence text"), ("Nothing", " -- ")], "license string, text string")
+    rows = [(1, "before\nfree to use by all\nafter"), (2, "the license license text"), (None, "a\nThe Licence, License text!"), (3, " -- "), (3, "Copyright 1999 X\nFREE to use\nby all")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts).select("doc_id", "license", "line_licenses").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, None, "Own"), (2, "Two", "Two"), (None, None, "Two"), (3, None, ""), (3, "Own", "")], key=str)
+
+
+def test_license_lines_with_many_known_texts(spark):
+    """Beyond a number of marks every line is looked up: with the same result."""
+    texts = [(f"L{i}", f"terms number{i:03d}x of use") for i in range(200)]
+    rows = [(i, f"first\nTerms number{i * 7:03d}x of use.\nlast") for i in range(30)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(texts, "license string, text string")).collect()
+    assert {r["doc_id"]: r["line_licenses"] for r in got} == {i: f"L{i * 7}" if i * 7 < 200 else "" for i in range(30)}
+
+
+def test_license_digests(spark):
+    """The shipped digests are those of the texts that Debian installs, where they are at hand."""
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(n, f.read_text()) for f, n in ((Path("/usr/share/common-licenses", f), n) for f, n in names.items()) if f.exists()]
+    if not rows:
+        pytest.skip("no license texts here")
+    # other line breaks and another holder make no difference
+    docs_ = [(i, "Copyright 2024 Somebody\n\n" + t.replace("\n", "\r\n").upper()) for i, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(docs_, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(rows)}
+
+
 # near-dedup
 
 
