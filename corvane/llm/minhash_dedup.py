@@ -10,13 +10,16 @@
    classes share them, the rarest (coords - T + 1) suffice to meet every class it has T in common with.
 4. Collisions are counted within each prefix list.  Long lists are cut into blocks, every pair of
    blocks is one piece of work, and a piece returns a spanning forest, never all pairs.
-5. The families so found are checked on full shingle sets, again by blocks, by integer comparison.
-   Components of the confirmed links give the groups.
+5. The families so found are checked on full shingle sets by integer comparison.  First every member is compared with
+   its family's pivot, the one with most candidate links; what links to it is settled.  The others are compared with each
+   other and with all members, by blocks, so that members of one settled group are never paired.  Components of the
+   confirmed links give the groups.
 
 Defined cases: null or blank text has no shingles, n_shingles 0 and links with nothing; a text shorter
 than a shingle is one shingle.  Rows that repeat a doc_id each get a row, and each goes by its own text.  A null
-doc_id never names a group that holds an id; of each group one row stays, the one with the smallest id, then key.  Columns other
-than the id and the text are ignored.  An empty table gives an empty result.
+doc_id never names a group that holds an id.  ``kept`` marks one row of each group, the one with the smallest id, then key (and rows
+equal to it in id and text); ``keep_one`` goes by it.  Columns other than the id and the text are ignored.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from corvane.llm._common import WORD, binary_rows, block_pairs, cut, group_start
 from corvane.llm.components import components
 from corvane.llm.wordhash import minhash, mix64, shingles
 
-#: Classes in a block of one posting list, and texts in a block of one family.
-LIST_BLOCK, FAMILY_BLOCK = 1024, 192
+#: Classes in a block of one posting list, members in a block compared with a pivot, and texts in a block of a family's rest.
+LIST_BLOCK, STAR_BLOCK, FAMILY_BLOCK = 1024, 384, 192
 
 
 def matches_needed(similarity: float, coords: int, miss: float = 1e-9) -> int:
@@ -130,12 +133,42 @@ def _sets(words: int):
                 values, sizes = shingles(part.column(names.index("text")).to_pylist(), words)
                 a, _ = _set_key(values, sizes)
                 same = pa.array(a == part.column(names.index("set_a")).to_numpy())
-                out = pa.RecordBatch.from_arrays([part.column(names.index("rep")), part.column(names.index("root")), part.column(names.index("family")), binary_rows(values, sizes)], ["rep", "root", "family", "values"])
+                out = pa.RecordBatch.from_arrays([part.column(names.index("rep")), part.column(names.index("root")), part.column(names.index("family")), part.column(names.index("pivot")), binary_rows(values, sizes)], ["rep", "root", "family", "pivot", "values"])
                 yield out.filter(same)
 
     return run
 
 
+def _with_pivot(percent: int):
+    """Members of each block whose shingle sets reach ``percent`` of the pivot's, with the pivot."""
+    keys = ["root", "blk"]
+
+    def run(batches):
+        for tab in whole_groups(batches, keys):
+            bounds = group_starts(tab, keys)
+            rep, lead = tab.column("rep").to_numpy(), tab.column("pivot").to_numpy()
+            cells = tab.column("values").to_pylist()
+            out_a, out_b = [], []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                centre = int(np.flatnonzero(rep[s:e] == lead[s:e])[0]) + s
+                values = np.frombuffer(cells[centre], dtype=np.uint64)
+                others = [i for i in range(s, e) if rep[i] != lead[i]]
+                if not others:
+                    continue
+                sets = [np.frombuffer(cells[i], dtype=np.uint64) for i in others]
+                size = np.array([len(x) for x in sets])
+                every = np.concatenate(sets)
+                at = np.minimum(np.searchsorted(values, every), len(values) - 1)
+                inter = np.add.reduceat((values[at] == every).astype(np.int64), np.cumsum(size) - size)
+                near = np.flatnonzero(100 * inter >= percent * (size + len(values) - inter))
+                out_a.append(rep[np.array(others)[near]])
+                out_b.append(np.full(len(near), rep[centre]))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return run
+
+
 def _confirmed(percent: int):
     """Links of each family block whose shingle sets reach ``percent``: 100 * |A and B| >= percent * |A or B|."""
     keys = ["root", "blk_p", "blk_q"]
@@ -210,16 +243,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
     prefix = lists.select("rep", F.inline(F.slice("l", F.lit(1), F.size("l") - (need - 1))))
     prefix = block_pairs(prefix.join(classes.select("rep", "sig"), "rep"), "n", "rep", LIST_BLOCK)
     keys = ["key", "blk_p", "blk_q"]
-    links = prefix.select(*keys, "rep", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_list_links(need), "a long, b long")
+    links = cut(prefix.select(*keys, "rep", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_list_links(need), "a long, b long").distinct())
     families = components(links, "a", "b")
     members = families.union(families.select(F.col("root").alias("node"), "root").distinct())
-    sizes = families.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("family"))
-    members = members.join(sizes, "root").withColumnRenamed("node", "rep").join(classes.select("rep", "set_a"), "rep")
-    texts = source.join(members.withColumnRenamed("rep", "row_key"), "row_key").select(F.col("row_key").alias("rep"), "root", "family", "set_a", "text")
-    sets = texts.mapInArrow(_sets(words), "rep long, root long, family long, values binary").dropDuplicates(["rep"])
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    members = members.join(ends, "node").select(F.col("node").alias("rep"), "root", "links")
+    heads = members.groupBy("root").agg(F.count(F.lit(1)).alias("family"), F.max(F.struct("links", "rep"))["rep"].alias("pivot"))
+    # written out with its size known, so that a small one meets the texts at their scan
+    members = cut(members.join(heads, "root").join(classes.select("rep", "set_a"), "rep").select(F.col("rep").alias("row_key"), "root", "family", "pivot", "set_a"))
+    texts = source.join(members, "row_key").select(F.col("row_key").alias("rep"), "root", "family", "set_a", "text", "pivot")
+    sets = cut(texts.mapInArrow(_sets(words), "rep long, root long, family long, pivot long, values binary").dropDuplicates(["rep"]))
+    # members with their pivot
+    blocks = F.ceil(F.col("family") / F.lit(STAR_BLOCK)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    stars = sets.withColumn("blk", F.explode(F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
+    keys = ["root", "blk"]
+    near = cut(stars.select(*keys, "rep", "pivot", "values").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_with_pivot(percent), "a long, b long"))
+    # the rest with each other and with all of their family
+    settled = near.select(F.col("a").alias("rep"), F.lit(False).alias("rest"))
+    state = members.select(F.col("row_key").alias("rep"), "root", "pivot").join(settled, "rep", "left").withColumn("rest", F.coalesce("rest", F.col("rep") != F.col("pivot")))
+    counts = state.groupBy("root").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_near")).filter("n_rest > 0")
+    state = cut(state.join(counts, "root").select("rep", "rest", F.ceil(F.col("n_rest") / FAMILY_BLOCK).cast("int").alias("rests"), F.ceil(F.col("n_near") / FAMILY_BLOCK).cast("int").alias("nears")))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("nears"))).cast("int")
+    mine = F.when(F.col("rest"), mine).otherwise(F.col("rests") + mine)
+    met = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("nears") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
+    state = state.withColumn("mine", mine).withColumn("other", F.explode(met)).select("rep", F.least("mine", "other").alias("blk_p"), F.greatest("mine", "other").alias("blk_q"))
     keys = ["root", "blk_p", "blk_q"]
-    pieces = block_pairs(sets, "family", "rep", FAMILY_BLOCK).select(*keys, "rep", "values").repartition(*keys).sortWithinPartitions(*keys)
-    groups = components(pieces.mapInArrow(_confirmed(percent), "a long, b long"), "a", "b")
+    pieces = sets.select("rep", "root", "values").join(state, "rep").select(*keys, "rep", "values").repartition(*keys).sortWithinPartitions(*keys)
+    confirmed = near.union(pieces.mapInArrow(_confirmed(percent), "a long, b long"))
+    groups = components(confirmed, "a", "b")
     linked = groups.union(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep").join(classes.select("rep", "low"), "rep")
     best = linked.groupBy("root").agg(F.min(F.struct(F.isnull("low").alias("none"), "low", "rep")).alias("m"))
     linked = linked.join(best, "root").select("rep", F.col("m.low").alias("of"), F.col("m.rep").alias("stays"))

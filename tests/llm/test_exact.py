@@ -349,6 +349,7 @@ def test_near_duplicates(spark, n, percent, monkeypatch):
     want, size = brute_groups(base, n, percent)
     monkeypatch.setattr(minhash_dedup, "LIST_BLOCK", 16)
     monkeypatch.setattr(minhash_dedup, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "STAR_BLOCK", 8)
     got = minhash_dedup.near_duplicates(df, words=n, percent=percent).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert {r["doc_id"]: r["n_shingles"] for r in got} == size
