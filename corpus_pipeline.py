@@ -16,29 +16,53 @@ from corvane.llm._common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like others; very long texts are scored whole; equal texts share their fate, so repeated
+    rows stay or go together; without labels every document has one score and all stay or all go (0.5: all stay).  All columns
+    are kept, whatever their names; an empty table stays empty.
+    """
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    """One document of each group of near duplicates (five words, similarity 0.8), the one with the smallest id.
+
+    Rows equal in id and text are one; texts without a word (null, empty, blank) are never near anything and stay, one row of
+    each id and text, all where the id is null; rows without an id stay only where no row with an id resembles them.  Very long
+    texts are compared whole.  All columns are kept; an empty table stays empty.
+    """
     found = minhash_dedup.near_duplicates(docs)
     return minhash_dedup.keep_one(docs, found)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return secrets.redact(docs)
+    """All documents, with secrets replaced by a mark.
+
+    Null and empty texts stay as they are; very long texts are scanned whole; repeated rows get the same marks; all rows
+    and columns are kept, null ids too; an empty table stays empty.
+    """
+    return secrets.redact(docs, secrets.train(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights.
+
+    Texts without a word have no size and are left out; a null source is a source of its own, the last; a very long text is one
+    document, its last copy may be cut; repeated rows are drawn each by itself, rows without an id too.  All columns are kept, also
+    such as ``taken`` or ``nth``; an empty table stays empty.
+    """
     return mixing.resample(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
-    return packing.pack(docs, with_ids=False)
+    """Token sequences of the documents that are left: pieces with their ids and their place in a sequence.
+
+    Null and empty texts are one closing id; very long texts are cut over as many sequences as they need; each row, also a
+    repeated one or one without an id, is packed by itself.  Columns other than the id and the text end here; an empty table gives no
+    pieces.
+    """
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
