@@ -133,7 +133,7 @@ def mix(
         live, depth = left.withColumn("bucket", F.floor(F.col("bucket") / fan)), depth + 1
     decided = decided.union(left.select("rank", "id", "nth", "size", "p"))
     extra = F.round(F.col("p") * F.col("size")).cast("long")
-    at = aims.select("rank", "source", "source_size", "target", F.floor(F.col("target") / F.col("source_size")).alias("whole"))
+    at = aims.select("rank", "source", "source_size", "target", F.floor(F.try_divide("target", "source_size")).alias("whole"))
     out = decided.join(at, "rank").select(F.col("id").alias("doc_id"), "source", "size", "nth", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"))
     return done.union(out)
 

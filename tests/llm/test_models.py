@@ -417,3 +417,51 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in after} == set(before) and all(r["text"] == before[r["doc_id"]] or "[SECRET]" in r["text"] for r in after)
     assert corpus_pipeline.STAGES[4][1](spark, docs, DATA).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "secret_scans", "mixing", "packing"]
+
+
+def test_pipeline_run(spark):
+    """run() equals the stages one after another; packing holds each id of each document left, once a copy."""
+    from collections import Counter, defaultdict
+
+    from tests.llm.test_exact import tokens
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, DATA)
+    given = [(r["doc_id"], tokens(r["text"])) for r in docs.collect()]
+    texts = defaultdict(set)
+    for i, ids in given:
+        texts[i, len(ids)].add(tuple(ids))
+    held, begun = Counter(), Counter()
+    places = defaultdict(int)
+    for r in corpus_pipeline.run(spark, DATA).collect():
+        ids = tuple(np.frombuffer(r["ids"], dtype="<u4").tolist()) if isinstance(r["ids"], (bytes, bytearray)) else tuple(r["ids"])
+        key = r["doc_id"], r["doc_tokens"]
+        assert len(ids) == r["length"] and any(t[r["start"] : r["start"] + r["length"]] == ids for t in texts[key])
+        held[key] += r["length"]
+        begun[key] += r["start"] == 0
+        places[r["sequence_id"]] += r["length"]
+    copies = Counter((i, len(ids)) for i, ids in given)
+    assert begun == copies and all(held[k] == n * k[1] for k, n in copies.items()) and max(places.values()) <= 1024
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    df = awkward(spark)
+    odd = spark.createDataFrame([(1, 0, 0), (4, 1, 0), (None, 1, 1)], LABELS)
+    odd.write.parquet(f"{tmp_path}/labels.parquet")
+    for some in (df, df.limit(0)):
+        docs = some
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            before = docs.count()
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.schema.simpleString() == df.schema.simpleString(), name
+            assert name == "mixing" or docs.count() <= before
+        left = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+        assert (left.count() > 0) == (docs.count() > 0)
+    # what each stage says of them, on its own input
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted(str(r["doc_id"]) for r in d.collect())
+    assert ids(stages["secret_scans"](spark, df, "")) == ids(df)
+    assert ids(stages["minhash_near_dedup"](spark, df, "")) == ["1", "2", "3", "4", "6", "7", "None"]
+    assert not {"1", "2", "3"} & set(ids(stages["mixing"](spark, df, "")))
+    assert stages["packing"](spark, df, "").filter("start = 0").count() == 9
