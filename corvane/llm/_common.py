@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,18 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def slices(batch: pa.RecordBatch, text: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of text (one text at least), so that long texts do not add up."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0))
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(at + rows, max(at + 1, full), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def group_starts(tab: pa.Table, keys: list[str]) -> np.ndarray:
     """Where each group of a sorted table starts, and its end."""
     change = np.zeros(tab.num_rows, dtype=bool)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import WORD, binary_rows, block_pairs, cut, group_starts, list_rows, local_forest, whole_groups
+from corvane.llm._common import WORD, binary_rows, block_pairs, cut, group_starts, list_rows, local_forest, slices, whole_groups
 from corvane.llm.components import components
 from corvane.llm.wordhash import minhash, mix64, shingles
 
@@ -52,8 +52,7 @@ def matches_needed(similarity: float, coords: int, miss: float = 1e-9) -> int:
 def _signatures(words: int, coords: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 values, sizes = shingles(part.column(1).to_pylist(), words)
                 a, b = _set_key(values, sizes)
                 sig = minhash(values, sizes, coords)
@@ -128,8 +127,7 @@ def _sets(words: int):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 values, sizes = shingles(part.column(names.index("text")).to_pylist(), words)
                 a, _ = _set_key(values, sizes)
                 same = pa.array(a == part.column(names.index("set_a")).to_numpy())

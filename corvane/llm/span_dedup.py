@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut
+from corvane.llm._common import cut, slices
 from corvane.llm.wordhash import mix64, scan_words
 
 _ENDS = np.zeros(256, bool)
@@ -117,8 +117,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _emit(run: int):
     def go(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 value, text, start, n, *_ = _spans(part.column(2).to_pylist(), run)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view(np.int64)), *(part.column(i).take(pa.array(text)) for i in (0, 1)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["span", "doc_id", "row", "at", "n"]
@@ -130,8 +129,7 @@ def _emit(run: int):
 def _apply(run: int):
     def go(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 texts, marks = part.column(1).to_pylist(), part.column(2)
                 value, text, start, n, owner, first, starts, raw = _spans(texts, run)
                 sizes = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
@@ -187,11 +185,12 @@ def remove_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_c
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     spans = cut(source.mapInArrow(_emit(run), "span long, doc_id long, row long, at int, n int"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "at"))
-    repeated = spans.groupBy("span").agg(F.count(F.lit(1)).alias("times"), first.alias("first")).filter("times > 1")
-    # written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hot one
-    repeated = cut(repeated.select("span", F.col("first.doc_id").alias("first"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")))
-    later = spans.join(repeated, "span").filter("row <> first_row or at <> first_at")
+    # counts alone decide which runs go on; written out, so that the join's sides are plain shuffles, of which adaptive execution can split a hot one
+    repeated = cut(spans.groupBy("span").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("span"))
+    again = cut(spans.join(repeated, "span"))
+    first = again.groupBy("span").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "at")).alias("first"))
+    first = cut(first.select("span", F.col("first.doc_id").alias("first"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")))
+    later = again.join(first, "span").filter("row <> first_row or at <> first_at")
     since = F.when(F.col("row") == F.col("first_row"), F.greatest("at", F.col("first_at") + PIECE)).otherwise(F.col("at"))
     marks = later.groupBy("row").agg(F.collect_set(F.struct("at", "n", "span", "first", since.alias("since"))).alias("marks"))
     joined = source.join(marks, "row", "left").select("doc_id", "text", "marks")
