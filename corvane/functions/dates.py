@@ -39,7 +39,9 @@ def months(a: Column, b: Column) -> Column:
 
 
 def span_text(days: Column) -> Column:
-    """Days as years and months of mean length."""
+    """Days as years, months of mean length and days."""
     y = F.floor(days / 365.25)
-    m = F.floor((days - y * 365.25) / 30.436875)
-    return F.concat(y.cast("string"), F.lit(" years "), m.cast("string"), F.lit(" months"))
+    left = days - y * 365.25
+    m = F.floor(left / 30.436875)
+    d = F.floor(left - m * 30.436875)
+    return F.concat(y.cast("string"), F.lit(" years "), m.cast("string"), F.lit(" months "), d.cast("string"), F.lit(" days"))

@@ -172,13 +172,14 @@ def first_best(scores: Sequence[tuple[str, Column]], default: str) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Bullets to dashes, words split by a hyphen at a line's end joined, odd quotes and spaces made plain, blank lines to one."""
-    t = F.regexp_replace(c, "[•●▪■◦]", "-")
-    t = F.regexp_replace(t, "[\\u2018\\u2019]", "'")
-    t = F.regexp_replace(t, "[\\u201c\\u201d]", '"')
-    t = F.regexp_replace(t, "([a-z])-\n([a-z])", "$1$2")
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, " ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    # a pattern runs only over texts that hold what it rewrites
+    where = lambda x, marks, new: F.when(reduce(Column.__or__, [x.contains(m) for m in marks]), new).otherwise(x)
+    odd = F.translate(c, "•●▪■◦\u2018\u2019\u201c\u201d\t", "-----''\"\" ")
+    t = F.transform(F.array(odd), lambda x: where(x, ["-\n"], F.regexp_replace(x, "([a-z])-\n([a-z])", "$1$2")))
+    t = F.transform(t, lambda x: where(x, ["  "], F.regexp_replace(x, " {2,}", " ")))
+    t = F.transform(t, lambda x: where(x, [" \n", "\n "], F.regexp_replace(x, " ?\n ?", "\n")))
+    t = F.transform(t, lambda x: where(x, ["\n\n\n"], F.regexp_replace(x, "\n{3,}", "\n\n")))
+    return F.trim(t[0])
 
 
 def xray_url(site: str, terms: Column) -> Column:

@@ -61,6 +61,22 @@ def filled(column: str) -> Column:
     return F.col(column).isNotNull() & (F.col(column) != "")
 
 
+def not_in(column: str, values: Sequence[object]) -> Column:
+    """Values that are none of the list; null is neither."""
+    return ~F.col(column).isin(list(values))
+
+
+def of_tenant(column: str, tenant: object, shared: bool = False) -> Column:
+    """Rows of one tenant, with ``shared`` also those of none."""
+    own = F.col(column) == tenant
+    return own | F.col(column).isNull() if shared else own
+
+
+def state_of(steps: Sequence[tuple[str, str]], first: str) -> Column:
+    """The state that the latest filled column of ``(state, column)`` gives, in order; ``first`` where none is filled."""
+    return F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(s)) for s, c in reversed(steps)], F.lit(first))
+
+
 def not_deleted(status: str, deleted_at: str | None = None) -> Column:
     """Rows whose status is null or not 'deleted' (and without a deletion time)."""
     out = F.col(status).isNull() | (F.col(status) != "deleted")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring as C
+from corvane.operators.rows import keep_top
 
 
 def similar_skills(have: DataFrame, want: DataFrame, vectors: DataFrame, least: float = 0.65) -> DataFrame:
@@ -24,10 +25,25 @@ def similar_skills(have: DataFrame, want: DataFrame, vectors: DataFrame, least:
     return pairs.filter(F.col("sim") > least).select("candidate", "job", "wanted", "had", "sim")
 
 
+def nearest_within(asked: DataFrame, rows: DataFrame, key: str, group: str, vector: str, k: int, block: int = 20_000) -> DataFrame:
+    """``key, other, sim``: for each row asked the ``k`` rows of its group with the highest cosine (the smaller key in a tie).
+
+    Large groups are dealt into blocks of about ``block`` rows; each block gives its own ``k``, so no task holds a whole group
+    and no more than ``k`` rows a block are shuffled on.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
+    a = asked.join(sizes, group).select(F.col(key), group, F.col(vector).alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    b = rows.join(sizes, group).select(F.col(key).alias("other"), group, F.col(vector).alias("_b"), F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int").alias("_block"))
+    pairs = a.join(b, [group, "_block"]).filter(F.col(key) != F.col("other")).select(key, "other", F.round(C.cosine(F.col("_a"), F.col("_b")), 9).alias("sim"))
+    best = keep_top(pairs, [key], k, F.desc("sim"), F.col("other"))
+    return best.withColumn("sim", F.round("sim", 6))
+
+
 def assign(pairs: DataFrame) -> DataFrame:
     """Each wanted skill, in name order, takes the most similar one not yet taken (first by name in a tie).
 
-    The choice depends on earlier ones, so each candidate and job is one small group of rows.
+    The choice depends on earlier ones, so each candidate and job is one group: the skills of one application, whose number
+    a person's list bounds and not the table.
     """
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:

@@ -83,15 +83,18 @@ def tokens_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def positions(text: Column, value: Column) -> Column:
     """Every start (from 0) of ``value`` in ``text``, not overlapping; empty for an empty value."""
-    pieces = F.transform(F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1), F.length)
-    n = F.size(pieces)
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: (F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.length(value)).cast("int"))
-    return F.when((F.length(value) > 0) & (n > 1), F.slice(starts, F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    literal = F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
+    pieces = F.transform(F.split(text, literal, -1), F.length)
+    # one running sum over the pieces between hits
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda acc, n: F.struct((acc["at"] + n + F.length(value)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + n)).alias("starts"))
+    starts = F.aggregate(pieces, none, step)["starts"]
+    return F.when((F.length(value) > 0) & (F.size(pieces) > 1), F.slice(starts, F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def sentences(text: Column, longest: int = 200, shortest: int = 3) -> Column:
     """Sentences of at least ``shortest`` characters; those over ``longest`` are cut at commas and semicolons."""
-    s = F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), F.trim)
+    s = F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), lambda x: F.trim(x))  # F.trim alone would take the index as its characters
     s = F.flatten(F.transform(s, lambda x: F.when(F.length(x) > longest, F.split(x, "[,;] +")).otherwise(F.array(x))))
     return F.filter(s, lambda x: F.length(x) >= shortest)
 
@@ -99,11 +102,13 @@ def sentences(text: Column, longest: int = 200, shortest: int = 3) -> Column:
 def categories(df: DataFrame, name: str, keywords: DataFrame, default: str = "other") -> DataFrame:
     """``name, category``: keyword points (2 for a whole word, 1 within a word) by category; ties go to the longest keyword, then by name.
 
-    Each name is split into words and their parts are matched by equality, so that names meet only keywords they hold.
+    Each name is split into words and their parts, none longer than the longest keyword, are matched by equality, so that names
+    meet only keywords they hold.
     """
     names = df.select(name).distinct()
+    longest = keywords.agg(F.coalesce(F.max(F.length("keyword")), F.lit(1))).first()[0]
     words = names.select(name, F.explode(F.split(F.lower(name), "[^a-z0-9]+")).alias("w")).filter("w <> ''")
-    parts = words.select(name, "w", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.length("w") - i + 1), lambda n: F.substring(F.col("w"), i, n))))).alias("keyword")).distinct()
+    parts = words.select(name, "w", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - i + 1)), lambda n: F.substring(F.col("w"), i, n))))).alias("keyword")).distinct()
     hits = parts.join(keywords, "keyword").groupBy(name, "keyword", "category").agg(F.max(F.when(F.col("w") == F.col("keyword"), 2).otherwise(1)).alias("points"))
     by = hits.groupBy(name, "category").agg(F.sum("points").alias("points"), F.max(F.length("keyword")).alias("longest"))
     best = by.groupBy(name).agg(F.min(F.struct((-F.col("points")).alias("p"), (-F.col("longest")).alias("l"), "category")).alias("m"))
@@ -113,10 +118,14 @@ def categories(df: DataFrame, name: str, keywords: DataFrame, default: str = "ot
 def section_fit(counts: DataFrame, key: str, prints: DataFrame) -> DataFrame:
     """``key, section, violations`` of the section whose ranges of entity counts are broken least (by name in a tie).
 
-    ``counts(key, type, n)``; ``prints(section, type, low, high)`` is a small fixed table.
+    ``counts(key, type, n)``; ``prints(section, type, low, high)`` is a small fixed table, of at most 1,000 rows.
     """
     keys = counts.select(key).distinct()
-    all_ = keys.join(F.broadcast(prints)).join(counts, [key, "type"], "left")
+    fixed = prints.limit(1001).collect()
+    if len(fixed) > 1000:
+        raise ValueError("more than 1,000 section prints")
+    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("section", "type", "low", "high")]) for r in fixed])
+    all_ = keys.select(key, F.inline(every)).join(counts, [key, "type"], "left")
     n = F.coalesce("n", F.lit(0))
     bad = all_.groupBy(key, "section").agg(F.sum(((n < F.col("low")) | (n > F.col("high"))).cast("int")).alias("v"))
     return bad.groupBy(key).agg(F.min(F.struct("v", "section")).alias("m")).select(key, F.col("m.section").alias("section"), F.col("m.v").alias("violations"))

@@ -40,6 +40,19 @@ def keep_first(df: DataFrame, keys: Sequence[Column], *order: Column) -> DataFra
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def keep_top(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each key in ``order``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def seed_pairs(a: DataFrame, b: DataFrame, present: DataFrame, most: int = 10_000) -> DataFrame:
+    """All pairs of two small tables that ``present`` does not hold, to fill a table of links; each side is checked to be small."""
+    if max(a.limit(most + 1).count(), b.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} rows to pair")
+    return a.crossJoin(F.broadcast(b)).join(present, present.columns, "left_anti")
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """``keys, start, end``: the union of each key's intervals; touching ones join. Rows without both ends or with start > end are left out."""
     rows = df.filter((F.col(start) <= F.col(end))).select(*keys, F.col(start).alias("s"), F.col(end).alias("e")).distinct()

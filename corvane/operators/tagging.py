@@ -38,6 +38,13 @@ def suspicious(ents: DataFrame) -> DataFrame:
     return ents.filter((F.length("text") == 1) | F.col("text").rlike("^[0-9]+$"))
 
 
+def uneven(df: DataFrame, label: str, most: float = 100.0) -> DataFrame:
+    """``largest, smallest, ratio, uneven``: the commonest and rarest type (without O), and whether one is over ``most`` times the other."""
+    n = balance(df, label).filter("type <> 'O'")
+    out = n.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"))
+    return out.withColumn("ratio", F.round(F.try_divide("largest", "smallest"), 2)).withColumn("uneven", F.coalesce(F.col("ratio") > most, F.lit(False)))
+
+
 def balance(df: DataFrame, label: str) -> DataFrame:
     """``type, n, pct`` of tags without their B- or I-."""
     n = df.groupBy(kind(F.col(label)).alias("type")).agg(F.count(F.lit(1)).alias("n"))
@@ -48,14 +55,14 @@ def balance(df: DataFrame, label: str) -> DataFrame:
 def tag_spans(tokens: Column, spans: Column) -> Column:
     """Tags of ``tokens`` (start, end) by ``spans`` (start, end, type): the first token that overlaps a span begins it."""
 
-    def tag(t: Column) -> Column:
-        hit = F.filter(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
-        before = F.exists(tokens, lambda u: (u["start"] < t["start"]) & (u["start"] < hit[0]["end"]) & (u["end"] > hit[0]["start"]))
-        return F.when(F.size(hit) == 0, "O").otherwise(F.concat(F.when(before, "I-").otherwise("B-"), F.get(hit, F.lit(0))["type"]))
-
-    return F.transform(tokens, tag)
+    # each token's first span, then each compared with its left neighbour's: tokens are in order
+    hit = lambda t: F.get(F.filter(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])), F.lit(0))
+    hits = F.transform(tokens, hit)
+    same = lambda h, i: (i > 0) & F.get(hits, i - 1).eqNullSafe(h)
+    return F.transform(hits, lambda h, i: F.when(h.isNull(), "O").otherwise(F.concat(F.when(same(h, i), "I-").otherwise("B-"), h["type"])))
 
 
-def split(df: DataFrame, key: Column, parts: int, held: int) -> DataFrame:
-    """``df`` with ``split``: 'test' for the last ``held`` of ``parts`` residues of a key, else 'train'."""
-    return df.withColumn("split", F.when(F.pmod(key, F.lit(parts)) >= parts - held, "test").otherwise("train"))
+def split(df: DataFrame, key: Column, parts: int, held: int, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: 'test' for ``held`` of ``parts`` parts of the keys, dealt by a hash with a seed, else 'train'."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("split", F.when(F.pmod(drawn, F.lit(parts)) >= parts - held, "test").otherwise("train"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import dates as D
-from corvane.functions import scoring as C
 from corvane.functions import strings as S
 from corvane.operators import matching as M
 from corvane.operators import resumes as R
@@ -28,18 +27,13 @@ def date_parts(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", F.trunc(d, "month").alias("month_start"), F.last_day(d).alias("month_end"), F.date_trunc("day", d).cast("timestamp_ntz").alias("day_start"), D.months(d, F.lit("1998-08-02").cast("date")).alias("months_to_now"), D.days_before(d, "1998-08-02").alias("days_to_now"))
 
 
-@query("orders", sql="""
-SELECT o_orderkey, make_date(year(o_orderdate), month(o_orderdate), 1) AS parsed FROM orders""")
-def date_parse(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderkey", D.parse(F.date_format("o_orderdate", "MMM yyyy"), "1998-08-02").alias("parsed"))
-
-
 @query("documents", sql="""
-SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x)))::int AS longest FROM (
-  SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')] IF length(x) >= 3] AS s FROM documents)""")
+WITH a AS (SELECT doc_id, flatten([CASE WHEN length(trim(y)) > 200 THEN regexp_split_to_array(trim(y), '[,;] +') ELSE [trim(y)] END FOR y IN regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')]) AS s FROM documents),
+b AS (SELECT doc_id, [x FOR x IN s IF length(x) >= 3] AS s FROM a)
+SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x)))::int AS longest, md5(array_to_string(s, '|')) AS all_md5 FROM b""")
 def sentence_chunks(documents: DataFrame) -> DataFrame:
-    s = documents.select("doc_id", R.sentences(F.col("text"), longest=1_000_000).alias("s"))
-    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"))
+    s = documents.select("doc_id", R.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", lambda x: F.length(x))).alias("longest"), F.md5(F.array_join("s", "|")).alias("all_md5"))
 
 
 @query("documents", sql="""
@@ -83,18 +77,35 @@ def map_distribution(events: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
 
 
-@query("embeddings", sql="""
-SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) / sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])), 6) AS sim
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id % 50 = 1""")
-def similar_within_label(embeddings: DataFrame) -> DataFrame:
-    a = embeddings.filter("vec_id % 50 = 0").select("vec_id", "label", F.col("embedding").alias("a"))
-    b = embeddings.filter("vec_id % 50 = 1").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b"))
-    return a.join(b, "label").select("vec_id", "other", F.round(C.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
+_COS = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))"
 
 
-@query("embeddings")
-def greedy_assignment(embeddings: DataFrame) -> DataFrame:
-    """Vectors stand for skills: those of a label apply to it, and every tenth is wanted."""
-    e = embeddings.select(F.col("vec_id").cast("string").alias("skill"), F.col("label").alias("job"), "vec_id", F.col("embedding").alias("vector"))
-    have = e.filter("vec_id % 10 <> 0").select((F.col("vec_id") % 3).alias("candidate"), "job", "skill")
-    return M.assign(M.similar_skills(have, e.filter("vec_id % 10 = 0").select("job", "skill"), e.select("skill", "vector"), least=0.2))
+@query("embeddings", sql=f"""
+WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings)
+SELECT vec_id, other, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rn FROM (
+  SELECT a.vec_id, b.vec_id AS other, round({_COS}, 9) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)) WHERE rn <= 5""")
+def similar_within_label(embeddings: DataFrame) -> DataFrame:
+    """The five most similar rows of the same label for every row whose id is divisible by 50, against all rows."""
+    return M.nearest_within(embeddings.filter("vec_id % 50 = 0"), embeddings, "vec_id", "label", "embedding", 5)
+
+
+@query("lineitem", "embeddings", sql=f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), n AS (SELECT count(*) AS n FROM e),
+l AS (SELECT DISTINCT l_orderkey AS job, l_linenumber % 2 = 1 AS want, lpad((l_partkey % n)::varchar, 6, '0') AS skill, l_partkey % n AS vec_id FROM lineitem, n),
+p AS (SELECT x.job, x.skill AS wanted, y.skill AS had, CASE WHEN x.skill = y.skill THEN 1.0::double ELSE round({_COS}, 9) END AS sim FROM l x JOIN l y ON x.job = y.job AND x.want AND NOT y.want JOIN e a ON a.vec_id = y.vec_id JOIN e b ON b.vec_id = x.vec_id),
+q AS (SELECT * FROM p WHERE sim > 0.05), s AS (SELECT job, wanted, row_number() OVER (PARTITION BY job ORDER BY wanted) AS k FROM (SELECT DISTINCT job, wanted FROM q)),
+g AS (
+  SELECT job, 0::bigint AS k, []::varchar[] AS taken, NULL::varchar AS wanted, NULL::varchar AS had, NULL::double AS sim FROM (SELECT DISTINCT job FROM q)
+  UNION ALL
+  SELECT job, k, CASE WHEN had IS NULL THEN taken ELSE list_append(taken, had) END, wanted, had, sim FROM (
+    SELECT g.job, g.k + 1 AS k, g.taken, s.wanted, q.had, q.sim, row_number() OVER (PARTITION BY g.job ORDER BY q.sim DESC NULLS LAST, q.had) AS rn
+    FROM g JOIN s ON s.job = g.job AND s.k = g.k + 1 LEFT JOIN q ON q.job = g.job AND q.wanted = s.wanted AND NOT list_contains(g.taken, q.had)) WHERE rn = 1)
+SELECT job, wanted, had, round(sim, 6) AS sim FROM g WHERE had IS NOT NULL""")
+def greedy_assignment(lineitem: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """An order is an application: the parts of its odd lines are wanted, those of its even lines are had; parts have vectors."""
+    n = embeddings.count()
+    parts = lineitem.select(F.col("l_orderkey").alias("job"), (F.col("l_linenumber") % 2 == 1).alias("w"), F.lpad((F.col("l_partkey") % n).cast("string"), 6, "0").alias("skill")).distinct()
+    vectors = embeddings.select(F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("skill"), F.col("embedding").alias("vector"))
+    have = parts.filter("not w").select(F.col("job").alias("candidate"), "job", "skill")
+    pairs = M.similar_skills(have, parts.filter("w").select("job", "skill"), vectors, least=0.05)
+    return M.assign(pairs.withColumn("sim", F.round("sim", 9))).select("job", "wanted", "had", F.round("sim", 6).alias("sim"))

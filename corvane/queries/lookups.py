@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import strings as S
 from corvane.operators import aggregates as A
 from corvane.operators.dedupe import duplicate_pairs, find_duplicates, merge_fill
 from corvane.operators.filters import any_like, contains_all, contains_any, filled, in_list, number_range
@@ -51,10 +50,10 @@ def nested_profile(customer: DataFrame, orders: DataFrame) -> DataFrame:
     return out.select("c_custkey", A.or_zero(F.col("n")).alias("n_orders"), F.coalesce("p", F.lit("")).alias("priorities"))
 
 
-@query("orders", "lineitem", sql="""
+@query("lineitem", sql="""
 SELECT l_orderkey AS job, string_agg(DISTINCT cast(l_partkey AS varchar), ',' ORDER BY cast(l_partkey AS varchar)) FILTER (WHERE l_returnflag = 'A') AS required,
   string_agg(DISTINCT cast(l_partkey AS varchar), ',' ORDER BY cast(l_partkey AS varchar)) FILTER (WHERE l_returnflag = 'N') AS preferred FROM lineitem GROUP BY 1""")
-def required_and_preferred(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def required_and_preferred(lineitem: DataFrame) -> DataFrame:
     pick = lambda f: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == f, F.col("l_partkey").cast("string")))), ","), F.lit(""))
     return lineitem.groupBy(F.col("l_orderkey").alias("job")).agg(pick("A").alias("required"), pick("N").alias("preferred"))
 
@@ -229,16 +228,3 @@ def insert_ignore_rows(customer: DataFrame, supplier: DataFrame) -> DataFrame:
 SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1""")
 def best_per_section(part: DataFrame) -> DataFrame:
     return keep_first(part, [F.col("p_brand")], F.desc("p_retailprice"), F.col("p_partkey")).select("p_brand", "p_partkey", "p_retailprice")
-
-
-@query("nation", sql="""
-SELECT n_name, best, score FROM (SELECT a.n_name, b.n_name AS best, round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name))::double, 4) AS score,
-  row_number() OVER (PARTITION BY a.n_name ORDER BY round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name))::double, 4) DESC, b.n_name) AS rn
-  FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND left(a.n_name, 1) = left(b.n_name, 1) AND abs(length(a.n_name) - length(b.n_name)) <= 3) WHERE rn = 1""")
-def levenshtein_match(nation: DataFrame) -> DataFrame:
-    # names meet only within a block of first letter and close length
-    a = nation.select("n_nationkey", "n_name", F.left("n_name", F.lit(1)).alias("f"))
-    b = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("best"), F.left("n_name", F.lit(1)).alias("f"))
-    close = F.abs(F.length("n_name") - F.length("best")) <= 3
-    pairs = a.join(b, "f").filter((F.col("n_nationkey") != F.col("k")) & close).withColumn("score", F.round(S.similarity(F.lower("n_name"), F.lower("best")), 4))
-    return keep_first(pairs, [F.col("n_name")], F.desc("score"), F.col("best")).select("n_name", "best", "score")

@@ -17,12 +17,11 @@ def _words(c: str = "text"):
     return F.split(F.lower(c), "[^a-z]+")
 
 
-@query("orders", "lineitem", sql="""
-WITH h AS (SELECT o_custkey, o_orderkey, list_distinct(list(l_partkey % 20)) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
+@query("lineitem", sql="""
+WITH h AS (SELECT l_orderkey AS o_orderkey, list_distinct(list(l_partkey % 20)) AS s FROM lineitem GROUP BY 1)
 SELECT o_orderkey, len(list_intersect(s, [1, 3, 5, 7, 9]))::int AS matching, (5 - len(list_intersect(s, [1, 3, 5, 7, 9])))::int AS missing, (len(s) - len(list_intersect(s, [1, 3, 5, 7, 9])))::int AS extra FROM h""")
-def skill_set_diff(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def skill_set_diff(lineitem: DataFrame) -> DataFrame:
     want = F.array(*[F.lit(x).cast("long") for x in (1, 3, 5, 7, 9)])
-    # every order with items: the order table adds nothing but its key
     have = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_partkey") % 20).alias("s"))
     return have.select("o_orderkey", *[F.size(x).alias(n) for n, x in (("matching", F.array_intersect("s", want)), ("missing", F.array_except(want, "s")), ("extra", F.array_except("s", want)))])
 
@@ -44,13 +43,13 @@ def ats_score(documents: DataFrame) -> DataFrame:
 WITH c AS (SELECT c_custkey, c_mktsegment, coalesce(y, 0) AS y FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS y FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 p AS (SELECT c_custkey, CASE WHEN y < 8 THEN greatest(20.0, 100 - (8 - y) * 20.0) WHEN y > 14 THEN greatest(75.0, 100 - (y - 14) * 5.0) ELSE 100.0 END::double AS experience,
   CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 100 WHEN c_mktsegment = 'FURNITURE' THEN 75 ELSE 50 END::double AS education, CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.5 END::double AS req FROM c),
-s AS (SELECT c_custkey, round((req * 0.7::double + 0.5::double * 0.3::double) * 100 * 0.5::double + experience * 0.3::double + education * 0.2::double, 2) AS score FROM p)
+s AS (SELECT c_custkey, round((req * 0.7::double + CASE WHEN c_custkey % 4 = 0 THEN 0.25 ELSE 0.5 END::double * 0.3::double) * 100 * 0.5::double + experience * 0.3::double + education * 0.2::double, 2) AS score FROM p)
 SELECT c_custkey, score, CASE WHEN score >= 80 THEN 'Strong Match' WHEN score >= 65 THEN 'Good Match' WHEN score >= 50 THEN 'Partial Match' ELSE 'Not Recommended' END AS label FROM s""")
 def match_engine_score(customer: DataFrame, orders: DataFrame) -> DataFrame:
     c = A.counts_by_key(customer.select("c_custkey", "c_mktsegment"), orders, "c_custkey", "o_custkey", y=F.count(F.lit(1)))
     edu = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "master").when(F.col("c_mktsegment") == "FURNITURE", "bachelor")
     req = F.when(F.col("c_custkey") % 3 == 0, 1.0).otherwise(0.5)
-    s = C.engine(req, F.lit(0.0), F.lit(False), C.experience_band(F.col("y"), F.lit(8), F.lit(14)), C.education_gap(edu, F.lit("master")))
+    s = C.engine(req, F.lit(0.25), F.col("c_custkey") % 4 == 0, C.experience_band(F.col("y"), F.lit(8), F.lit(14)), C.education_gap(edu, F.lit("master")))
     return c.select("c_custkey", s.alias("score")).withColumn("label", C.engine_label(F.col("score")))
 
 
@@ -167,7 +166,7 @@ def class_balance(conversations: DataFrame) -> DataFrame:
     return T.balance(_tagged(conversations), "label")
 
 
-@query("documents", sql="SELECT CASE WHEN doc_id % 5 >= 4 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(n_chars)::bigint AS chars FROM documents GROUP BY 1")
+@query("documents", sql="SELECT CASE WHEN ('0x' || left(md5('42:' || doc_id), 8))::bigint % 5 >= 4 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(n_chars)::bigint AS chars FROM documents GROUP BY 1")
 def train_test_split(documents: DataFrame) -> DataFrame:
     return T.split(documents.select("doc_id", "n_chars"), F.col("doc_id"), 5, 1).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 

@@ -40,6 +40,15 @@ def distinct_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def latest_per_key(events: DataFrame, values: tuple[str, ...] = ("event_type", "value")) -> DataFrame:
+    """The latest event of each user, by time and id, as it stands after every batch (output mode update or complete).
+
+    The state is one row a user; it is kept without a watermark, as a user may come back at any time.
+    """
+    last = F.max(F.struct("ts", "event_id", *values)).alias("m")
+    return events.groupBy("user_id").agg(last).select("user_id", *[F.col(f"m.{c}").alias(c) for c in ("ts", "event_id", *values)])
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is there, once, into a table ``name`` in memory (small results, tests)."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,6 +25,30 @@ def test_import_candidates(spark):
     assert len(got) == 1 and got[0]["name"].startswith("Ann")
 
 
+def test_import_without_addresses(spark):
+    """Rows without an e-mail are people of their own; of equal addresses the first enters, in any order of the input."""
+    given = [("Ann", "", "1", ""), ("Bob", None, "", ""), ("Cy", " ", "", ""), ("Di", "d@x.com", "", " a ;b;"), ("Di 2", "D@x.com", "", "")]
+    old = spark.createDataFrame([("o@x.com",), (None,)], "e string").select(F.md5("e").alias("email_key"))
+    for rows in (given, given[::-1]):
+        got = writers.import_candidates(spark.createDataFrame(rows, "name string, email string, phone string, skills string"), old).collect()
+        assert sorted(r["name"] for r in got) == ["Ann", "Bob", "Cy", "Di"]
+        assert {r["name"]: r["skills"] for r in got}["Di"] == ["a", "b"]
+    new = [(9, "z"), (9, "y"), (1, "b")]
+    for rows in (new, new[::-1]):
+        out = writers.insert_ignore(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame(rows, "k int, v string"), ["k"])
+        assert sorted(map(tuple, out.collect())) == [(1, "a"), (9, "y")]
+
+
+def test_latest_state_of_a_stream(spark, tmp_path):
+    stream = S.read_events(spark, DATA)
+    batch = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = S.run_available(S.latest_per_key(stream), "latest", str(tmp_path / "c"), "complete")
+    want = {}
+    for r in batch.collect():
+        want[r["user_id"]] = max(want.get(r["user_id"], (r["ts"], -1)), (r["ts"], r["event_id"]))
+    assert {r["user_id"]: (r["ts"], r["event_id"]) for r in got.collect()} == want
+
+
 def test_conll(spark, tmp_path):
     (tmp_path / "a.conll").write_text("Ann\tB-NAME\nLee\tI-NAME\n\nat\tO\n")
     df = readers.read_conll(spark, str(tmp_path / "a.conll"))
