@@ -247,9 +247,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     members = members.join(ends, "node").select(F.col("node").alias("rep"), "root", "links")
     heads = members.groupBy("root").agg(F.count(F.lit(1)).alias("family"), F.max(F.struct("links", "rep"))["rep"].alias("pivot"))
-    # written out with its size known, so that a small one meets the texts at their scan
     members = cut(members.join(heads, "root").join(classes.select("rep", "set_a"), "rep").select(F.col("rep").alias("row_key"), "root", "family", "pivot", "set_a"))
-    texts = source.join(members, "row_key").select(F.col("row_key").alias("rep"), "root", "family", "set_a", "text", "pivot")
+    texts = source.join(members.hint("merge"), "row_key").select(F.col("row_key").alias("rep"), "root", "family", "set_a", "text", "pivot")
     sets = cut(texts.mapInArrow(_sets(words), "rep long, root long, family long, pivot long, values binary").dropDuplicates(["rep"]))
     # members with their pivot
     blocks = F.ceil(F.col("family") / F.lit(STAR_BLOCK)).cast("int")
