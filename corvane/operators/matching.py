@@ -35,8 +35,7 @@ def nearest_within(asked: DataFrame, rows: DataFrame, key: str, group: str, vect
     a = asked.join(sizes, group).select(F.col(key), group, F.col(vector).alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
     b = rows.join(sizes, group).select(F.col(key).alias("other"), group, F.col(vector).alias("_b"), F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int").alias("_block"))
     pairs = a.join(b, [group, "_block"]).filter(F.col(key) != F.col("other")).select(key, "other", F.round(C.cosine(F.col("_a"), F.col("_b")), 9).alias("sim"))
-    best = keep_top(pairs, [key], k, F.desc("sim"), F.col("other"))
-    return best.withColumn("sim", F.round("sim", 6))
+    return keep_top(pairs, [key], k, F.desc("sim"), F.col("other"))
 
 
 def assign(pairs: DataFrame) -> DataFrame:

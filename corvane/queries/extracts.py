@@ -82,7 +82,7 @@ _COS = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(lis
 
 @query("embeddings", sql=f"""
 WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings)
-SELECT vec_id, other, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rn FROM (
+SELECT vec_id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rn FROM (
   SELECT a.vec_id, b.vec_id AS other, round({_COS}, 9) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)) WHERE rn <= 5""")
 def similar_within_label(embeddings: DataFrame) -> DataFrame:
     """The five most similar rows of the same label for every row whose id is divisible by 50, against all rows."""
@@ -100,7 +100,7 @@ g AS (
   SELECT job, k, CASE WHEN had IS NULL THEN taken ELSE list_append(taken, had) END, wanted, had, sim FROM (
     SELECT g.job, g.k + 1 AS k, g.taken, s.wanted, q.had, q.sim, row_number() OVER (PARTITION BY g.job ORDER BY q.sim DESC NULLS LAST, q.had) AS rn
     FROM g JOIN s ON s.job = g.job AND s.k = g.k + 1 LEFT JOIN q ON q.job = g.job AND q.wanted = s.wanted AND NOT list_contains(g.taken, q.had)) WHERE rn = 1)
-SELECT job, wanted, had, round(sim, 6) AS sim FROM g WHERE had IS NOT NULL""")
+SELECT job, wanted, had, sim FROM g WHERE had IS NOT NULL""")
 def greedy_assignment(lineitem: DataFrame, embeddings: DataFrame) -> DataFrame:
     """An order is an application: the parts of its odd lines are wanted, those of its even lines are had; parts have vectors."""
     n = embeddings.count()
@@ -108,4 +108,4 @@ def greedy_assignment(lineitem: DataFrame, embeddings: DataFrame) -> DataFrame:
     vectors = embeddings.select(F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("skill"), F.col("embedding").alias("vector"))
     have = parts.filter("not w").select(F.col("job").alias("candidate"), "job", "skill")
     pairs = M.similar_skills(have, parts.filter("w").select("job", "skill"), vectors, least=0.05)
-    return M.assign(pairs.withColumn("sim", F.round("sim", 9))).select("job", "wanted", "had", F.round("sim", 6).alias("sim"))
+    return M.assign(pairs.withColumn("sim", F.round("sim", 9))).select("job", "wanted", "had", "sim")
