@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import held_out
+from corvane.llm._common import cut, held_out
 from corvane.llm.trees import Trees, boost
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _HIGH = (np.zeros(256, bool) for _ in range(5))
@@ -97,7 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the sample has a fixed bound, so it may be broadcast; documents are read once and not shuffled
     texts = texts.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_features, "doc_id long, x array<double>").join(F.broadcast(some), "doc_id").orderBy("doc_id").limit(2 * sample).toPandas()
+    rows = texts.mapInArrow(_features, "doc_id long, x array<double>").join(F.broadcast(some), "doc_id")
+    # rows that repeat an id and its text teach once; written out, so that the driver gets these rows alone
+    rows = cut(rows.groupBy("doc_id", "x").agg(F.first("y").alias("y"))).toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["doc_id"].iat[i], list(rows["x"].iat[i])))]
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, WIDTH)
     return boost(x, rows["y"].to_numpy())
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm._common import cut
 from corvane.llm.trees import Trees, forest
 
 _DIGITS = re.compile(r"[0-9]")
@@ -117,7 +118,8 @@ def _letters(word: str) -> np.ndarray:
 def lexicon(docs: DataFrame, words: int = 20_000, text_col: str = "text") -> dict[str, int]:
     """The ``words`` most frequent words of three letters and more over all documents, with their counts."""
     every = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(\p{L}{3,})"), F.lit(1))).alias("word"))
-    top = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    # written out first, so that the driver gets these rows alone and not each task's candidates
+    top = cut(every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words))
     return {r["word"]: r["n"] for r in top.collect()}
 
 

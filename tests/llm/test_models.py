@@ -180,6 +180,39 @@ def test_trees_learn_and_average():
     assert len(trees.boost(x, y).predict(x[:0])) == 0
 
 
+
+def test_first_split_and_tree_walk_by_brute_force():
+    """The root of the first boosted tree is the best of all splits at bin edges; predictions are those of a walk node by node."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = (x[:, 2] + rng.normal(size=400) * 0.5 > 0.4).astype(float)
+    model = trees.boost(x, y, trees=7, depth=3, bins=16)
+    p = (y.sum() + 0.5) / 401
+    g, h = y - p, np.full(400, p * (1 - p))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1], method="lower")) for j in range(4)]
+    gains = {(j, t): part(x[:, j] <= t) + part(x[:, j] > t) for j in range(4) for t in cuts[j] if min(h[x[:, j] <= t].sum(), h[x[:, j] > t].sum()) >= 2.0}
+    assert abs(gains[model.feature[0][0], model.threshold[0][0]] - max(gains.values())) < 1e-9
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.predict(x), [walk(r) for r in x])
+
+
+def test_quality_rows_that_repeat_teach_once(spark, frames):
+    docs, labels, _ = frames
+    a = quality.train(docs, labels)
+    b = quality.train(docs.union(docs).union(docs.limit(50)), labels)
+    assert all(np.array_equal(getattr(a, f), getattr(b, f)) for f in ("feature", "threshold", "value"))
+
+
 # secrets
 
 
