@@ -53,6 +53,12 @@ def extract_all(c: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
 
 
+def websites(c: Column) -> Column:
+    """Addresses of a text that are no profiles on LinkedIn or GitHub, without closing punctuation."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(URL), F.lit(0)), lambda x: F.regexp_replace(x, "[.:?]+$", ""))
+    return F.array_distinct(F.filter(found, lambda x: ~x.contains("linkedin.com") & ~x.contains("github.com")))
+
+
 def years_of_experience(c: Column) -> Column:
     """The largest stated number of years up to 60; null without one."""
     found = F.transform(F.regexp_extract_all(F.lower(c), F.lit(YEARS), F.lit(1)), lambda x: x.cast("int"))
@@ -182,6 +188,22 @@ def clean_text(c: Column) -> Column:
     return F.trim(t[0])
 
 
+#: UTF-8 read as Windows-1252, and what was meant.
+MISREAD = [("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\u009d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¢", "-"), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("Ã¤", "ä"), ("Ã±", "ñ"), ("Â ", " ")]
+
+
+def repair_text(c: Column) -> Column:
+    """``clean_text`` for pages of resumes: misread characters are put right, lines that go on are joined, short lines in capitals
+    become titles."""
+    t = c
+    for wrong, right in MISREAD:
+        t = F.replace(t, F.lit(wrong), F.lit(right))
+    t = F.when(c.contains("â€") | c.contains("Ã") | c.contains("Â"), t).otherwise(c)
+    t = F.regexp_replace(clean_text(t), "([a-z,])\n([a-z])", "$1 $2")
+    title = lambda x: F.when((F.length(x) <= 40) & (x == F.upper(x)) & x.rlike("[A-Z]{2}"), F.initcap(x)).otherwise(x)
+    return F.trim(F.array_join(F.transform(F.split(t, "\n"), title), "\n"), F.lit(" \n"))
+
+
 def xray_url(site: str, terms: Column) -> Column:
     """A search address restricted to one site."""
     return F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.concat(F.lit(f"site:{site} "), terms)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,13 @@ def duplicate_pairs(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     keyed = df.select(F.col(id_col).alias("id"), key.alias("_k")).filter("_k is not null and _k <> ''")
     first = keyed.groupBy("_k").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keyed.join(first, "_k").filter("id <> first_id").select("first_id", "id")
+
+
+def move_children(children: DataFrame, parent: str, pairs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``children`` under the records that stay: rows of a duplicate get its first record as ``parent``, unless that has a row of the
+    same ``keys`` already; of several that move onto one key the first by ``order`` does.  ``pairs`` is ``first_id, id``."""
+    moved = children.join(pairs.select(F.col("first_id").alias("_to"), F.col("id").alias("_from")), F.col(parent) == F.col("_from"), "left")
+    moved = moved.withColumn("_moved", F.col("_from").isNotNull()).withColumn(parent, F.coalesce("_to", F.col(parent)))
+    w = Window.partitionBy(parent, *keys).orderBy("_moved", order)
+    rows = moved.withColumn("_rn", F.row_number().over(w))
+    return rows.filter(~F.col("_moved") | (F.col("_rn") == 1)).select(children.columns)

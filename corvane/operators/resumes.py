@@ -15,10 +15,12 @@ HEADINGS = [
 
 
 def heading(line: Column) -> Column:
-    """The section that a short line of few words names; null for other lines."""
+    """The section that a short line of few words names, long names also with an edit in six letters; null for other lines."""
     t = F.lower(F.trim(F.regexp_replace(line, "[:\\-_*#]+", " ")))
     short = (F.length(t) > 0) & (F.length(t) <= 40) & (F.size(F.split(t, " +")) <= 4)
-    return F.when(short, F.coalesce(*[F.when(t.rlike(f"^(professional |work |technical |key |personal )?({p})\\b"), n) for n, p in HEADINGS]))
+    plain = [F.when(t.rlike(f"^(professional |work |technical |key |personal )?({p})\\b"), n) for n, p in HEADINGS]
+    near = [F.when(F.levenshtein(t, F.lit(w)) * 6 <= F.greatest(F.length(t), F.lit(len(w))), n) for n, p in HEADINGS for w in p.split("|") if len(w) > 6]
+    return F.when(short, F.coalesce(*plain, *near))
 
 
 def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring as C
 from corvane.operators import matching as M
 from corvane.operators.filters import contains_any, has_skills, not_deleted, number_range
+from corvane.operators.resumes import extract_job
 from corvane.operators.rows import page
 
 
@@ -32,6 +33,14 @@ class Filters:
         return ". ".join(x for x in (self.role, "Skills: " + ", ".join(self.skills) if self.skills else "", years, self.degree, ", ".join(self.locations)) if x)
 
 
+def virtual_job(spark: SparkSession, f: Filters, known_skills: Sequence[str]) -> DataFrame:
+    """The job that the filters stand for: read from their text like any job, with what the filters say themselves put over it."""
+    row = extract_job(spark.createDataFrame([(1, f.job_text())], "id int, text string"), "id", "text", known_skills)
+    own = F.array(*[F.lit(s.lower()) for s in f.skills]) if f.skills else F.col("skills")
+    number = lambda v, c: F.lit(int(v)) if v is not None else F.col(c)
+    return row.select(F.lit(f.role).alias("title"), own.alias("skills"), number(f.min_years, "low").alias("low"), number(f.max_years, "high").alias("high"), F.coalesce("degree", F.lit(f.degree.lower() or None)).alias("degree"), F.lit(", ".join(f.locations)).alias("location"))
+
+
 def hard(f: Filters) -> Column:
     """What a row must meet: not deleted, role words in title or text, all skills, years, one of the places."""
     out = not_deleted("status") & number_range("years", f.min_years, f.max_years)

@@ -9,9 +9,10 @@ from corvane.functions import lists as L
 from corvane.functions import strings as S
 from corvane.operators import filters as W
 from corvane.operators import matching as M
+from corvane.operators.dedupe import move_children
 from corvane.operators.rows import page, seed_pairs
 from corvane.plans.boolean_search import predicate
-from corvane.plans.filter_search import Filters, filter_search
+from corvane.plans.filter_search import Filters, filter_search, virtual_job
 from corvane.queries.registry import query
 from corvane.sources.writers import import_candidates, json_rows
 
@@ -208,3 +209,80 @@ def json_objects(region: DataFrame) -> DataFrame:
 @query("nation", sql="SELECT n_nationkey, 'https://www.google.com/search?q=site%3Ax.org+%22' || replace(n_name, ' ', '+') || '%22' AS address FROM nation")
 def xray_searches(nation: DataFrame) -> DataFrame:
     return nation.select("n_nationkey", S.xray_url("x.org", F.concat(F.lit('"'), "n_name", F.lit('"'))).alias("address"))
+
+
+@query("customer", sql="""
+SELECT c_custkey, 'linkedin.com/in/c-' || c_custkey AS linkedin, 'github.com/c' || c_custkey AS github, 'https://site.org/p' || c_custkey AS sites, 'Rome, NY' AS place, '2020-01-02' AS dates, (c_custkey % 30 + 5)::int AS years FROM customer""")
+def contact_extract(customer: DataFrame) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    t = F.concat(F.lit("See https://linkedin.com/in/c-"), k, F.lit(" and https://github.com/c"), k, F.lit(", or https://site.org/p"), k, F.lit(". Lives in Rome, NY since 2020-01-02. 3 years, later "), (F.col("c_custkey") % 30 + 5).cast("string"), F.lit("+ years."))
+    out = customer.select("c_custkey", t.alias("t"))
+    every = lambda p: F.array_join(S.extract_all(F.col("t"), p), ",")
+    return out.select("c_custkey", every(S.LINKEDIN).alias("linkedin"), every(S.GITHUB).alias("github"), F.array_join(S.websites(F.col("t")), ",").alias("sites"), every(S.CITY_STATE).alias("place"), every(S.DATE).alias("dates"), S.years_of_experience(F.col("t")).alias("years"))
+
+
+@query("customer", sql="""
+SELECT c_custkey, 'Work Of ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || chr(10) || '- built things and ran them' || chr(10) || '- it''s "done", café ' || c_custkey AS body FROM customer""")
+def text_repair(customer: DataFrame) -> DataFrame:
+    t = F.concat(F.lit("WORK OF "), "c_mktsegment", F.lit("  \n\u2022 built things and\nran  them\n\u25cf itâ€™s \u201cdone\u201d, cafÃ© "), F.col("c_custkey").cast("string"), F.lit(" \n"))
+    return customer.select("c_custkey", S.repair_text(t).alias("body"))
+
+
+@query("lineitem", sql="""
+WITH c AS (SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_orderkey % 10 = 3 AS moved, CASE WHEN l_orderkey % 10 = 3 THEN l_orderkey - 1 ELSE l_orderkey END AS parent FROM lineitem)
+SELECT parent AS l_orderkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY parent, l_suppkey ORDER BY moved, l_linenumber * 1000000 + l_partkey) AS rn FROM c) WHERE NOT moved OR rn = 1""")
+def children_moved(lineitem: DataFrame) -> DataFrame:
+    """Orders ending in 3 are duplicates of those before them; their lines move unless the supplier is there already."""
+    pairs = lineitem.filter("l_orderkey % 10 = 3").select((F.col("l_orderkey") - 1).alias("first_id"), F.col("l_orderkey").alias("id")).distinct()
+    rows = lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("o"))
+    return move_children(rows, "l_orderkey", pairs, ["l_suppkey"], "o").drop("o")
+
+
+@query("region", sql="SELECT 'data engineer' AS title, 'sql,spark' AS skills, 3 AS low, 6 AS high, 'master' AS degree, 'Rome, Oslo' AS location")
+def virtual_job_row(region: DataFrame) -> DataFrame:
+    f = Filters(role="data engineer", skills=["SQL", "Spark"], min_years=3, max_years=6, locations=["Rome", "Oslo"], degree="Master")
+    return virtual_job(region.sparkSession, f, ["sql", "spark", "go"]).withColumn("skills", F.array_join("skills", ","))
+
+
+@query("orders", "customer", "nation", sql="""
+SELECT n_name AS team, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS closures, count(DISTINCT o_custkey) AS clients, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS revenue
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1, 2""")
+def team_closures(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    rows = orders.filter("o_orderstatus = 'F'").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    by = rows.groupBy("o_custkey", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"))  # before the joins
+    team = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("team"))
+    out = by.join(team, F.col("o_custkey") == F.col("c_custkey")).groupBy("team", "period")
+    return out.agg(F.sum("n").alias("closures"), F.count(F.lit(1)).alias("clients"), F.sum("p").cast("double").alias("revenue"))
+
+
+@query("lineitem", sql="""
+SELECT l_returnflag, count(DISTINCT l_orderkey) AS jobs, count(DISTINCT l_suppkey) AS recruiters, count(DISTINCT l_partkey) AS skills, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_orderkey END) AS large, count(*) AS n FROM lineitem GROUP BY 1""")
+def several_distincts(lineitem: DataFrame) -> DataFrame:
+    d = F.countDistinct
+    return lineitem.groupBy("l_returnflag").agg(d("l_orderkey").alias("jobs"), d("l_suppkey").alias("recruiters"), d("l_partkey").alias("skills"), d(F.when(F.col("l_quantity") > 25, F.col("l_orderkey"))).alias("large"), F.count(F.lit(1)).alias("n"))
+
+
+@query("orders", "customer", "lineitem", sql="""
+WITH p AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 25)
+SELECT o_orderkey AS job, c_name AS client, count(l_orderkey) AS submissions, count(*) FILTER (WHERE l_returnflag = 'A') AS accepted, count(DISTINCT l_suppkey) AS recruiters,
+  CASE WHEN NOT count(l_orderkey) > 0 THEN 'open' WHEN NOT count(*) FILTER (WHERE l_returnflag = 'A') > 0 THEN 'submitted' WHEN o_orderstatus <> 'F' THEN 'accepted' ELSE 'filled' END AS stage
+FROM p JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_name, o_orderstatus""")
+def dashboard_jobs(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """A page of jobs with the counts of these jobs only."""
+    jobs = page(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), 2, 25, F.desc("o_orderdate"), F.col("o_orderkey"))
+    own = lineitem.join(F.broadcast(jobs.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")  # 25 rows
+    by = own.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("submissions"), F.count_if(F.col("l_returnflag") == "A").alias("accepted"), F.countDistinct("l_suppkey").alias("recruiters"))
+    out = jobs.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["submissions", "accepted", "recruiters"])
+    stage, _ = L.first_unmet([("open", F.col("submissions") > 0), ("submitted", F.col("accepted") > 0), ("accepted", F.col("o_orderstatus") == "F")], "filled")
+    return out.select(F.col("o_orderkey").alias("job"), F.col("c_name").alias("client"), "submissions", "accepted", "recruiters", stage.alias("stage"))
+
+
+@query("customer", "nation", "orders", sql="""
+SELECT c_custkey, c_name AS company, n_name AS country, open_jobs, last_job FROM customer JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_jobs, max(o_orderdate) AS last_job FROM orders GROUP BY 1) ON o_custkey = c_custkey
+WHERE (c_name ILIKE '%1%' OR n_name ILIKE '%1%') AND c_acctbal BETWEEN 0 AND 8000 ORDER BY last_job DESC NULLS LAST, c_custkey LIMIT 20""")
+def company_list(customer: DataFrame, nation: DataFrame, orders: DataFrame) -> DataFrame:
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).filter(W.contains_any("1", ["c_name", "n_name"]) & W.number_range("c_acctbal", 0, 8000))
+    by = orders.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open_jobs"), F.max("o_orderdate").alias("last_job"))
+    out = rows.join(by, F.col("c_custkey") == F.col("o_custkey"), "left").orderBy(F.desc_nulls_last("last_job"), "c_custkey").limit(20)
+    return out.select("c_custkey", F.col("c_name").alias("company"), F.col("n_name").alias("country"), "open_jobs", "last_job")

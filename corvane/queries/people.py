@@ -237,7 +237,7 @@ def date_parse(orders: DataFrame) -> DataFrame:
 SELECT conv_id, turn, 'header' AS section, 'Name ' || role AS text FROM conversations UNION ALL SELECT conv_id, turn, 'skills', 'sql' || chr(10) || 'go ' || turn FROM conversations
 UNION ALL SELECT conv_id, turn, 'experience', 'Clerk ' || conv_id FROM conversations""")
 def resume_sections(conversations: DataFrame) -> DataFrame:
-    t = text("Name ", F.col("role"), "\nTechnical Skills:\nsql\n\n** Work History **\nClerk ", F.col("conv_id"), "\nSkills\ngo ", F.col("turn"))
+    t = text("Name ", F.col("role"), "\nTechnical Skills:\nsql\n\n** Work Histroy **\nClerk ", F.col("conv_id"), "\nSkills\ngo ", F.col("turn"))
     rows = conversations.select(F.struct("conv_id", "turn").alias("k"), t.alias("t"))
     return T.split_sections(rows, "k", "t").select("k.conv_id", "k.turn", "section", "text")
 
