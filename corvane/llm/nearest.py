@@ -57,7 +57,10 @@ def learn(sample: np.ndarray, rotations: int, seed: int, rounds: int = 10) -> np
 def encode(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     """Substrings of the codes: (rows, m)."""
     bits = rotation.shape[1] // BITS * BITS
-    return np.packbits((x - centre) @ rotation[:, :bits] > 0, axis=1).view(">u2").astype(np.uint16)
+    out = np.empty((len(x), bits // BITS), dtype=np.uint16)
+    for at in range(0, len(x), 1024):  # the product of all rows at once would be many times their size
+        out[at : at + 1024] = np.packbits((x[at : at + 1024] - centre) @ rotation[:, :bits] > 0, axis=1).view(">u2")
+    return out
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
