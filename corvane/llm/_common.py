@@ -53,6 +53,16 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def drawn(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """``n`` of ``total`` rows, by the order of a hash of ``key``.
+
+    Of large tables only a slice of the hashes, with about 2 * n rows, is put in order: not every task hands on n rows.
+    """
+    if total > 4 * n:
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(-(-(2 * n << 30) // total)))
+    return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Batches sorted by ``keys`` as tables that end where a group ends, so that no group is torn."""
     held: list[pa.RecordBatch] = []

@@ -110,7 +110,7 @@ DIGESTS = [
 ]
 
 #: Lines that name a holder or reserve rights; only whole lines go. Words about copyright within a text's own lines stay.
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{:,]|by )|©|\(c\)[ \t]*(copyright|[0-9]{4})|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|©|\(c\)[ \t]*(copyright|[0-9]{4})|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, group_starts, whole_groups
+from corvane.llm._common import cut, drawn, group_starts, whole_groups
 from corvane.llm.vectors import matrix, most_common_width, usable
 
 #: Bits of a substring.
@@ -184,9 +184,10 @@ def _pieces(rows: DataFrame, asks: DataFrame, shards: int, blocks: int) -> DataF
 
 def fit_index(rows: DataFrame, width: int, k: int = 10, sample: int = 4096, asked: int = 96, target: float = 0.95, most: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
     """Codes of ``rows`` (``vec_id, embedding``): learnt from ``sample`` rows, fitted to the exact neighbours, among all rows, of ``asked``."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).select("vec_id", "embedding").toArrow()
+    some = drawn(rows.select("vec_id", "embedding"), "vec_id", sample, rows.count()).sort("vec_id", "embedding").toArrow()
     x, ids = matrix(some.column("embedding"), width), some.column("vec_id").to_numpy()
-    ids, at = np.unique(ids[:asked], return_index=True)
+    ids, at = np.unique(ids[:: max(1, -(-len(ids) // asked))], return_index=True)
+    at *= max(1, -(-len(x) // asked))
     near = rows.select("vec_id", "embedding").mapInArrow(_exact(ids, x[at], k, width), FOUND + ", embedding array<double>")
     near = _best(near, k).select("query_id", "embedding").toArrow()  # at most asked * k rows
     asks = x[at][np.searchsorted(ids, near.column("query_id").to_numpy())]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, held_out
+from corvane.llm._common import cut, drawn, held_out
 from corvane.llm.trees import Trees, boost
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _HIGH = (np.zeros(256, bool) for _ in range(5))
@@ -88,7 +88,7 @@ def sampled_labels(labels: DataFrame, label_col: str, folds: int, fold: int, sam
     """At most ``sample`` rows ``doc_id, y`` outside the held-out fold, by the order of a hash of the id."""
     ok = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
     one = ok.filter(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return drawn(one, "doc_id", sample, one.count())
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, fold: int = 2, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Trees:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, held_out, list_rows
+from corvane.llm._common import cut, drawn, held_out, list_rows
 
 _TOKEN = re.compile(r"\w+")
 #: Examples in a block.
@@ -213,7 +213,7 @@ def train(
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    both = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0.0, 1.0)]
+    both = [drawn(known.filter(F.col("y") == y), "doc_id", sample, share.get(y, 0)) for y in (0.0, 1.0)]
     some = F.broadcast(both[0].union(both[1]))  # at most 2 * sample rows of an id and a label
     total = sum(share.values())
     prior = share.get(1.0, 0) / total if total else 0.5

@@ -364,6 +364,14 @@ def test_embedding_dedup_recall(spark):
     assert embedding_dedup.near_duplicates(df).filter("n_links = 1 and component_id = vec_id % 1500").count() >= 2990
 
 
+def test_drawn_rows(spark):
+    from corvane.llm._common import drawn
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    a, b = (sorted(r["k"] for r in drawn(x, "k", 300, 20_000).collect()) for x in (df, df.repartition(7).orderBy(F.desc("k"))))
+    assert a == b and len(a) == 300 and len(drawn(df.limit(40), "k", 300, 40).collect()) == 40
+
+
 def test_shared_folder_is_asked_for(spark, monkeypatch):
     from types import SimpleNamespace
 
