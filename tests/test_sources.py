@@ -64,6 +64,27 @@ def test_json_and_feedback(spark, tmp_path):
     assert [r["id"] for r in readers.read_feedback(spark, str(tmp_path), 2, "y").collect()] == [2]
 
 
+def test_texts_bytes_terms_and_exports(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.bin").write_bytes(b"\x00\x01")
+    got = readers.read_texts(spark, str(tmp_path / "a.txt")).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["text"]) for r in got] == [("a.txt", "one\ntwo")]
+    got = readers.read_binary(spark, str(tmp_path), "*.bin").collect()
+    assert [(r["length"], bytes(r["content"])) for r in got] == [(2, b"\x00\x01")]
+    terms = readers.taxonomy(spark, [("sql", "data"), ("tea", " ")])
+    assert {tuple(r) for r in terms.collect()} == {("sql", "data"), ("tea", "general")}
+    labelled = spark.createDataFrame([(1, "accept"), (2, "skip"), (3, "accept"), (4, "edit")], "k int, action string")
+    records = spark.createDataFrame([(1, "x"), (2, "y"), (3, ""), (4, None)], "k int, body string")
+    assert [tuple(r) for r in readers.training_export(labelled, records, "k", ["accept", "edit"], "body").collect()] == [(1, "accept", "x")]
+    assert [r[0] for r in writers.json_rows(spark.createDataFrame([(1, None), (2, "z")], "a int, b string")).collect()] == ['{"a":1}', '{"a":2,"b":"z"}']
+
+
+def test_soft_delete(spark):
+    df = spark.createDataFrame([(1, "new", None), (2, "new", None)], "k int, status string, deleted_at string")
+    got = writers.soft_delete(df, F.col("k") == 2, F.lit("2024-01-01")).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "new", None), (2, "deleted", "2024-01-01")]
+
+
 def test_maintenance(spark, tmp_path):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     show = lambda df: sorted(tuple(r) for r in df.collect())
