@@ -206,7 +206,7 @@ def _vectors(model: Model):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 3000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """The index of a bounded sample of labelled rows, with document frequencies of the whole corpus."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
