@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import embedding_dedup, licenses, minhash_dedup, mixing, nearest, packing, quality, secrets, span_dedup, toxicity
+from corvane.llm import conversation_repair, divergence, embedding_dedup, licenses, line_dedup, minhash_dedup, mixing, nearest, packing, quality, secrets, span_dedup, toxicity
 from corvane.llm._common import table
 
 
@@ -54,10 +54,23 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_toxicity, op3_embedding_dedup, op4_mixing, op5_span_dedup, op6_secret_scan, op7_nearest, op8_quality, op9_licenses, op10_minhash_dedup)
+    for f in (op1_packing, op2_toxicity, op3_embedding_dedup, op4_mixing, op5_span_dedup, op6_secret_scan, op7_nearest, op8_quality, op9_licenses, op10_minhash_dedup, op11_source_divergence, op12_line_dedup, op13_conversation_repair)
 }
 
 #: Queries that SQL expresses; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op9_licenses": licenses.oracle()}
+ORACLE: dict[str, str] = {"op9_licenses": licenses.oracle(), "op11_source_divergence": divergence.oracle(), "op12_line_dedup": line_dedup.oracle()}
