@@ -1,11 +1,21 @@
-"""Dates: flexible parsing, months between, spans as text. 'Now' is always given."""
+"""Dates: flexible parsing, spans of dates in text, months between, spans as text. 'Now' is always given."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd", "MM/yyyy", "MMM yyyy", "MMMM yyyy", "yyyy")
+from corvane.functions.lists import bound
+
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_YEAR = r"(?:19|20)[0-9]{2}"
+#: A date: a named month with a year of four digits or two behind an apostrophe, a month and a year in digits, a day, or a year.
+DATE = rf"(?:{_MONTH}[., -]{{0,3}}(?:{_YEAR}|['’][0-9]{{2}})|(?:0?[1-9]|1[0-2])[/-]{_YEAR}|{_YEAR}[/-](?:1[0-2]|0[1-9])(?:-[0-3][0-9])?|{_YEAR})"
+#: Words for the present.
+PRESENT = r"(?:present|current(?:ly)?|now|today|ongoing|till (?:date|now)|to date)"
+#: From a date, if not since one, until a date or the present.
+SPAN = rf"(?i)\b(?:since +{DATE}|(?:from +)?{DATE}(?:\s*(?:[-–—]|to|until|till)\s*|\s+)(?:{DATE}|{PRESENT}))\b"
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -18,19 +28,39 @@ def days_before(c: Column, now: str) -> Column:
     return F.floor(seconds_between(c, F.lit(now).cast("timestamp")) / 86400)
 
 
+def _date(t: Column) -> Column:
+    """The day that a lower-case text in the form of ``DATE`` names; the first where it gives no day or month."""
+    year = F.when(t.rlike(_YEAR), F.regexp_extract(t, _YEAR, 0).try_cast("int")).otherwise(bound(F.right(t, F.lit(2)).try_cast("int"), lambda y: y + F.when(y < 50, 2000).otherwise(1900)))
+    named = F.when(t.rlike("^[a-z]"), ((F.instr(F.lit(MONTHS), F.substring(t, 1, 3)) + 2) / 3).cast("int"))
+    month = F.coalesce(named, F.regexp_extract(t, "^([0-9]{1,2})[/-]", 1).try_cast("int"), F.regexp_extract(t, "^[0-9]{4}[/-]([0-9]{2})", 1).try_cast("int"), F.lit(1))
+    return F.when(t.rlike("-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date")).otherwise(F.make_date(year, month, F.lit(1)))
+
+
 def parse(c: Column, now: str) -> Column:
-    """A date in one of the usual formats; words for the present mean ``now``; years before 1980 are rejected."""
-    t = F.initcap(F.trim(c))
-    found = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS]).cast("date")
-    out = F.when(F.lower(t).isin("present", "current", "now", "till date"), F.lit(now).cast("date")).otherwise(found)
-    return F.when(F.year(out) >= 1980, out)
+    """A date in one of the usual forms (``DATE``); words for the present mean ``now``; years before 1980 and other texts give null."""
+
+    def read(t: Column) -> Column:
+        found = bound(F.when(t.rlike(f"^{DATE}$"), _date(t)), lambda d: F.when(F.year(d) >= 1980, d))
+        return F.when(t.rlike(f"^{PRESENT}$"), F.lit(now).cast("date")).otherwise(found)
+
+    return bound(F.lower(F.trim(c)), read)
+
+
+def ends_of(span: Column, now: str) -> Column:
+    """``struct(start, end, current)`` of a text that ``SPAN`` matches, or of one date, which is a start; nulls for others."""
+
+    def read(t: Column) -> Column:
+        current = t.rlike(rf"^since|{PRESENT}$")
+        dates = F.transform(F.regexp_extract_all(t, F.lit(DATE), F.lit(0)), lambda d: parse(d, now))
+        return F.struct(F.get(dates, F.lit(0)).alias("start"), F.when(current, F.lit(now).cast("date")).otherwise(F.get(dates, F.lit(1))).alias("end"), current.alias("current"))
+
+    return bound(F.lower(F.trim(span)), read)
 
 
 def range_of(c: Column, now: str) -> Column:
     """``struct(start, end)`` of a text such as 'Jan 2019 - Present'."""
-    left = F.regexp_extract(c, "^ *(.+?) *(?:-|–|to) *(.+?) *$", 1)
-    right = F.regexp_extract(c, "^ *(.+?) *(?:-|–|to) *(.+?) *$", 2)
-    return F.struct(parse(left, now).alias("start"), parse(right, now).alias("end"))
+    sides = lambda i: parse(F.regexp_extract(c, "^ *(.+?) *(?: to |–|—| - |(?<=[0-9])-(?![0-9]{2}(?:-|$))) *(.+?) *$", i), now)
+    return F.struct(sides(1).alias("start"), sides(2).alias("end"))
 
 
 def months(a: Column, b: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it: plain columns are written out at each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def none() -> Column:
     return F.array().cast("array<string>")
 

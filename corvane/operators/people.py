@@ -102,24 +102,6 @@ def commonest_spelling(df: DataFrame, keys: Sequence[str], item: str) -> DataFra
     return n.groupBy(*keys, "_k").agg(F.min(F.struct((-F.col("_n")).alias("n"), item)).alias("_m")).select(*keys, F.col(f"_m.{item}").alias(item))
 
 
-_DAY = r"(?:(?:[A-Z][a-z]{2,8} )?(?:19|20)[0-9]{2}|(?:0?[1-9]|1[0-2])/(?:19|20)[0-9]{2})"
-#: A line with a span of dates: what stands before, its start, its end.
-SPAN = rf"^(.*?)[ (|,–-]*\b({_DAY}) *(?:-|–|to) *({_DAY}|Present|Current|Now)\)?[ |,]*$"
-
-
-def experience_records(df: DataFrame, key: str, text: str, now: str) -> DataFrame:
-    """``key, place, title, company, start, end, current``: a record for each line with a span of dates, such as
-    'Title | Company | Jan 2020 - Present', 'Title at Company, 2019 - 2021' or 'Title (2018 - 2019)'."""
-    from corvane.functions.dates import parse
-
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line")).filter(F.col("line").rlike(SPAN))
-    part = lambda i: F.regexp_extract("line", SPAN, i)
-    head = F.trim(F.regexp_replace(part(1), r"^[•*▸►-]+ *", ""))
-    bits = F.filter(F.transform(F.split(head, r" *\| *| at |, "), lambda x: F.trim(x)), lambda x: x != "")
-    out = lines.select(key, "place", bits.alias("b"), parse(part(2), now).alias("start"), parse(part(3), now).alias("end"), F.lower(part(3)).isin("present", "current", "now").alias("current"))
-    return out.select(key, "place", F.get("b", F.lit(0)).alias("title"), F.get("b", F.lit(1)).alias("company"), "start", "end", "current")
-
-
 _DEGREE = r"(?i)\b(ph\.?d|doctorate|master(?:'?s)?|m\.?tech|m\.?sc|mba|bachelor(?:'?s)?|b\.?tech|b\.?sc|b\.?e|associate|diploma|high school)\b"
 
 
@@ -158,17 +140,15 @@ def education_summary(df: DataFrame, key: str) -> DataFrame:
     return out.select(key, "total_degrees", F.col("m.degree").alias("highest_degree"), "institutions", "fields", "average_gpa", "span_years")
 
 
-#: Patterns that state years of work, in the order in which they are tried.
-STATED = (
-    r"([0-9]+(?:\.[0-9]+)?) *\+? *years? +(?:of +)?(?:experience|exp|work)", r"(?:over|more than|around|approximately) *([0-9]+(?:\.[0-9]+)?) *\+? *years?",
-    r"([0-9]+(?:\.[0-9]+)?) *\+? *yrs? +(?:of +)?(?:experience|exp)", r"experience +of +([0-9]+(?:\.[0-9]+)?) *\+? *years?",
-)
+_YEARS = r"[0-9]+(?:\.[0-9]+)?\s*\+?\s*(?:years?|yrs?)\b"
+#: A number of years counts when its clause says what for, before or behind it.
+_SAID = rf"(?:\b(?:exp(?:erience)?|total|combined|over|more than|around|about|approx(?:imately)?\.?)\b|~)[^.;\n0-9]{{0,30}}?{_YEARS}|{_YEARS}[^.;\n0-9]{{0,30}}?\b(?:exp(?:erience)?|work\w*|total|combined)\b"
 
 
 def stated_years(text: Column) -> Column:
-    """Years by the first pattern that gives a number over 0 and up to 60, one digit."""
-    found = [F.regexp_extract(F.lower(text), p, 1).try_cast("double") for p in STATED]
-    return F.coalesce(*[F.when((y > 0) & (y <= 60), F.round(y, 1)) for y in found])
+    """The first number of years that a text says of work and that is over 0 and up to 60, one digit."""
+    said = F.transform(F.regexp_extract_all(F.lower(text), F.lit(_SAID), F.lit(0)), lambda s: F.regexp_extract(s, r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double"))
+    return F.round(F.get(F.filter(said, lambda y: (y > 0) & (y <= 60)), F.lit(0)), 1)
 
 
 def experience_variants(df: DataFrame, key: str, start: str, end: str, now: str) -> DataFrame:

@@ -75,3 +75,9 @@ def chunks(tokens: Column, size: int, stride: int) -> Column:
     n = F.size(tokens)
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(stride)))).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * stride + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than that, for costly work row by row; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

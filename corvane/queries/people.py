@@ -6,16 +6,18 @@ out again from the columns themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import dates as D
 from corvane.functions import lists as L
 from corvane.functions import strings as S
+from corvane.operators import histories as H
 from corvane.operators import people as P
 from corvane.operators import records as R
 from corvane.operators import resumes as T
 from corvane.operators import tagging as G
+from corvane.operators.rows import spread
 from corvane.queries.registry import query
 
 NOW = "1998-08-02"
@@ -82,18 +84,53 @@ def commonest_spelling(orders: DataFrame) -> DataFrame:
     return P.commonest_spelling(orders.select("o_orderstatus", item.alias("item")), ["o_orderstatus"], "item")
 
 
-def _history(orders: DataFrame) -> DataFrame:
-    d = F.col("o_orderdate")
-    lines = text("Work so far\n", "Engineer | Acme ", F.col("o_custkey"), " | ", F.date_format(d, "MMM yyyy"), " - Present\n", "- built things in ", F.year(d), "\n", "Analyst at Beta, ", F.year(d) - 3, " - ", F.year(d) - 1, "\nTrainee (", F.year(d) - 5, " - ", F.year(d) - 4, ")")
-    return orders.select("o_orderkey", lines.alias("text"))
+#: Titles and firms that histories are made of, and the shapes in which a record is written.
+_TITLES, _FIRMS = ["Senior Analyst", "Software Engineer", "Clerk", "Team Lead"], ["Acme {} Ltd", "Nova {} Systems", "Harbour {}"]
 
 
-@query("orders", sql=f"""
-SELECT o_orderkey, 1 AS place, 'Engineer' AS title, 'Acme ' || o_custkey AS company, date_trunc('month', o_orderdate)::date AS start, date '{NOW}' AS "end", true AS current FROM orders
-UNION ALL SELECT o_orderkey, 3, 'Analyst', 'Beta', make_date(year(o_orderdate) - 3, 1, 1), make_date(year(o_orderdate) - 1, 1, 1), false FROM orders
-UNION ALL SELECT o_orderkey, 4, 'Trainee', NULL, make_date(year(o_orderdate) - 5, 1, 1), make_date(year(o_orderdate) - 4, 1, 1), false FROM orders""")
+def _record(k: Column, title: Column, firm: Column, a: Column, b: Column) -> Column:
+    """One record in the shape numbered ``k``; dates are given to the month, in shape 4 to the year, and in 2 and 5 they are open."""
+    m = lambda c, f: F.date_format(c, f)
+    return (
+        F.when(k == 0, text(title, " | ", firm, " | ", m(a, "MMM yyyy"), " - ", m(b, "MMM yyyy"), "\n"))
+        .when(k == 1, text(title, "\n", firm, "\n", m(a, "MMM. yyyy"), " – ", m(b, "MMM. yyyy"), "\n- kept ", F.month(a), " books\n• wrote\n"))
+        .when(k == 2, text(firm, "\n", m(a, "MM/yyyy"), " to till date\n", title, "\n* sold ", F.year(a), "\n"))
+        .when(k == 3, text(m(a, "MMM''yy"), " - ", m(b, "MMMM yyyy"), "\n", title, " at ", firm, "\nled the work of the house there.\n"))
+        .when(k == 4, text(title, " @ ", firm, "  ", m(a, "yyyy"), " - ", m(b, "yyyy"), "\nEnvironment: paper and pen\n"))
+        .otherwise(text("Company: ", firm, "\nRole: ", title, "\nDuration: since ", m(a, "yyyy-MM"), "\nResponsibilities:\n- ran ", F.month(a), "\n"))
+    )
+
+
+def _history(orders: DataFrame) -> DataFrame:
+    """Texts of one to three records in mixed shapes, with other sections, blank lines and dates that are none; some without, some null."""
+    n, d = F.col("o_orderkey"), F.col("o_orderdate")
+    c = F.col("o_custkey")
+    title = lambda i: F.element_at(F.array(*map(F.lit, _TITLES)), ((c + i) % 4 + 1).cast("int"))
+    firm = lambda i: F.element_at(F.array(*[text(f.split("{}")[0], c + i, f.split("{}")[1]) for f in _FIRMS]), ((c + i) % 3 + 1).cast("int"))
+    part = lambda i: _record((c + n * i) % 6, title(i), firm(i), F.add_months(d, -40 - 30 * i), F.add_months(d, -15 - 30 * i))
+    more = F.when(n % 3 > 0, part(1)).otherwise("")
+    last = F.when(n % 3 == 2, text("\n\n", part(2))).otherwise("")
+    full = text("Work Experience\n", part(0), more, last, "Education\nSome College, 2001 - 2004\n")
+    said = F.when(c % 11 == 0, F.lit(None)).when(c % 11 == 1, text("Worked as a master of ceremonies in 1999, then left.\n\nLikes ", title(0), "s")).otherwise(full)
+    return orders.select("o_orderkey", said.alias("text"))
+
+
+_SHAPES = """
+WITH r AS (SELECT o_orderkey, i, o_custkey, (o_custkey + o_orderkey * i) % 6 AS k, o_orderdate - to_months((40 + 30 * i)::int) AS a, o_orderdate - to_months((15 + 30 * i)::int) AS b
+  FROM orders, range(3) t(i) WHERE o_custkey % 11 > 1 AND i <= o_orderkey % 3)
+SELECT o_orderkey, (i + 1)::int AS nth, ['Senior Analyst', 'Software Engineer', 'Clerk', 'Team Lead'][(o_custkey + i) % 4 + 1] AS title,
+  ['Acme ' || (o_custkey + i) || ' Ltd', 'Nova ' || (o_custkey + i) || ' Systems', 'Harbour ' || (o_custkey + i)][(o_custkey + i) % 3 + 1] AS company,
+  date_trunc(CASE WHEN k = 4 THEN 'year' ELSE 'month' END, a)::date AS start,
+  CASE WHEN k IN (2, 5) THEN date '{now}' WHEN k = 4 THEN date_trunc('year', b)::date ELSE date_trunc('month', b)::date END AS "end", k IN (2, 5) AS current,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN 'kept ' || month(a) || ' books/wrote' WHEN 2 THEN 'sold ' || year(a) WHEN 3 THEN 'led the work of the house there.' WHEN 4 THEN 'Environment: paper and pen' ELSE 'Responsibilities:/ran ' || month(a) END AS details
+FROM r"""
+
+
+@query("orders", sql=_SHAPES.format(now=NOW))
 def experience_records(orders: DataFrame) -> DataFrame:
-    return P.experience_records(_history(orders), "o_orderkey", "text", NOW)
+    out = H.experience_records(_history(spread(orders)), "o_orderkey", "text", NOW)
+    nth = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("place"))
+    return out.select("o_orderkey", nth.alias("nth"), "title", "company", "start", "end", "current", F.array_join("details", "/").alias("details"))
 
 
 def _schooling(customer: DataFrame) -> DataFrame:

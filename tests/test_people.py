@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.functions import lists as L
+from corvane.operators import histories as H
 from corvane.operators import people as P
 from corvane.operators import resumes as R
 
@@ -50,7 +51,7 @@ def test_check_roles(spark):
 def test_records_of_odd_lines(spark):
     text = "Clerk at Shop (Jan 2019 - Mar 2020)\nno dates\n2001 - 2002\nBaker | Mill | 05/2010 to Present\n"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string")
-    got = sorted((r["k"], r["place"], r["title"], r["company"], str(r["start"]), str(r["end"]), r["current"]) for r in P.experience_records(df, "k", "t", "2024-01-01").collect() if r["title"])
+    got = sorted((r["k"], r["place"], r["title"], r["company"], str(r["start"]), str(r["end"]), r["current"]) for r in H.experience_records(df, "k", "t", "2024-01-01").collect() if r["title"])
     assert got == [(1, 0, "Clerk", "Shop", "2019-01-01", "2020-03-01", False), (1, 3, "Baker", "Mill", "2010-05-01", "2024-01-01", True)]
 
 
