@@ -54,13 +54,14 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def drawn(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
-    """``n`` of ``total`` rows, by the order of a hash of ``key``.
+    """``n`` of ``total`` rows: those with the smallest hash of ``key``, at every size.
 
-    Of large tables only a slice of the hashes, with about 2 * n rows, is put in order: not every task hands on n rows.
+    Of large tables only the lowest hashes, of about 2 * n rows, are put in order, so not every task hands on n rows.
     """
+    low = F.pmod(F.xxhash64(key), F.lit(1 << 40))
     if total > 4 * n:
-        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(-(-(2 * n << 30) // total)))
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+        df = df.filter(low < F.lit(-(-(2 * n << 40) // total)))
+    return df.orderBy(low, key).limit(n)
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

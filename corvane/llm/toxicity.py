@@ -2,15 +2,16 @@
 
 1. Examples: of the labelled rows outside the held-out fold, at most ``sample`` of each label, those of the
    smallest id hash.  Texts that repeat count once.  All of them are indexed.
-2. Terms: all words of the examples.  A term weighs (1 + ln tf) * idf * tie; document frequencies are counted over
-   all documents.  tie is the square of the least lift that the examples support (how many times as frequent the term is among
-   toxic examples, two standard errors lower, 1 at least): it says how much a shared word matters and leaves no word out.
+2. Terms: all words of the examples.  A term weighs (1 + ln tf) * idf, with document frequencies counted over all documents.
 3. Each text becomes its vector of length 1 over these terms.  The examples' inverted lists are cut into blocks
    of examples, which were ordered so that like ones are neighbours; per term and block the index keeps the largest weight.
    The sum of these maxima bounds every cosine of a block.  The best blocks give a k-th cosine; then every block
    whose bound reaches it is read, and the others are skipped: the neighbours are exact.
-4. Neighbours vote with weight 1 / (1 - cosine + 0.01).  Votes become probabilities by isotonic regression on
-   the examples' own votes (each left out of its own), weighted back to the labels' true shares.
+4. The ``k`` nearest examples vote, each with weight 1 / (1 - cosine + 0.01) times the label's say: the mean, over the words that it
+   shares with the text and by their part in the cosine, of how much the word tells the labels apart (the square of the least lift
+   that the examples support, 1 for a word that tells nothing).  So neighbours are those of the plain cosine, and of these the ones near
+   for words that matter count most.  Votes become probabilities by isotonic regression on the examples' own votes (each left out of
+   its own), weighted back to the labels' true shares.
 
 Defined cases: null and empty texts, and others that share no word with an example, have no neighbours and no evidence;
 they get the share of toxic rows among examples like them, or among all where there is none.  Labels other than
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, drawn, held_out, list_rows
+from corvane.llm._common import cut, drawn, held_out, list_rows, slices
 
 _TOKEN = re.compile(r"\w+")
 #: Examples in a block.
@@ -125,10 +126,18 @@ def like_order(rows: list[tuple[np.ndarray, np.ndarray]], terms: int, seed: int
 class Model:
     """Terms with their weights, the index of all examples, and the calibration of votes."""
 
-    def __init__(self, terms: dict[str, int], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], k: int, prior: float):
-        self.terms, self.weight, self.ids, self.labels, self.k = terms, weight, ids, labels, k
-        self.index = BlockMaxIndex(rows, len(terms), ids)
+    def __init__(self, terms: dict[str, int], weight: np.ndarray, say: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], k: int, prior: float):
+        self.terms, self.weight, self.say, self.k = terms, weight, say, k
         self.none, self.x, self.y = prior, np.array([0.0, 1.0]), np.array([prior, prior])
+        self.hold(rows, ids, labels)
+
+    def hold(self, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray) -> None:
+        """The examples: their index, and their vectors one after another."""
+        self.ids, self.labels = ids, labels
+        self.index = BlockMaxIndex(rows, len(self.terms), ids)
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
+        self.term = np.concatenate([t for t, _ in rows] or [np.zeros(0)]).astype(np.int32)
+        self.part = np.concatenate([w for _, w in rows] or [np.zeros(0)])
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         found = [(self.terms[w], c) for w, c in terms_of(text).items() if w in self.terms]
@@ -140,7 +149,11 @@ class Model:
         rows, sims, _ = self.index.search(query, self.k, skip)
         if len(rows) == 0:
             return None, rows
-        w = 1 / (1 - np.minimum(sims, 1) + 0.01)
+        asked = np.zeros(len(self.terms))
+        asked[query[0]] = query[1] * self.say[query[0]]
+        at, n = _ranges(self.at[rows], self.at[rows + 1])
+        said = np.bincount(np.repeat(np.arange(len(rows)), n), self.part[at] * asked[self.term[at]], len(rows)) / sims
+        w = said / (1 - np.minimum(sims, 1) + 0.01)
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
     def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
@@ -165,12 +178,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def _words(batches):
     """Distinct words of each example's text."""
     for batch in batches:
-        ys, words = [], []
-        for y, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-            own = terms_of(t)
-            ys += [y] * len(own)
-            words += own
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(words, pa.string())], ["y", "word"])
+        for part in slices(batch, "text"):
+            ys, words = [], []
+            for y, t in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
+                own = terms_of(t)
+                ys += [y] * len(own)
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(words, pa.string())], ["y", "word"])
 
 
 def _frequencies(terms: dict[str, int]):
@@ -180,35 +194,36 @@ def _frequencies(terms: dict[str, int]):
         total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
-            seen = [terms[w] for t in batch.column(0).to_pylist() if t for w in terms.keys() & set(_TOKEN.findall(t.lower()))]
-            total[:-1] += np.bincount(seen, minlength=len(terms)) if seen else 0
+            for part in slices(batch, "text"):
+                seen = [terms[w] for t in part.column(0).to_pylist() if t for w in terms.keys() & set(_TOKEN.findall(t.lower()))]
+                total[:-1] += np.bincount(seen, minlength=len(terms)) if seen else 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     return run
 
 
-def tie(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Weight of terms that ``a`` of ``n1`` toxic and ``c`` of ``n0`` other examples hold: the square of the lift, two standard errors lower."""
+def label_say(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The label's say of terms that ``a`` of ``n1`` toxic and ``c`` of ``n0`` other examples hold: the square of the lift, two standard errors lower."""
     lift = np.log((a + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
     return np.exp(2 * np.maximum(0, lift - 2 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))))
 
 
 def _vectors(model: Model):
     def run(batches):
-        for batch in batches:
-            rows = [model.vector(t) for t in batch.column(2).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            rows = [model.vector(t) for t in part.column(2).to_pylist()]
             sizes = np.array([len(t) for t, _ in rows])
-            cells = [list_rows(np.concatenate([r[i] for r in rows] or [np.zeros(0)]), sizes, kind) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["doc_id", "y", "t", "w"])
+            cells = [list_rows(np.concatenate([r[i] for r in rows]), sizes, kind) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cells], ["doc_id", "y", "t", "w"])
 
     return run
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = 2000, k: int = 50, longest: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
-    """The index of a bounded sample of labelled rows, with document frequencies of the whole corpus."""
+    """The index of a bounded sample of labelled rows (``sample`` a label, none over ``longest`` bytes), with document frequencies of the whole corpus."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
@@ -217,10 +232,10 @@ def train(
     some = F.broadcast(both[0].union(both[1]))  # at most 2 * sample rows of an id and a label
     total = sum(share.values())
     prior = share.get(1.0, 0) / total if total else 0.5
-    empty = Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], k, prior)
+    empty = Model({}, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], k, prior)
     if len(share) < 2:
         return empty
-    rows = texts.filter("doc_id is not null").join(some, "doc_id").select("doc_id", "y", "text")
+    rows = texts.filter(F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)).join(some, "doc_id").select("doc_id", "y", "text")
     rows = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "y", "text")).alias("m")).select("m.*"))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(n) < 2:
@@ -229,11 +244,11 @@ def train(
     # the words of at most 2 * sample examples
     counts = words.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c")).orderBy("word").toArrow()
     terms = {w: i for i, w in enumerate(counts.column("word").to_pylist())}
-    tied = tie(counts.column("a").to_numpy(), counts.column("c").to_numpy(), n[1.0], n[0.0])
+    say = label_say(counts.column("a").to_numpy(), counts.column("c").to_numpy(), n[1.0], n[0.0])
     freq = texts.select("text").mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(terms) + 1)
     seen[freq.column("term").to_numpy()] = freq.column("n").to_numpy()
-    model = Model(terms, (1 + np.log((1 + seen[-1]) / (1 + seen[:-1]))) * tied, np.zeros(0, np.int64), np.zeros(0), [], k, prior)
+    model = Model(terms, 1 + np.log((1 + seen[-1]) / (1 + seen[:-1])), say, np.zeros(0, np.int64), np.zeros(0), [], k, prior)
     found = rows.select("doc_id", "y", "text").mapInArrow(_vectors(model), "doc_id long, y double, t array<long>, w array<double>").orderBy("doc_id").toArrow().combine_chunks()
     return _fitted(model, found, share)
 
@@ -245,8 +260,8 @@ def _fitted(model: Model, found: pa.Table, share: dict[float, int]) -> Model:
     at, t, w = t.offsets.to_numpy(), t.values.to_numpy(), w.values.to_numpy()
     rows = [(t[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     order = like_order(rows, len(model.terms))
-    rows, model.ids, model.labels = [rows[i] for i in order], ids[order], ys[order]
-    model.index = BlockMaxIndex(rows, len(model.terms), model.ids)
+    rows = [rows[i] for i in order]
+    model.hold(rows, ids[order], ys[order])
     weight = np.where(model.labels == 1, share[1.0] / (ys == 1).sum(), share[0.0] / (ys == 0).sum())
     raw = np.array([np.nan if (v := model.vote(r, skip=j)[0]) is None else v for j, r in enumerate(rows)])
     lone = np.isnan(raw)
@@ -262,8 +277,7 @@ def score(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, threshol
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, "text"):
                 found = [model.score(model.vector(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
