@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut, drawn, held_out
+from corvane.llm._common import cut, drawn, held_out, slices
 from corvane.llm.trees import Trees, boost
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _HIGH = (np.zeros(256, bool) for _ in range(5))
@@ -68,16 +68,15 @@ WIDTH = 24 + len(_MARKS)
 
 
 def _features(batches):
-    for batch in batches:
-        rows = np.array([statistics(t) for t in batch.column(1).to_pylist()], dtype=np.float64).reshape(-1, WIDTH)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), WIDTH).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
+    for part in (part for batch in batches for part in slices(batch, "text")):
+        rows = np.array([statistics(t) for t in part.column(1).to_pylist()], dtype=np.float64).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), WIDTH).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
 def _scorer(model: Trees):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, "text"):
                 x = np.array([statistics(t) for t in part.column(1).to_pylist()], dtype=np.float64).reshape(-1, WIDTH)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.predict(x))], ["doc_id", "score"])
 
@@ -118,8 +117,7 @@ def keep(docs: DataFrame, model: Trees, least: float = 0.5, text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch, text_col):
                 x = np.array([statistics(t) for t in part.column(place).to_pylist()], dtype=np.float64).reshape(-1, WIDTH)
                 yield part.filter(pa.array(model.predict(x) >= least))
 

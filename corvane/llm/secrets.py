@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import cut
+from corvane.llm._common import cut, slices
 from corvane.llm.trees import Trees, forest
 
 _DIGITS = re.compile(r"[0-9]")
@@ -274,8 +274,7 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, id_col
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, "text"):
                 texts = part.column(1).to_pylist()
                 found = _scan_texts(texts, model, least)
                 cells = [[{"start": s, "end": e, "score": v, "secret": t[s:e]} for s, e, v in own] for t, (own, _) in zip(texts, found, strict=True)]
@@ -292,8 +291,7 @@ def redact(docs: DataFrame, model: Model | None = None, least: float = 0.5, mark
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, text_col):
                 texts = part.column(place).to_pylist()
                 for i, (own, _) in enumerate(_scan_texts(texts, model, least)):
                     for s, e, _ in reversed(own):
