@@ -11,6 +11,7 @@ combination and multiplied by its cell.  All sums are of whole numbers; products
 
 Plan: occurrences are added up in the map tasks by (language, source, term), first in counters of bounded size in Python, which
 splits a text some ten times as fast as a regular expression, then in Spark, so a source with a third of all rows is no hot key;
+one shuffle by (language, term) serves the counts of sources and of languages alike;
 lists of sources are by (language, term) and cut into blocks of ``width`` sources, each pair of blocks a row of its own.  The
 tallies are partial counts again.  The result itself has a row for each ordered pair of a language's sources.
 
@@ -45,7 +46,7 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
 #: What each byte of UTF-8 becomes: A-Z lower-cased, bytes of no term blank. Bytes of characters beyond ASCII are all above 0x7F.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Counters of a task are handed on at this many entries.
-ENTRIES = 250_000
+ENTRIES = 500_000
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, n_docs``: occurrences of each term, and rows that hold it."""
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found = rows.mapInArrow(_count, "lang string, source string, term string, n long, n_docs long")
+    found = rows.mapInArrow(_count, "lang string, source string, term string, n long, n_docs long").repartition("lang", "term")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
@@ -84,9 +85,9 @@ class Audit:
     """The counts that both parts read, each written out once."""
 
     def __init__(self, docs: DataFrame, documents: int = 30, width: int = 64):
-        counts = cut(term_counts(docs))
-        kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("d")).filter(F.col("d") >= documents).drop("d")
-        self.entries = cut(counts.drop("n_docs").join(kept, ["lang", "term"]))
+        of = Window.partitionBy("lang", "term")
+        counts = term_counts(docs).withColumns({"lang_n": F.sum("n").over(of), "d": F.sum("n_docs").over(of)})
+        self.entries = cut(counts.filter(F.col("d") >= documents).drop("n_docs", "d"))
         of_term = self.entries.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
         langs = of_term.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
         totals = self.entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -125,11 +125,11 @@ def test_toxicity_by_brute_force(spark, frames):
     n1 = sum(truth[i] for i in ex)
     df = Counter(w for c in words.values() for w in c)
     a, c = (Counter(w for i in ex if truth[i] == y for w in words[i]) for y in (1, 0))
-    weight = {}
+    weight, say = {}, {}
     for w in a.keys() | c.keys():
         lift = math.log((a[w] + 0.5) / (n1 + 1)) - math.log((c[w] + 0.5) / (len(ex) - n1 + 1))
         low = max(0, lift - 2 * math.sqrt(1 / (a[w] + 0.5) + 1 / (c[w] + 0.5)))
-        weight[w] = (1 + math.log((1 + len(words)) / (1 + df[w]))) * math.exp(2 * low)
+        weight[w], say[w] = 1 + math.log((1 + len(words)) / (1 + df[w])), math.exp(2 * low)
 
     def vector(i):
         v = {w: (1 + math.log(n)) * weight[w] for w, n in words[i].items() if w in weight}
@@ -139,8 +139,10 @@ def test_toxicity_by_brute_force(spark, frames):
     vs = {i: vector(i) for i in words}
 
     def vote(i, skip=None):
-        sims = sorted(((-round(sum(x * vs[e].get(w, 0) for w, x in vs[i].items()), 9), e) for e in ex if e != skip))[:15]
-        w = [1 / (1 - min(-s, 1) + 0.01) for s, _ in sims]
+        """The label's say counts among the neighbours of the plain cosine only."""
+        sims = sorted(((-round(sum(x * vs[e].get(w, 0) for w, x in vs[i].items()), 9), e) for e in ex if e != skip))[:50]
+        said = [sum(x * vs[e].get(w, 0) * say[w] for w, x in vs[i].items()) / -s for s, e in sims]
+        w = [x / (1 - min(-s, 1) + 0.01) for x, (s, _) in zip(said, sims, strict=True)]
         return sum(x * truth[e] for x, (_, e) in zip(w, sims, strict=True)) / sum(w), {e for _, e in sims}
 
     raw = np.array([vote(i, i)[0] for i in ex])
@@ -149,7 +151,7 @@ def test_toxicity_by_brute_force(spark, frames):
     x, y = toxicity.isotonic(raw, ys, np.where(ys == 1, share[1] / ys.sum(), share[0] / (1 - ys).sum()))
     for i in list(words)[::7]:
         v, near = vote(i)
-        assert abs(got[i]["score"] - np.interp(v, x, y)) < 1e-6 and len(near & set(got[i]["evidence"])) >= 14
+        assert abs(got[i]["score"] - np.interp(v, x, y)) < 1e-6 and len(near & set(got[i]["evidence"])) >= 49
 
 
 def test_isotonic():
@@ -338,6 +340,20 @@ def test_embedding_dedup_awkward(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_labels_of_any_type(spark):
+    """Labels are equal or not as they are: neither rounded nor cast."""
+    near = [1.0, 0.0, 0.01]
+    for kind, a, b in (("double", 1.2, 1.7), ("string", "cat", "dog"), ("boolean", True, False), ("long", 1, 1 + (1 << 32)), ("decimal(10,2)", 1, 2)):
+        from decimal import Decimal
+
+        a, b = (Decimal(a), Decimal(b)) if kind.startswith("decimal") else (a, b)
+        df = spark.createDataFrame([(1, near, a), (2, near, a), (3, near, b), (4, [2.0, 0.0, 0.0], b), (5, near, None)], f"vec_id long, embedding array<float>, label {kind}")
+        got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
+        assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)], kind
+    df = spark.createDataFrame([(1, near, 0.0), (2, near, -0.0), (3, near, float("nan")), (4, [3.0, 0.0, 0.0], float("nan"))], "vec_id long, embedding array<float>, label double")
+    assert sorted(r["component_id"] for r in embedding_dedup.near_duplicates(df).collect()) == [1, 1, 3, 3]
+
+
 def test_embedding_dedup_repeated_ids(spark):
     """Rows go by their own vectors, in any order of the input; doubles are compared as doubles."""
     rows = [(3, [1.0, 0.0, 0.01], 1), (5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (9, [0.0, 1.0, 0.01], 1), (11, [0.3, 0.3, -1.0], 1)]
