@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import dates as D
 from corvane.functions import strings as S
+from corvane.functions.lists import bound
+from corvane.operators import dictionary as V
 from corvane.operators import matching as M
 from corvane.operators import resumes as R
 from corvane.queries.registry import query
@@ -58,6 +60,21 @@ def skills_named(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.array_join(R.skills_in(F.col("text"), ["the", "die", "token"]), ",").alias("skills"))
 
 
+def phrases(benchmark: DataFrame) -> DataFrame:
+    """A dictionary table: every word run of two or three words in the benchmark's texts, and its words of nine letters or more."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    every = bound(words, lambda w: F.concat(runs(w, 2), runs(w, 3), F.filter(w, lambda x: F.length(x) >= 9)))
+    return benchmark.select(F.explode(every).alias("term")).distinct()
+
+
+@query("documents", "benchmark")
+def dictionary_terms(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Thousands of terms over whole texts; tested against a plain reading of the rules."""
+    out = V.matched_and_rest(documents, "doc_id", "text", phrases(benchmark), "term")
+    return out.select("doc_id", "n_matches", F.size("terms").alias("n_terms"), F.md5("remainder").alias("remainder_md5"))
+
+
 @query("part", sql="""
 SELECT p_name, CASE WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9])bolt([^a-z0-9]|$)') THEN 'fastener' WHEN contains(lower(p_name), 'giz') THEN 'toy' ELSE 'other' END AS category FROM (SELECT DISTINCT p_name FROM part)""")
 def keyword_points(part: DataFrame) -> DataFrame:
