@@ -42,8 +42,16 @@ def _kind_of(part: Column) -> Column:
     return F.when(p.rlike(rf"\b(?:{_FIRM})\.?$"), "firm").when(p.rlike(rf"\b(?:{_JOB})\b"), "titled").when(p.rlike(rf"\b(?:{_FIRM})\b"), "firm").otherwise("plain")
 
 
+def _class_of(kind: str, text: Column, label: Column | None = None, heads: Column | None = None, ends: Column | None = None) -> Column:
+    none = F.expr("cast(null as struct<start:date,end:date,current:boolean>)")
+    return F.struct(
+        F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None).cast("string") if label is None else label).alias("label"),
+        (F.expr(f"cast(array() as array<{_PART}>)") if heads is None else heads).alias("heads"), (none if ends is None else ends).alias("ends"),
+    )
+
+
 def _classed(line: Column, now: str) -> Column:
-    """``struct(kind, text, label, heads, span)`` of a line."""
+    """``struct(kind, text, label, heads, ends)`` of a line."""
 
     def parts(t: Column, label: Column) -> Column:
         bits = F.filter(F.transform(F.split(t, r"\s*(?:\||·|\t|@|,)\s*|\s+(?:at|[-–—])\s+|\s{2,}"), lambda x: F.regexp_replace(x, r"^[\s(),;:|–—-]+|[\s(,;:|–—-]+$", "")), lambda x: x.rlike(r"\w"))
@@ -51,21 +59,27 @@ def _classed(line: Column, now: str) -> Column:
         return F.when(label.isin("company", "title") & (F.trim(t) != ""), labelled).when(label.isNotNull(), F.array().cast(f"array<{_PART}>")).otherwise(F.transform(bits, lambda b: F.struct(b.alias("t"), _kind_of(b).alias("k"))))
 
     def read(t: Column) -> Column:
+        label = F.when(t.contains(":"), F.coalesce(*[F.when(t.rlike(rf"(?i)^(?:{p})\s*:"), name) for name, p in _LABELS.items()]))
+        return F.when(t == "", _class_of("blank", t)).when(line.rlike(_BULLET), _class_of("detail", F.regexp_replace(t, _BULLET, ""))).otherwise(bound(label, lambda label: labelled(t, label)))
+
+    def labelled(t: Column, label: Column) -> Column:
         dated = t.rlike(r"(?:19|20)[0-9]{2}|['’][0-9]{2}")
-        label = F.coalesce(*[F.when(t.rlike(rf"(?i)^(?:{p})\s*:"), name) for name, p in _LABELS.items()])
         bare = F.when(label.isNotNull(), F.regexp_replace(t, r"^[^:]*:\s*", "")).otherwise(t)
-
-        def spanned(span: Column) -> Column:
-            rest = F.when(span == "", bare).otherwise(F.regexp_replace(F.replace(bare, span, F.lit(" ")), r"\(\s*\)|[(\[]\s*$", ""))
-            head = (F.length(t) <= 100) & (F.size(F.split(t, " +")) <= 14) & (label.isNotNull() | t.rlike(r"^[\p{Lu}0-9(]")) & (label.isNotNull() | ~t.rlike(r"^[\p{L} ]{3,25}:")) & ~(t.rlike(r"[a-z]{3,}\.$") & ~t.rlike(rf"(?i)\b(?:{_FIRM})\.$"))
-            kind = F.when(t == "", "blank").when(line.rlike(_BULLET), "detail").when(t.rlike(_OTHER), "other").when(t.rlike(_HEADING), "heading").when((span != "") | head, "head").otherwise("detail")
-            heads = F.when(kind == "head", parts(rest, label)).otherwise(F.array().cast(f"array<{_PART}>"))
-            ends = F.when((kind == "head") & (span != ""), ends_of(span, now))
-            return F.struct(kind.alias("kind"), F.regexp_replace(t, _BULLET, "").alias("text"), label.alias("label"), heads.alias("heads"), ends.alias("ends"))
-
         # a date alone on its line is a start
         span = F.when(~dated | (F.length(t) > 160), "").otherwise(bound(F.regexp_extract(bare, SPAN, 0), lambda s: F.when(s != "", s).when(bare.rlike(rf"(?i)^\(?{DATE}\)?$"), bare).otherwise("")))
-        return bound(span, spanned)
+        return bound(span, lambda span: spanned(t, label, bare, span))
+
+    def spanned(t: Column, label: Column, bare: Column, span: Column) -> Column:
+        rest = F.when(span == "", bare).otherwise(F.regexp_replace(F.replace(bare, span, F.lit(" ")), r"\(\s*\)|[(\[]\s*$", ""))
+        plain = t.rlike(r"^[\p{Lu}0-9(]") & ~t.rlike(r"^[\p{L} ]{3,25}:")
+        head = (F.length(t) <= 100) & (label.isNotNull() | plain) & (F.size(F.split(t, " +")) <= 14) & ~(t.rlike(r"[a-z]{3,}\.$") & ~t.rlike(rf"(?i)\b(?:{_FIRM})\.$"))
+        short = F.length(t) <= 60
+        return (
+            F.when(short & t.rlike(_OTHER), _class_of("other", t))
+            .when(short & t.rlike(_HEADING), _class_of("heading", t))
+            .when((span != "") | head, _class_of("head", t, label, parts(rest, label), F.when(span != "", ends_of(span, now))))
+            .otherwise(_class_of("detail", t))
+        )
 
     return bound(F.trim(F.regexp_replace(line, r"[\r\x{00a0}]", " ")), read)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +15,14 @@ def similar_skills(have: DataFrame, want: DataFrame, vectors: DataFrame, least:
     """``candidate, job, wanted, had, sim``: pairs of skill vectors with cosine above ``least``, within a candidate and job that meet.
 
     ``have(candidate, job, skill)`` and ``want(job, skill)`` are joined on the job, so only skills of one
-    application are compared; vectors are joined once to each side.
+    application are compared; vectors are joined once to each side with their lengths.
     """
-    v = vectors.select("skill", "vector")
-    a = have.join(v, "skill").select("candidate", "job", F.col("skill").alias("had"), F.col("vector").alias("a"))
-    b = want.join(v, "skill").select("job", F.col("skill").alias("wanted"), F.col("vector").alias("b"))
-    pairs = a.join(b, "job").withColumn("sim", F.when(F.col("had") == F.col("wanted"), 1.0).otherwise(C.cosine(F.col("a"), F.col("b"))))
+    v = vectors.select("skill", F.col("vector").cast("array<double>").alias("vector"))
+    v = v.withColumn("size", F.sqrt(C.dot(F.col("vector"), F.col("vector"))))  # once a vector, not once a pair
+    a = have.join(v, "skill").select("candidate", "job", F.col("skill").alias("had"), F.col("vector").alias("a"), F.col("size").alias("size_a"))
+    b = want.join(v, "skill").select("job", F.col("skill").alias("wanted"), F.col("vector").alias("b"), F.col("size").alias("size_b"))
+    cosine = F.try_divide(C.dot(F.col("a"), F.col("b")), F.col("size_a") * F.col("size_b"))
+    pairs = a.join(b, "job").withColumn("sim", F.when(F.col("had") == F.col("wanted"), 1.0).otherwise(cosine))
     return pairs.filter(F.col("sim") > least).select("candidate", "job", "wanted", "had", "sim")
 
 
@@ -41,21 +42,19 @@ def nearest_within(asked: DataFrame, rows: DataFrame, key: str, group: str, vect
 def assign(pairs: DataFrame) -> DataFrame:
     """Each wanted skill, in name order, takes the most similar one not yet taken (first by name in a tie).
 
-    The choice depends on earlier ones, so each candidate and job is one group: the skills of one application, whose number
-    a person's list bounds and not the table.
+    The choice depends on earlier ones, so the pairs of a candidate and job, whose number a person's list bounds and not the
+    table, are one sorted array, folded on the JVM.  Equal pairs count once.
     """
+    pick = "struct<wanted:string,had:string,sim:double>"
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for wanted, own in rows.sort_values(["wanted", "sim", "had"], ascending=[True, False, True]).groupby("wanted", sort=True):
-            free = own[~own["had"].isin(taken)]
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["had"])
-                out.append((best["candidate"], best["job"], wanted, best["had"], best["sim"]))
-        return pd.DataFrame(out, columns=["candidate", "job", "wanted", "had", "sim"])
-
-    return pairs.groupBy("candidate", "job").applyInPandas(greedy, pairs.select("candidate", "job", "wanted", "had", "sim").schema)
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)  # picks stand in the order of wanted skills
+        free = ~F.coalesce(last["wanted"] == x["wanted"], F.lit(False)) & ~F.exists(acc, lambda p: p["had"] == x["had"])
+        return F.when(free, F.concat(acc, F.array(F.struct(x["wanted"].alias("wanted"), x["had"].alias("had"), (-x["far"]).alias("sim"))))).otherwise(acc)
+
+    ordered = F.array_sort(F.collect_list(F.struct("wanted", (-F.col("sim")).alias("far"), "had")))
+    own = pairs.groupBy("candidate", "job").agg(ordered.alias("p"))
+    return own.select("candidate", "job", F.inline(F.aggregate("p", F.expr(f"cast(array() as array<{pick}>)"), step)))
 
 
 def skill_parts(have: Column, required: Column, preferred: Column, near_required: Column | None = None) -> tuple[Column, Column]:

@@ -231,12 +231,6 @@ def list_orders(orders: DataFrame) -> DataFrame:
     return rows.select("o_orderkey", joined(L.by_importance(items, ["python"], ["sql"], ["cobol"])).alias("important"), joined(L.longest_first(items)).alias("longest"))
 
 
-@query("documents", sql="SELECT doc_id, round(greatest(0, least(1, n_chars / 4000.0::double - least(doc_id % 90 * 0.002::double, 0.1::double) - doc_id % 3 * 0.05::double - doc_id % 4 * 0.03::double)), 6)::double AS quality FROM documents")
-def extraction_quality(documents: DataFrame) -> DataFrame:
-    k = F.col("doc_id")
-    return documents.select("doc_id", F.round(L.extraction_quality(F.col("n_chars") / 4000.0, k % 90, k % 3, k % 4), 6).alias("quality"))
-
-
 @query("part", sql="""
 SELECT p_partkey, lower(p_name) AS squeezed, 'host/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN 'javascript' ELSE 'go ' || p_partkey END AS canonical, p_partkey % 3 = 0 AS has_js, p_partkey % 2 = 0 AS same_role, p_partkey % 5 = 0 AS disposable, 'x' || p_partkey || '@real.org' AS mails,
   CASE p_partkey % 4 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' WHEN 2 THEN 'executive' ELSE 'mid' END AS level, '%senior data engineer%,%data engineer%' AS patterns FROM part""")
