@@ -124,17 +124,29 @@ def _leftmost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def find_terms(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """``key, start, end, term``: the matches taken, with offsets in characters from 0 and the dictionary's spelling (the least of equals)."""
+def all_matches(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """``key, start, end, run`` of every place where a term of the dictionary stands, overlapping ones too; ``run`` is its compared form."""
     known = terms.select(F.col(term).cast("string").alias("term")).filter(F.col("term").rlike(r"\S")).distinct()
     longest, bits = _bitmap(known)
-    known = known.mapInArrow(_with_runs, "term string, run string").groupBy("run").agg(F.min("term").alias("term"))
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string"))
-    found = rows.mapInArrow(_candidates(longest, bits), f"key {kind}, start int, end int, run string").join(known, "run")
-    dealt = found.select("key", "start", "end", "term").repartition("key").sortWithinPartitions("key", "start", F.desc("end"))
-    taken = dealt.mapInArrow(_leftmost, f"key {kind}, start int, end int, term string")
-    return taken.select(F.col("key").alias(key), "start", "end", "term")
+    found = rows.mapInArrow(_candidates(longest, bits), f"key {kind}, start int, end int, run string")
+    return found.join(with_runs(known).select("run").distinct(), "run").select("key", "start", "end", "run")
+
+
+def with_runs(terms: DataFrame) -> DataFrame:
+    """``term, run``: terms (one column) beside the form in which they are compared."""
+    return terms.mapInArrow(_with_runs, "term string, run string")
+
+
+def find_terms(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """``key, start, end, term``: the matches taken, with offsets in characters from 0 and the dictionary's spelling (the least of equals)."""
+    spelt = with_runs(terms.select(F.col(term).cast("string")).filter(F.col(term).rlike(r"\S"))).groupBy("run").agg(F.min("term").alias("term"))
+    found = all_matches(df, key, text, terms, term)
+    dealt = found.repartition("key").sortWithinPartitions("key", "start", F.desc("end"))
+    kind = df.schema[key].dataType.simpleString()
+    taken = dealt.select("key", "start", "end", "run").mapInArrow(_leftmost, f"key {kind}, start int, end int, run string")
+    return taken.join(spelt, "run").select(F.col("key").alias(key), "start", "end", "term")
 
 
 @pandas_udf(StringType())

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from corvane.operators import clusters as C
 from corvane.operators import losses as Q
 from corvane.operators import sections as S
+from corvane.operators import survivorship as V
+from corvane.operators import weak_labels as L
+from corvane.operators import windows as W
 from corvane.operators.rows import spread
+from corvane.queries.extracts import phrases
 from corvane.queries.registry import query
+from corvane.streaming import jobs as J
 
 _KEYS = """
 k AS (SELECT c_custkey AS id, 'b' || c_nationkey || ':' || (cast(round(abs(c_acctbal) * 100) AS bigint) % 997) AS key FROM customer
@@ -110,3 +115,89 @@ def extraction_quality(documents: DataFrame) -> DataFrame:
     """Likeness and quality of each document against what was rebuilt from it; tested against a plain table of common subsequences."""
     out = Q.compare(spread(_rebuilt(documents)), "doc_id", "text", "rebuilt", "found")
     return out.select("doc_id", F.round("likeness", 6).alias("likeness"), F.round("quality", 6).alias("quality"))
+
+
+@query("events")
+def job_attempts(events: DataFrame) -> DataFrame:
+    """Each user as a job: views queue it, errors fail an attempt, purchases end it; tested against a plain reading and as a stream."""
+    rows = J.replay(J.job_events(events, {"view": "queued", "error": "failed", "purchase": "done"}), "2100-01-01")
+    return rows.groupBy("job", "status").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("attempts"), F.max("at").alias("last_at"))
+
+
+_FIELDS = """
+v AS (SELECT l_orderkey AS key, 's' || l_linenumber AS source, 'mode' AS field, CASE WHEN l_partkey % 7 = 0 THEN ' ' ELSE CASE WHEN l_suppkey % 2 = 0 THEN upper(l_linestatus) ELSE lower(l_linestatus) END END AS value, l_discount * 10 AS score FROM lineitem
+  UNION ALL SELECT l_orderkey, 's' || l_linenumber, 'ship', strftime(l_shipdate, '%Y-%m-%d'), l_discount * 10 FROM lineitem
+  UNION ALL SELECT l_orderkey, 's' || l_linenumber, 'flag', l_returnflag || repeat('x', (l_partkey % 5)::int), l_discount * 10 FROM lineitem
+  UNION ALL SELECT l_orderkey, 's' || l_linenumber, 'tags', l_returnflag || ';' || lower(l_returnflag) || '; ' || l_linestatus, 0 FROM lineitem)"""
+
+
+@query("lineitem", sql=f"""
+WITH {_FIELDS},
+u AS (SELECT DISTINCT key, source, field, trim(value) AS value, score FROM v WHERE trim(value) <> ''),
+n AS (SELECT key, field, lower(value) AS f, count(DISTINCT source) AS votes FROM u GROUP BY ALL),
+r AS (SELECT u.key, u.field, value, source, f, row_number() OVER (PARTITION BY u.key, u.field ORDER BY
+    CASE WHEN field = 'ship' AND NOT score >= 0.5 THEN 1 ELSE 0 END, CASE field WHEN 'mode' THEN -votes WHEN 'flag' THEN -length(value) ELSE 0 END,
+    CASE WHEN field = 'ship' AND source = 's3' THEN 1 WHEN field = 'ship' AND source = 's1' THEN 2 ELSE 99 END, source, value) AS rn FROM (SELECT *, lower(value) AS f FROM u) u JOIN n USING (key, field, f) WHERE field <> 'tags'),
+o AS (SELECT key, field, any_value(value) FILTER (WHERE rn = 1) AS value, any_value(source) FILTER (WHERE rn = 1) AS source, count(DISTINCT f) > 1 AS conflict FROM r GROUP BY ALL),
+i AS (SELECT key, source, trim(unnest(string_split(value, ';'))) AS item, unnest(range(len(string_split(value, ';')))) AS p FROM u WHERE field = 'tags'),
+j AS (SELECT key, lower(item) AS f, min((source, p, item)) AS m FROM i GROUP BY ALL)
+SELECT key AS l_orderkey, field, value, source, conflict FROM o
+UNION ALL SELECT j.key, 'tags', string_agg(m[3], ';' ORDER BY m), any_value(s), false FROM j JOIN (SELECT key, string_agg(DISTINCT source, ',' ORDER BY source) AS s FROM i GROUP BY 1) t ON t.key = j.key GROUP BY j.key""")
+def merged_by_policy(lineitem: DataFrame) -> DataFrame:
+    """An order's lines as sources of its fields, merged by the rules of a policy table."""
+    source = F.concat(F.lit("s"), F.col("l_linenumber").cast("string"))
+    part, flag = F.col("l_partkey"), F.col("l_returnflag")
+    mode = F.when(part % 7 == 0, " ").when(F.col("l_suppkey") % 2 == 0, F.upper("l_linestatus")).otherwise(F.lower("l_linestatus"))
+    fields = {"mode": mode, "ship": F.date_format("l_shipdate", "yyyy-MM-dd"), "flag": F.concat(flag, F.repeat(F.lit("x"), (part % 5).cast("int"))), "tags": F.concat(flag, F.lit(";"), F.lower(flag), F.lit("; "), "l_linestatus")}
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value"), (F.lit(0.0) if f == "tags" else F.col("l_discount") * 10).alias("score")) for f, c in fields.items()])
+    values = lineitem.select(F.col("l_orderkey").alias("key"), source.alias("source"), F.inline(cells))
+    policy = lineitem.sparkSession.createDataFrame(
+        [("mode", "common", None, None), ("ship", "confident", ["s3", "s1"], 0.5), ("flag", "longest", None, None), ("tags", "union", None, None)], "field string, rule string, sources array<string>, least double"
+    )
+    return V.merge_by_policy(values, policy).withColumnRenamed("key", "l_orderkey")
+
+
+@query("documents", sql="""
+WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 350)) AS s FROM t WHERE n > 0)
+SELECT doc_id, n AS n_tokens, count(*)::int AS n_windows, max(least(s + 400, n))::int AS last_end FROM w WHERE s = 0 OR s - 350 + 400 < n GROUP BY 1, 2""")
+def token_windows(documents: DataFrame) -> DataFrame:
+    d = documents.filter(F.col("text").isNotNull()).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
+    out = d.select("doc_id", F.col("n").cast("long").alias("n_tokens"), W.windows(F.col("n"), 400, 350).alias("w")).filter(F.size("w") > 0)
+    return out.select("doc_id", "n_tokens", F.size("w").alias("n_windows"), F.array_max("w.end").alias("last_end"))
+
+
+@query("conversations", sql=r"""
+WITH t AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '\S+')) AS token, unnest(range(len(regexp_extract_all(text, '\S+')))) AS p FROM conversations),
+g AS (SELECT *, CASE WHEN regexp_matches(token, '^[A-ZÀ-Þ]') THEN 'N' END AS kind, lag(regexp_matches(token, '^[A-ZÀ-Þ]')) OVER (PARTITION BY conv_id, turn ORDER BY p) AS before FROM t)
+SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (WHERE kind = 'N' AND NOT coalesce(before, false)) AS n_begin, count(*) FILTER (WHERE kind = 'N' AND before) AS n_inside FROM g GROUP BY 1, 2""")
+def window_tags(conversations: DataFrame) -> DataFrame:
+    """Runs of capitalised words tagged in overlapping windows of eight words, each blind to what lies outside it, and made one again."""
+    words = conversations.select(F.struct("conv_id", "turn").alias("key"), F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("t"))
+    cut = words.select("key", "t", F.inline(W.windows(F.size("t"), 8, 5)))
+
+    def tag(i: Column) -> Column:
+        named = lambda j: F.get(F.col("t"), j).rlike("^[A-ZÀ-Þ]")
+        inside = (i > F.col("start")) & F.coalesce(named(i - 1), F.lit(False))
+        return F.struct(i.alias("pos"), F.when(~named(i), "O").when(inside, "I-N").otherwise("B-N").alias("tag"))
+
+    answers = cut.select("key", "start", "end", F.inline(F.transform(F.sequence(F.col("start"), F.col("end") - 1), tag)))
+    out = W.reconcile(answers, "key")
+    return out.groupBy("key.conv_id", "key.turn").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("tag") == "B-N").alias("n_begin"), F.count_if(F.col("tag") == "I-N").alias("n_inside"))
+
+
+def _labelled_terms(benchmark: DataFrame) -> DataFrame:
+    """A dictionary with labels: the benchmark's runs of two words, and its long words, which weigh less."""
+    terms = phrases(benchmark).filter(F.size(F.split("term", " ")) <= 2)
+    two = F.size(F.split("term", " ")) == 2
+    return terms.select("term", F.when(two, "PHRASE").otherwise("WORD").alias("label"), F.when(two, 2).otherwise(1).alias("priority"))
+
+
+@query("documents", "benchmark")
+def weak_labels(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Tags of several tokens from a dictionary table and patterns, overlaps settled by weight; tested against every choice of spans."""
+    patterns = [("NAME", r"\b[A-ZÀ-Þ]\w+(?: [A-ZÀ-Þ]\w+)+", 2), ("DATE", r"\b(?:19|20)[0-9]{2}\b", 5), ("MAIL", r"[\w.+-]+@[\w-]+\.[a-z]{2,}", 5)]
+    spans = L.settled(L.weak_spans(documents, "doc_id", "text", _labelled_terms(benchmark), patterns), "doc_id")
+    tags = L.tags(documents, "doc_id", "text", spans)
+    n = lambda kind: F.size(F.filter("tags", lambda t: t == kind)).alias(kind.replace("-", "_").lower())
+    return tags.select("doc_id", F.size("tags").alias("n_tokens"), *[n(k) for k in ("B-PHRASE", "I-PHRASE", "B-WORD", "B-NAME", "I-NAME", "B-DATE", "B-MAIL")], F.md5(F.array_join("tags", ",")).alias("tags_md5"))
