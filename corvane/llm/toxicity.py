@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +45,32 @@ def terms_of(text: str | None) -> Counter:
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over sparse rows of length 1, given as (terms, weights); the smaller of ``names`` breaks ties."""
+    """Exact top-k by inner product over sparse rows of length 1, given as (terms, weights); the smaller of ``names`` breaks ties.
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, names: np.ndarray | None = None):
+    Terms that more than a share ``dense`` of the rows hold are kept as a matrix, whose products are taken for many queries at once;
+    the others as inverted lists in blocks with their maxima.  A block is read if the best of its rows so far, with these maxima, can
+    reach the k-th.  Sums in single precision choose rows with a margin, the chosen ones are summed again in double precision.
+    """
+
+    MARGIN = 1e-5
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, names: np.ndarray | None = None, dense: float = 1 / 16):
         self.names = np.arange(len(rows)) if names is None else names
-        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
+        self.n, self.blocks, self.terms = len(rows), -(-len(rows) // BLOCK), terms
         sizes = np.array([len(t) for t, _ in rows], dtype=np.int64)
-        term = np.concatenate([t for t, _ in rows] or [np.zeros(0, np.int64)])
+        term = np.concatenate([t for t, _ in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in rows] or [np.zeros(0)])
         row = np.repeat(np.arange(self.n), sizes)
+        common = np.flatnonzero(np.bincount(term, minlength=terms) > dense * self.n)
+        self.column = np.full(terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        often = self.column[term] >= 0 if len(term) else np.zeros(0, dtype=bool)
+        self.matrix = np.zeros((len(common), self.n))
+        self.matrix[self.column[term[often]], row[often]] = weight[often]
+        self.rough = self.matrix.astype(np.float32)
+        term, row, weight = term[~often], row[~often], weight[~often]
         order = np.lexsort((row, term))
-        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order].astype(np.float64)
+        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
         # a run is the part of a term's list that lies in one block
         key = term * max(1, self.blocks) + self.row // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -62,36 +79,71 @@ class BlockMaxIndex:
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.runs = np.searchsorted(term[first], np.arange(terms + 1))
 
-    def search(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+    def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each query's sums over the common terms, a row a query."""
+        q = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        for i, (t, w) in enumerate(queries):
+            c = self.column[t]
+            q[i, c[c >= 0]] = w[c >= 0]
+        return q @ self.rough
+
+    def search(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and cosines of the ``k`` nearest rows with a positive cosine, without row ``skip``; and the number of blocks read."""
+        rows, sims, _, read = self.nearest(query, k, skip, sums)
+        return rows, sims, read
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int, sums: np.ndarray | None, say: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """As ``search``, with the cosines' sums over again where each term's part is multiplied by ``say``."""
         terms, weights = query
+        if self.n == 0 or len(terms) == 0:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0
+        sims = (self.common_part([query])[0] if sums is None else sums).astype(np.float64)
         run, n = _ranges(self.runs[terms], self.runs[terms + 1])
-        if len(run) == 0:
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        w, block = np.repeat(weights, n), self.block[run]
-        bound = np.bincount(block, w * self.top[run], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        ahead = np.zeros(self.blocks, dtype=bool)
-        ahead[order[: 1 + 2 * k // BLOCK]] = True
-        sims = self._read(run, w, ahead[block])
+        asked, block = np.repeat(np.arange(len(terms)), n), self.block[run]
         if skip >= 0:
-            sims[skip] = 0
-        least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
-        rest = (bound > 0) & (bound >= least - 1e-9) & ~ahead
+            sims[skip] = -4.0
+        pad = np.full(self.blocks * BLOCK, -4.0)
+        pad[: self.n] = sims
+        rare = np.bincount(block, weights[asked] * self.top[run], self.blocks)
+        bound = pad.reshape(self.blocks, BLOCK).max(1) + rare
+        ahead = np.zeros(self.blocks, dtype=bool)
+        ahead[np.argsort(-bound, kind="stable")[: 1 + 2 * k // BLOCK]] = True
+        found = [self._read(run, asked, weights, ahead[block])]
+        sims += np.bincount(found[0][0], found[0][1], self.n)
+        least = np.partition(sims, -k)[-k] if self.n > k else -1.0
+        rest = (rare > 0) & (bound >= least - self.MARGIN) & ~ahead
         if rest.any():
-            sims += self._read(run, w, rest[block])
-            if skip >= 0:
-                sims[skip] = 0
-            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
-        sims = np.round(sims, 12)
-        rows = np.flatnonzero((sims > 0) & (sims >= round(least, 12)))
-        best = np.lexsort((self.names[rows], -sims[rows]))[:k]
-        return rows[best], sims[rows[best]], int(ahead.sum() + rest.sum())
-
-    def _read(self, run: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-        run, w = run[some], w[some]
+            found.append(self._read(run, asked, weights, rest[block]))
+            sims += np.bincount(found[1][0], found[1][1], self.n)
+            least = np.partition(sims, -k)[-k] if self.n > k else -1.0
+        rows = np.flatnonzero((sims > 0) & (sims >= least - self.MARGIN))
+        exact, told = self._sums(query, rows, found, say)
+        exact = np.round(exact, 12)
+        some = np.flatnonzero(exact > 0)
+        best = some[np.lexsort((self.names[rows[some]], -exact[some]))[:k]]
+        return rows[best], exact[best], told[best], int((ahead | rest).sum())
+
+    def _read(self, run: np.ndarray, asked: np.ndarray, weights: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, products and query's terms of the entries of some runs."""
+        run, asked = run[some], asked[some]
         at, n = _ranges(self.start[run], self.start[run + 1])
-        return np.bincount(self.row[at], np.repeat(w, n) * self.weight[at], self.n)
+        asked = np.repeat(asked, n)
+        return self.row[at], weights[asked] * self.weight[at], asked
+
+    def _sums(self, query: tuple[np.ndarray, np.ndarray], rows: np.ndarray, found: list, say: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' inner products in double precision, and those with each term's part times ``say``."""
+        terms, weights = query
+        c = self.column[terms]
+        w, part = weights[c >= 0], self.matrix[np.ix_(c[c >= 0], rows)]
+        exact, told = w @ part, (w * say[terms[c >= 0]]) @ part if say is not None else None
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        for row, product, asked in found:
+            own = np.flatnonzero(place[row] >= 0)
+            exact += np.bincount(place[row[own]], product[own], len(rows))
+            if say is not None:
+                told += np.bincount(place[row[own]], product[own] * say[terms[asked[own]]], len(rows))
+        return exact, exact if told is None else told
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,33 +184,32 @@ class Model:
         self.hold(rows, ids, labels)
 
     def hold(self, rows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray) -> None:
-        """The examples: their index, and their vectors one after another."""
+        """The examples and their index."""
         self.ids, self.labels = ids, labels
         self.index = BlockMaxIndex(rows, len(self.terms), ids)
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in rows] or [np.zeros(0)]).astype(np.int32)
-        self.part = np.concatenate([w for _, w in rows] or [np.zeros(0)])
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = [(self.terms[w], c) for w, c in terms_of(text).items() if w in self.terms]
-        t, c = np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.float64)
+        counts = terms_of(text)
+        t = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        c = np.fromiter(counts.values(), np.float64, len(counts))[t >= 0]
+        t = t[t >= 0]
         v = (1 + np.log(c)) * self.weight[t]
         return t, v / max(np.sqrt((v * v).sum()), 1e-300)
 
-    def vote(self, query: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float | None, np.ndarray]:
-        rows, sims, _ = self.index.search(query, self.k, skip)
+    def vote(self, query: tuple[np.ndarray, np.ndarray], skip: int = -1, sums: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
+        rows, sims, told, _ = self.index.nearest(query, self.k, skip, sums, self.say)
         if len(rows) == 0:
             return None, rows
-        asked = np.zeros(len(self.terms))
-        asked[query[0]] = query[1] * self.say[query[0]]
-        at, n = _ranges(self.at[rows], self.at[rows + 1])
-        said = np.bincount(np.repeat(np.arange(len(rows)), n), self.part[at] * asked[self.term[at]], len(rows)) / sims
-        w = said / (1 - np.minimum(sims, 1) + 0.01)
+        w = told / sims / (1 - np.minimum(sims, 1) + 0.01)
         return float((w * self.labels[rows]).sum() / w.sum()), rows
 
-    def score(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
-        raw, rows = self.vote(query)
-        return (self.none if raw is None else float(np.interp(raw, self.x, self.y))), self.ids[rows].tolist()
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
+        """Score and evidence of each text."""
+        for at in range(0, len(texts), 32):
+            queries = [self.vector(t) for t in texts[at : at + 32]]
+            for query, sums in zip(queries, self.index.common_part(queries), strict=True):
+                raw, rows = self.vote(query, sums=sums)
+                yield (self.none if raw is None else float(np.interp(raw, self.x, self.y))), self.ids[rows].tolist()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +242,23 @@ def _frequencies(terms: dict[str, int]):
     """Of each task's documents, how many hold each term; and, as the last term, how many documents there are."""
 
     def run(batches):
-        total = np.zeros(len(terms) + 1, dtype=np.int64)
+        total, seen = np.zeros(len(terms) + 1, dtype=np.int64), Counter()
+
+        def fold() -> None:
+            for w, n in seen.items():
+                if (i := terms.get(w)) is not None:
+                    total[i] += n
+            seen.clear()
+
         for batch in batches:
             total[-1] += batch.num_rows
             for part in slices(batch, "text"):
-                seen = [terms[w] for t in part.column(0).to_pylist() if t for w in terms.keys() & set(_TOKEN.findall(t.lower()))]
-                total[:-1] += np.bincount(seen, minlength=len(terms)) if seen else 0
+                for t in part.column(0).to_pylist():
+                    if t:
+                        seen.update(set(_TOKEN.findall(t.lower())))
+                if len(seen) > 200_000:
+                    fold()
+        fold()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
@@ -278,7 +340,7 @@ def score(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, threshol
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [model.score(model.vector(t)) for t in part.column(1).to_pylist()]
+                found = list(model.scores(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -78,13 +78,15 @@ def sparse_rows(n, terms, seed=5):
     return out
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("share", [1 / 16, 0.15, 1.0])
+def test_block_max_search_is_exact(share):
+    """Whether terms count as common or not."""
     rows = sparse_rows(500, 40)
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
     names = np.random.default_rng(2).permutation(500)
-    index = toxicity.BlockMaxIndex(rows, 40, names)
+    index = toxicity.BlockMaxIndex(rows, 40, names, share)
     for q in range(0, 500, 17):
         sims = np.round(dense @ dense[q], 12)
         sims[q] = -1
