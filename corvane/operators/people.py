@@ -102,26 +102,11 @@ def commonest_spelling(df: DataFrame, keys: Sequence[str], item: str) -> DataFra
     return n.groupBy(*keys, "_k").agg(F.min(F.struct((-F.col("_n")).alias("n"), item)).alias("_m")).select(*keys, F.col(f"_m.{item}").alias(item))
 
 
-_DEGREE = r"(?i)\b(ph\.?d|doctorate|master(?:'?s)?|m\.?tech|m\.?sc|mba|bachelor(?:'?s)?|b\.?tech|b\.?sc|b\.?e|associate|diploma|high school)\b"
-
-
-def education_records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, place, degree, field, institution, start_year, end_year, gpa``: a record for each line that names a degree, such as
-    'Bachelor of Science in Physics, Some University, 2014 - 2018, GPA 3.6'."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line")).filter(F.col("line").rlike(_DEGREE))
-    bits = F.transform(F.split("line", r" *[,|] *"), lambda x: F.trim(x))
-    school = F.get(F.filter(bits, lambda x: x.rlike(r"(?i)universit|college|institut|school of|academy")), F.lit(0))
-    years = F.transform(F.regexp_extract_all("line", F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
-    gpa = F.regexp_extract("line", r"(?i)gpa:? *([0-9](?:\.[0-9]+)?)", 1).try_cast("double")
-    first = F.get(bits, F.lit(0))
-    area = F.nullif(F.trim(F.regexp_extract(first, r"(?i)\bin ([^,|(]+)", 1)), F.lit(""))
-    low = F.when(F.size(years) > 1, F.array_min(years))
-    return lines.select(key, "place", F.regexp_replace(first, r"(?i) in .*$", "").alias("degree"), area.alias("field"), school.alias("institution"), low.alias("start_year"), F.array_max(years).alias("end_year"), gpa.alias("gpa"))
-
-
 def degree_rank(c: Column) -> Column:
-    """Level of the first keyword of the list that the degree holds; 0 without one."""
-    return F.coalesce(*[F.when(F.lower(c).contains(k), v) for k, v in DEGREES], F.lit(0))
+    """Level of the first keyword of the list that the degree holds, or that it abbreviates ('B.Tech', 'MSc'); 0 without one."""
+    level = dict(DEGREES)
+    short = [F.when(c.rlike(rf"^{letter}\.?\s?(?:Tech|Sc|Eng|Com|Phil|Ed|Arch|Des|CA|BA|S|A|E)\b"), level[name]) for letter, name in (("M", "master"), ("B", "bachelor"))]
+    return F.coalesce(*[F.when(F.lower(c).contains(k), v) for k, v in DEGREES], *short, F.lit(0))
 
 
 def highest_degree(df: DataFrame, key: str, place: str, degree: str) -> DataFrame:

@@ -16,6 +16,7 @@ from corvane.operators import histories as H
 from corvane.operators import people as P
 from corvane.operators import records as R
 from corvane.operators import resumes as T
+from corvane.operators import schooling as E
 from corvane.operators import tagging as G
 from corvane.operators.rows import spread
 from corvane.queries.registry import query
@@ -134,33 +135,52 @@ def experience_records(orders: DataFrame) -> DataFrame:
 
 
 def _schooling(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    lines = text("Bachelor of Science in ", F.col("c_mktsegment"), ", University of Nation ", F.col("c_nationkey"), ", 2010 - 2014, GPA 3.", k % 10, "\nnothing here\n")
-    more = F.when(k % 3 == 0, text("Master of Arts in History | Some College | 2016 | gpa: 3.5")).when(k % 3 == 1, F.lit("Diploma, Evening School of Trade")).otherwise(F.lit("read books"))
-    return customer.select("c_custkey", F.concat(lines, more).alias("text"))
+    """Two degrees in several layouts beside prose, other sections and dates that belong to none; some texts without, some null."""
+    k, field = F.col("c_custkey"), F.initcap(F.col("c_mktsegment"))
+    year = 1990 + F.col("c_nationkey")
+    grade = F.round(F.pmod(F.floor(F.abs("c_acctbal")), F.lit(40)) / 10.0, 1)
+    first = (
+        F.when(k % 4 == 0, text("Bachelor of Science in ", field, ", University of Nation ", F.col("c_nationkey"), ", ", year, " - ", year + 4, ", GPA 3.", k % 10, "\n"))
+        .when(k % 4 == 1, text("B.Tech (", field, ")\nIIT Nation ", F.col("c_nationkey"), "\n", year, "-", year + 4, "\nCGPA: ", grade + 5, "/10\n"))
+        .when(k % 4 == 2, text("Nation ", F.col("c_nationkey"), " College\nB.Sc in ", field, " | ", year + 3, "\nPercentage: 6", k % 10, ".5%\n"))
+        .otherwise(text("• Bachelor of Arts - ", "Academy of Nation ", F.col("c_nationkey"), " (", year, " - ", year + 3, ")\n"))
+    )
+    second = F.when(k % 3 == 0, F.lit("Master of Arts in History | Some College | 2016 | gpa: 3.5")).when(k % 3 == 1, F.lit("Diploma\nEvening School of Trade")).otherwise(F.lit("read books in 2001"))
+    full = text("Education\nWorked as a master of ceremonies at a hotel in 1987.\n", first, "nothing here\n", second, "\n\n\nmember since 2011")
+    return customer.select("c_custkey", F.when(k % 13 == 0, F.lit(None)).when(k % 13 == 1, F.lit("An associate of mine will be at the college in 1999.")).otherwise(full).alias("text"))
 
 
 _DEGREES = """
-SELECT c_custkey, 0 AS place, 'Bachelor of Science' AS degree, c_mktsegment AS field, 'University of Nation ' || c_nationkey AS institution, 2010 AS start_year, 2014 AS end_year, 3 + (c_custkey % 10) / 10.0::double AS gpa FROM customer
-UNION ALL SELECT c_custkey, 2, 'Master of Arts', 'History', 'Some College', NULL, 2016, 3.5 FROM customer WHERE c_custkey % 3 = 0
-UNION ALL SELECT c_custkey, 2, 'Diploma', NULL, 'Evening School of Trade', NULL, NULL, NULL FROM customer WHERE c_custkey % 3 = 1"""
+SELECT c_custkey, (CASE k % 4 WHEN 0 THEN 'Bachelor of Science' WHEN 1 THEN 'B.Tech' WHEN 2 THEN 'B.Sc' ELSE 'Bachelor of Arts' END) AS degree, CASE WHEN k % 4 < 3 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) END AS field,
+  CASE k % 4 WHEN 0 THEN 'University of Nation ' || n WHEN 1 THEN 'IIT Nation ' || n WHEN 2 THEN 'Nation ' || n || ' College' ELSE 'Academy of Nation ' || n END AS institution,
+  CASE WHEN k % 4 <> 2 THEN 1990 + n END AS start_year, 1990 + n + CASE k % 4 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 4 END AS end_year,
+  CASE k % 4 WHEN 0 THEN 3 + (k % 10) / 10.0::double WHEN 1 THEN round((floor(abs(c_acctbal))::bigint % 40) / 10.0::double, 1) + 5 WHEN 2 THEN 60 + k % 10 + 0.5::double END AS gpa,
+  CASE k % 4 WHEN 0 THEN 4 WHEN 1 THEN 10 WHEN 2 THEN 100 END::double AS scale, 1 AS nth
+FROM (SELECT *, c_custkey AS k, c_nationkey AS n FROM customer) WHERE k % 13 > 1
+UNION ALL SELECT c_custkey, 'Master of Arts', 'History', 'Some College', NULL, 2016, 3.5, 4, 2 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 13 > 1
+UNION ALL SELECT c_custkey, 'Diploma', NULL, 'Evening School of Trade', NULL, NULL, NULL, NULL, 2 FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 13 > 1"""
+
+
+def _degrees(customer: DataFrame) -> DataFrame:
+    return E.education_records(_schooling(spread(customer)), "c_custkey", "text")
 
 
-@query("customer", sql=_DEGREES)
+@query("customer", sql=f"SELECT * FROM ({_DEGREES})")
 def education_records(customer: DataFrame) -> DataFrame:
-    return P.education_records(_schooling(customer), "c_custkey", "text")
+    nth = F.row_number().over(Window.partitionBy("c_custkey").orderBy("place"))
+    return _degrees(customer).withColumn("nth", nth).withColumn("gpa", F.round("gpa", 2)).drop("place")
 
 
-@query("customer", sql=f"SELECT c_custkey, degree, place FROM ({_DEGREES}) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY CASE left(degree, 1) WHEN 'M' THEN 4 WHEN 'B' THEN 3 ELSE 2 END DESC, place) = 1")
+@query("customer", sql=f"SELECT c_custkey, degree FROM ({_DEGREES}) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY CASE left(degree, 1) WHEN 'M' THEN 4 WHEN 'B' THEN 3 ELSE 2 END DESC, nth) = 1")
 def highest_degree(customer: DataFrame) -> DataFrame:
-    return P.highest_degree(P.education_records(_schooling(customer), "c_custkey", "text"), "c_custkey", "place", "degree").select("c_custkey", "degree", "place")
+    return P.highest_degree(_degrees(customer), "c_custkey", "place", "degree").select("c_custkey", "degree")
 
 
 @query("customer", sql=f"""
-SELECT c_custkey, count(*) AS total_degrees, CASE WHEN c_custkey % 3 = 0 THEN 'Master of Arts' ELSE 'Bachelor of Science' END AS highest_degree, string_agg(DISTINCT institution, ',' ORDER BY institution) AS institutions,
-  string_agg(DISTINCT field, ',' ORDER BY field) AS fields, round(avg(gpa), 2) AS average_gpa, CASE WHEN c_custkey % 3 = 0 THEN 6 ELSE 4 END AS span_years FROM ({_DEGREES}) GROUP BY c_custkey""")
+SELECT c_custkey, count(*) AS total_degrees, arg_min(degree, (CASE left(degree, 1) WHEN 'M' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, nth)) AS highest_degree, string_agg(DISTINCT institution, ',' ORDER BY institution) AS institutions,
+  coalesce(string_agg(DISTINCT field, ',' ORDER BY field), '') AS fields, round(avg(gpa), 2) AS average_gpa, coalesce(greatest(max(end_year), max(start_year)) - least(min(start_year), min(end_year)), 0) AS span_years FROM ({_DEGREES}) GROUP BY c_custkey""")
 def education_summary(customer: DataFrame) -> DataFrame:
-    out = P.education_summary(P.education_records(_schooling(customer), "c_custkey", "text"), "c_custkey")
+    out = P.education_summary(_degrees(customer), "c_custkey")
     return out.withColumn("institutions", joined("institutions")).withColumn("fields", joined("fields"))
 
 
