@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{place.rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: The part of the shared folder that ``cut`` writes to just now; see ``scratch``.
+_part = ContextVar("part", default="")
+
+
+def cut(df: DataFrame, part: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither repeat its work nor depend on executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{_part.get() if part is None else part}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` writes within is deleted at the end; results that are still needed must be written elsewhere by then."""
+    held = _part.set(f"scratch-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        folder = f"{shared_dir(spark)}/{_part.get()}"
+        _part.reset(held)
+        _delete(spark, folder)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete all that ``cut`` wrote for this application. Call it once results are stored: results still to be read need the files."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -89,7 +89,7 @@ def _fold(items: Column) -> Column:
 
 
 def _uniform(seed: int, level: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("id"), F.col("nth")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("id"), F.col("nth"), F.col("rank"), F.col("size")), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def mix(
@@ -115,7 +115,8 @@ def mix(
     fixed = (F.col("size") == 0) | (F.col("part") == 0)
     names = ["doc_id", "source", "size", "nth", "source_size", "target"]
     done = keyed.filter(fixed).select(*names, (F.col("whole") * F.col("size")).cast("long").alias("taken"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "nth"), F.ceil(F.col("docs") / F.lit(fan)))
+    # source and size too: rows without an id may all be the first of their size
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "nth", "source", "size"), F.ceil(F.col("docs") / F.lit(fan)))
     live = keyed.filter(~fixed).select("rank", bucket.alias("bucket"), F.col("doc_id").alias("id"), "nth", "size", F.col("part").alias("p"))
     depth, top = 0, (aims.agg(F.max("docs")).first()[0] or 1)
     decided = None
@@ -139,11 +140,15 @@ def mix(
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken, a last copy cut to its fraction's words."""
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, a last copy cut to its fraction's words.
+
+    Rows without an id go by a hash of all their columns, so that they are not numbered together.
+    """
     size, id_, source = (c for c in ("_mix_size", "_mix_id", "_mix_source"))
-    got = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    row = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(*docs.columns))
+    rows = docs.select(*[F.col(c) for c in docs.columns], row.alias(id_), F.col(source_col).cast("string").alias(source), word_count(F.col(text_col)).alias(size))
+    got = mix(rows, id_, text_col, source_col, **options).filter("taken > 0")
     got = got.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("nth").alias("_mix_nth"), F.col("taken").alias("_mix_taken"))
-    rows = docs.select(*[F.col(c) for c in docs.columns], F.col(id_col).cast("long").alias(id_), F.col(source_col).cast("string").alias(source), word_count(F.col(text_col)).alias(size))
     rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(id_, source, size).orderBy(F.xxhash64(text_col))).cast("long"))
     keys = F.lit(True)
     for c in (id_, source, size, "_mix_nth"):

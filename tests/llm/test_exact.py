@@ -427,3 +427,33 @@ def test_word_hashes():
     assert n.tolist() == [3, 0, 0, 0, 3] and h[0] == h[2] == h[3] and h[4] != h[5] and len(set(h.tolist())) == 4
     v, s = wordhash.shingles(["a b c a b c a", "a b", ""], 3)
     assert s.tolist() == [3, 1, 0] and len(v) == 4
+
+
+def test_resample_of_rows_without_ids(spark):
+    """Rows without an id are rows of their own, equal rows one with its takes added up; words come near the targets."""
+    rows = [(None, f"word {i} and some more", "en", "a", i) for i in range(400)] + [(None, "same words here", "en", "b", 0)] * 300 + [(None, None, "en", "b", 0), (7, "x y", "en", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_s", F.lit(1))
+    a, b = (sorted(map(str, mixing.resample(d).collect())) for d in (df, df.repartition(9)))
+    assert a == b
+    got = mixing.resample(df).select("source", mixing.word_count(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
+    words_of = {r["source"]: r["n"] for r in got.collect()}
+    aims = {r["source"]: r["target"] for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    assert all(abs(words_of.get(s, 0) - t) <= 1 for s, t in aims.items() if t)
+
+
+def test_many_rows_without_an_id_share_no_group(spark):
+    """40,000 rows without an id, of different sizes, are dealt over groups."""
+    df = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 4000 + 1).cast("int")), " ").alias("text"), F.lit("s").alias("source"))
+    out = mixing.mix(df).agg(F.sum("taken").alias("t"), F.max(F.col("taken") / F.col("size")).alias("m"), F.first("target").alias("target")).first()
+    assert abs(out["t"] - out["target"]) <= 1 and out["m"] <= 2
+
+
+def test_scratch_is_deleted(spark, tmp_path, monkeypatch):
+    from corvane.llm import _common
+
+    monkeypatch.setattr(_common, "shared_dir", lambda _: str(tmp_path))
+    with _common.scratch(spark):
+        _common.cut(spark.range(5).toDF("a"))
+        kept = _common.cut(spark.range(7).toDF("a"), part="")
+        assert len(list(tmp_path.rglob("_SUCCESS"))) == 2
+    assert kept.count() == 7 and len(list(tmp_path.rglob("_SUCCESS"))) == 1
