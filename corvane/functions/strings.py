@@ -76,6 +76,18 @@ def real_emails(html: Column, fakes: Sequence[str] = ("example.", "sentry", "wix
     return F.array_distinct(F.filter(low, lambda x: ~bad(x)))
 
 
+#: Shapes of telephone numbers: national with ten digits, and international with up to fifteen.
+PHONES = (r"\+?1?[-. ]?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}", r"\+?[0-9]{1,3}[-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}")
+
+
+def real_phones(html: Column) -> Column:
+    """Telephone numbers of a page as written, each once: of 10 to 15 digits, not of one digit alone, nor part of a longer number."""
+    shape = rf"(?<![0-9.+-])(?:{PHONES[1]}|{PHONES[0]})(?![0-9]|[.-][0-9])"  # the longer shape first
+    found = F.transform(F.regexp_extract_all(html, F.lit(shape), F.lit(0)), lambda x: F.trim(x))
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    return F.array_distinct(F.filter(found, lambda x: F.length(digits(x)).between(10, 15) & ~digits(x).rlike(r"^([0-9])\1+$")))
+
+
 def density(c: Column, pattern: str) -> Column:
     """Matches per 1000 characters, 4 digits; 0 for empty text."""
     n = F.size(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0)))

@@ -84,3 +84,18 @@ def role_score(title: Column, wanted: str) -> Column:
     words = F.split(role_key(F.lit(wanted)), " ")
     share = F.size(F.array_intersect(F.split(role_key(title), " "), words)) / F.size(words)
     return F.when(role_match(title, F.lit(wanted)), 100.0).otherwise(F.round(share * 60, 1))
+
+
+def certification_score(text: Column, certificates: Column, wanted: Column) -> Column:
+    """100 where none is wanted; else a point for each wanted one that the text holds and one for each that a certificate holds, as
+    a share of those wanted, 100 at most."""
+    held = lambda w: F.exists(F.coalesce(certificates, F.array().cast("array<string>")), lambda c: F.contains(F.lower(c), F.lower(w)))
+    points = F.aggregate(wanted, F.lit(0), lambda n, w: n + F.coalesce(F.contains(F.lower(text), F.lower(w)), F.lit(False)).cast("int") + held(w).cast("int"))
+    return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, 100.0).otherwise(F.least(F.lit(100.0), F.round(points * 100.0 / F.size(wanted))))
+
+
+def location_score(location: Column, wanted: Column) -> Column:
+    """100 where no place is wanted, or the place holds a wanted one or is held by it; 0 else, and without a place."""
+    place = F.lower(location)
+    near = F.exists(wanted, lambda w: F.contains(place, F.lower(w)) | F.contains(F.lower(w), place))
+    return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, 100.0).when(F.coalesce(place, F.lit("")) == "", 0.0).otherwise(F.when(near, 100.0).otherwise(0.0))
