@@ -434,6 +434,33 @@ def test_nearest_retrieves_all_in_radius():
             assert set(np.flatnonzero(apart.sum(1) <= 8 * (s + 1) - 1)) <= set(got)
 
 
+def test_nearest_by_either_plan(spark):
+    """Postings and shards find the same rows, also among rows that repeat ids and vectors."""
+    x, label = cloud(500, 24)
+    x[40:60] = x[40]
+    df = vector_frame(spark, x, label).withColumn("vec_id", F.when(F.col("vec_id") == 77, 78).otherwise(F.col("vec_id")))
+    ask = F.col("vec_id") % 4 == 0
+    a, b = (sorted(tuple(r) for r in nearest.search(df, ask, shard_rows=100, block_rows=32, asked=40, plan=p).collect()) for p in ("shards", "postings"))
+    assert a == b and len(a) > 1000
+
+
+@pytest.mark.parametrize("bits", [16, 19, 28])
+def test_wider_substrings(bits):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 32))
+    x[150:] = x[:150] + rng.normal(size=(150, 32)) * 0.1
+    rotation = nearest.learn(x, 6, 1)
+    codes = nearest.encode(x, np.zeros(32), rotation, bits)
+    assert codes.shape == (300, 192 // bits) and codes.max() < 1 << bits
+    index = nearest.MultiIndex(codes)
+    for s in (0, 1):
+        for q in range(0, 300, 29):
+            apart = nearest._apart(codes, codes[q])
+            got = index.probe(codes[q], nearest.ball(s, bits))
+            assert got.tolist() == np.flatnonzero(apart.min(1) <= s).tolist()
+    assert [nearest.substring_bits(n) for n in (1, 65_536, 65_537, 1 << 20, 1 << 40)] == [16, 16, 17, 20, 28]
+
+
 def test_nearest_probes_few_rows_of_clusters():
     """On clustered vectors the fitted index reads under a tenth of all rows and finds nine neighbours in ten."""
     rng = np.random.default_rng(7)
