@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +52,70 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
 
 
+#: Parts of zipped documents that hold text, and the tags (without namespace) that end a line in them, hold a tab, or hold text.
+_PARTS = {"word/document.xml": ("p", "tab", "t"), "content.xml": ("p", "tab", None)}
+_PLAIN = ("txt", "md", "csv", "log")
+
+
+def _zipped_text(content: bytes, longest: int) -> str:
+    """Text of a zipped XML document, read as a stream of tags: the tree is dropped as it goes, and no more than ``longest`` bytes of it are unpacked."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        name = next((n for n in _PARTS if n in z.namelist()), None)
+        if name is None or z.getinfo(name).file_size > longest:
+            raise ValueError("no text part" if name is None else "too long")
+        line, tab, run = _PARTS[name]
+        out: list[str] = []
+        with z.open(name) as f:
+            for _, node in ElementTree.iterparse(f):
+                tag = node.tag.rpartition("}")[2]
+                if tag == tab:
+                    out.append("\t")
+                elif run and tag == run:
+                    out.append(node.text or "")
+                elif tag == line or (not run and tag == "h"):
+                    out.append("".join(node.itertext()) + "\n" if not run else "\n")
+                if tag == line or tag == "h":
+                    node.clear()
+        return "".join(out).strip("\n")
+
+
+def _texts(longest: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                kind, text, error = path.rpartition(".")[2].lower(), None, None
+                try:
+                    text = content.decode("utf-8-sig", "replace") if kind in _PLAIN else _zipped_text(content, longest)
+                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, RuntimeError, NotImplementedError) as e:
+                    error = f"{type(e).__name__}: {e}"[:200]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, kind, text, error)], ["path", "kind", "text", "error"])
+
+    return run
+
+
+def read_office(spark: SparkSession, path: str, newer_than: str | None = None, longest: int = 64 << 20) -> DataFrame:
+    """``path, kind, text, error`` of plain and zipped XML documents (txt, md, csv, log, docx, odt), one row a file.
+
+    Files are split over tasks by Spark, and those that are not newer or are over ``longest`` bytes are left out before they are opened, as the
+    filters reach the listing.  A file that cannot be read has its reason instead of a text.  In a text of an odt file tables' cells are lines.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,csv,log,docx,odt}").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= longest)
+    if newer_than:
+        files = files.filter(F.col("modificationTime") > F.lit(newer_than).cast("timestamp"))
+    return files.select("path", "content").mapInArrow(_texts(longest), "path string, kind string, text string, error string")
+
+
 def read_feedback(spark: SparkSession, path: str, limit: int, kind: str | None = None) -> DataFrame:
-    """The newest ``limit`` records by file name, then those of one ``kind``: the limit comes first."""
-    df = spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    """The newest ``limit`` records by file name, then those of one ``kind``: the limit comes first.
+
+    Names are listed without opening the files; only the newest, at most ``limit``, are parsed.
+    """
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path")
+    newest = [r["path"] for r in names.orderBy(F.col("path").desc()).limit(limit).collect()]  # at most ``limit`` names
+    if not newest:
+        return spark.createDataFrame([], "type string, file string")
+    df = spark.read.option("multiLine", True).json(newest).withColumn("file", F.input_file_name())
     df = df.orderBy(F.col("file").desc()).limit(limit)
     return df.filter(F.col("type") == kind) if kind else df
 

@@ -104,3 +104,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.daily_counts(batch).collect()))
     got = S.run_available(S.distinct_events(stream), "once", str(tmp_path / "d"))
     assert got.count() == batch.select("event_id").distinct().count()
+
+
+def zipped(path, part, body):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("mimetype", "x")
+        z.writestr(part, body)
+
+
+def test_office_documents(spark, tmp_path):
+    w = 'xmlns:w="http://x/w"'
+    zipped(tmp_path / "a.docx", "word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Ünï one</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>three</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
+    zipped(tmp_path / "b.odt", "content.xml", '<o:doc xmlns:o="u:o" xmlns:t="u:t"><o:body><t:h>Head</t:h><t:p>one <t:span>bold</t:span> end</t:p><t:p/></o:body></o:doc>')
+    zipped(tmp_path / "c.docx", "other.xml", "<a/>")
+    zipped(tmp_path / "d.docx", "word/document.xml", "<w:p>")
+    (tmp_path / "e.docx").write_bytes(b"not a zip")
+    (tmp_path / "f.txt").write_bytes("\ufeffplain\nlines".encode())
+    (tmp_path / "g.bin").write_bytes(b"left alone")
+    zipped(tmp_path / "h.docx", "word/document.xml", f"<w:d {w}>" + "".join(f"<w:p><w:t>line {i}</w:t></w:p>" for i in range(20000)) + "</w:d>")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in readers.read_office(spark, str(tmp_path)).collect()}
+    assert {k: r["text"] for k, r in got.items() if k < "g"} == {"a.docx": "Ünï one\ttwo\nthree\ncell", "b.odt": "Head\none bold end", "c.docx": None, "d.docx": None, "e.docx": None, "f.txt": "plain\nlines"}
+    assert "BadZipFile" in got["e.docx"]["error"] and "no text part" in got["c.docx"]["error"] and got["h.docx"]["text"].count("\n") == 19999 and "g.bin" not in got
+    short = {r["path"].rsplit("/", 1)[1]: r["error"] for r in readers.read_office(spark, str(tmp_path), longest=5000).collect()}
+    assert "h.docx" not in short or "too long" in short["h.docx"]
+    assert readers.read_office(spark, str(tmp_path), newer_than="2999-01-01").count() == 0
+
+
+def test_feedback_opens_the_newest_only(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.json").write_text("{broken" if i < 3 else json.dumps({"id": i, "type": "x"}))
+    df = readers.read_feedback(spark, str(tmp_path), 2)
+    assert sorted(r["id"] for r in df.collect()) == [3, 4] and all("broken" not in str(f) for f in df.inputFiles()) and len(df.inputFiles()) == 2
+    assert readers.read_feedback(spark, str(tmp_path), 0).count() == 0
