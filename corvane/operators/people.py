@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.lists import bound
 from corvane.functions.scoring import DEGREES
 from corvane.functions.strings import similarity, squeeze
 from corvane.operators.rows import keep_first, merge_intervals
@@ -75,22 +76,28 @@ def check_entities(rows: DataFrame, name: str, known: DataFrame, known_name: str
     return out.withColumn("corrected", kept).select(*rows.columns, "valid", "corrected", "confidence", "reason")
 
 
+def _word_runs(name: Column) -> Column:
+    """Every run of whole words of a name, each once."""
+    return bound(F.split(name, " "), lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))))
+
+
 def role_skills(roles: DataFrame, role: str, table: DataFrame) -> DataFrame:
     """``role, skills``: those of the entry of that name, else of the first entry with it among its synonyms, else of the first whose
-    name holds it or is held by it; none without an entry.
+    name holds it or is held by it in whole words; none without an entry.
 
-    ``table(place, role, synonyms, required, preferred)`` is a fixed table in order of ``place``, of at most 10,000 rows.
+    ``table(place, role, synonyms, required, preferred)`` is in order of ``place``.  Names meet by equality of their runs of words, so a
+    table of any size is joined by its keys.
     """
-    if table.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 roles")
     asked = roles.select(F.col(role).alias("_asked"), squeeze(F.col(role)).alias("_r")).filter("_r <> ''").distinct()
-    t = table.select("place", F.lower(F.trim("role")).alias("_name"), F.transform("synonyms", F.lower).alias("_syn"), F.concat("required", "preferred").alias("skills"))
-    named = asked.join(t.select(F.col("_name").alias("_r"), "place", "skills"), "_r").withColumn("_step", F.lit(1))
-    syn = asked.join(t.select(F.explode("_syn").alias("_r"), "place", "skills"), "_r").withColumn("_step", F.lit(2))
-    found = named.unionByName(syn)
-    rest = asked.join(found.select("_asked"), "_asked", "left_anti")
-    partly = rest.join(F.broadcast(t.drop("_syn")), F.col("_r").contains(F.col("_name")) | F.col("_name").contains(F.col("_r"))).drop("_name").withColumn("_step", F.lit(3))
-    best = found.unionByName(partly).groupBy("_asked").agg(F.min_by("skills", F.struct("_step", "place")).alias("skills"))
+    t = table.select("place", squeeze(F.col("role")).alias("_name"), F.transform("synonyms", lambda x: squeeze(x)).alias("_syn"), F.concat("required", "preferred").alias("skills"))
+    keys = t.select("place", "skills", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("_step"), F.col("_name").alias("_r"))), F.transform("_syn", lambda x: F.struct(F.lit(2).alias("_step"), x.alias("_r"))))).alias("k"))
+    whole = keys.select("place", "skills", "k.*").join(asked, "_r")
+    held = asked.select("_asked", F.explode(_word_runs(F.col("_r"))).alias("_name")).join(t, "_name")
+    holds = t.filter("_name <> ''").select("place", "skills", F.explode(_word_runs(F.col("_name"))).alias("_r")).join(asked, "_r")
+    found = whole.select("_asked", "_step", "place", "skills")
+    for partly in (held, holds):
+        found = found.unionByName(partly.select("_asked", F.lit(3).alias("_step"), "place", "skills"))
+    best = found.groupBy("_asked").agg(F.min_by("skills", F.struct("_step", "place")).alias("skills"))
     out = roles.select(role).distinct().join(best, F.col(role) == F.col("_asked"), "left")
     return out.select(role, F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.lists import bound
+
 #: Words that head a section.
 HEADINGS = [
     ("summary", "summary|profile|objective|about"), ("experience", "experience|employment|work history"), ("education", "education|academic|qualifications"),
@@ -16,11 +18,14 @@ HEADINGS = [
 
 def heading(line: Column) -> Column:
     """The section that a short line of few words names, long names also with an edit in six letters; null for other lines."""
-    t = F.lower(F.trim(F.regexp_replace(line, "[:\\-_*#]+", " ")))
-    short = (F.length(t) > 0) & (F.length(t) <= 40) & (F.size(F.split(t, " +")) <= 4)
-    plain = [F.when(t.rlike(f"^(professional |work |technical |key |personal )?({p})\\b"), n) for n, p in HEADINGS]
-    near = [F.when(F.levenshtein(t, F.lit(w)) * 6 <= F.greatest(F.length(t), F.lit(len(w))), n) for n, p in HEADINGS for w in p.split("|") if len(w) > 6]
-    return F.when(short, F.coalesce(*plain, *near))
+
+    def read(t: Column) -> Column:
+        short = (F.length(t) > 0) & (F.length(t) <= 40) & (F.size(F.split(t, " +")) <= 4)
+        plain = [F.when(t.rlike(f"^(professional |work |technical |key |personal )?({p})\\b"), n) for n, p in HEADINGS]
+        near = [F.when(F.levenshtein(t, F.lit(w)) * 6 <= F.greatest(F.length(t), F.lit(len(w))), n) for n, p in HEADINGS for w in p.split("|") if len(w) > 6]
+        return F.when(short, F.coalesce(*plain, *near))
+
+    return bound(F.lower(F.trim(F.regexp_replace(line, "[:\\-_*#]+", " "))), read)
 
 
 def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,11 +73,14 @@ def extract_job(df: DataFrame, key: str, text: str, skills: Sequence[str]) -> Da
 
 def header_score(line: Column) -> Column:
     """How much a line looks like a heading, 0 to 1."""
-    t = F.trim(line)
-    words = F.size(F.split(t, " +"))
-    s = F.when(words <= 3, 0.3).when(words <= 6, 0.15).otherwise(0.0) + F.when((t == F.upper(t)) & t.rlike("[A-Z]"), 0.3).when(t == F.initcap(t), 0.15).otherwise(0.0)
-    s = s + F.when(t.endswith(":"), 0.2).otherwise(0.0) + F.when(heading(line).isNotNull(), 0.2).otherwise(0.0) - F.when(t.rlike("[.,;]$"), 0.3).otherwise(0.0)
-    return F.round(F.when(F.length(t) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))), 2)
+
+    def read(t: Column) -> Column:
+        words = F.size(F.split(t, " +"))
+        s = F.when(words <= 3, 0.3).when(words <= 6, 0.15).otherwise(0.0) + F.when((t == F.upper(t)) & t.rlike("[A-Z]"), 0.3).when(t == F.initcap(t), 0.15).otherwise(0.0)
+        s = s + F.when(t.endswith(":"), 0.2).otherwise(0.0) + F.when(heading(t).isNotNull(), 0.2).otherwise(0.0) - F.when(t.rlike("[.,;]$"), 0.3).otherwise(0.0)
+        return F.round(F.when(F.length(t) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))), 2)
+
+    return bound(F.trim(line), read)
 
 
 def tokens_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,16 +128,15 @@ def categories(df: DataFrame, name: str, keywords: DataFrame, default: str = "ot
 def section_fit(counts: DataFrame, key: str, prints: DataFrame) -> DataFrame:
     """``key, section, violations`` of the section whose ranges of entity counts are broken least (by name in a tie).
 
-    ``counts(key, type, n)``; ``prints(section, type, low, high)`` is a small fixed table, of at most 1,000 rows.
+    ``counts(key, type, n)``; ``prints(section, type, low, high)`` is a fixed table with a row for each section and type.  A key that
+    lacks a type breaks the ranges that do not begin at 0; these are counted once a section, so a key meets its own types' rows only.
     """
-    keys = counts.select(key).distinct()
-    fixed = prints.limit(1001).collect()
-    if len(fixed) > 1000:
-        raise ValueError("more than 1,000 section prints")
-    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("section", "type", "low", "high")]) for r in fixed])
-    all_ = keys.select(key, F.inline(every)).join(counts, [key, "type"], "left")
-    n = F.coalesce("n", F.lit(0))
-    bad = all_.groupBy(key, "section").agg(F.sum(((n < F.col("low")) | (n > F.col("high"))).cast("int")).alias("v"))
+    broken = lambda n: ((n < F.col("low")) | (n > F.col("high"))).cast("int")
+    empty = prints.groupBy("section").agg(F.sum(broken(F.lit(0))).alias("none"))
+    own = counts.join(prints, "type").groupBy(key, "section").agg(F.sum(broken(F.col("n")) - broken(F.lit(0))).alias("more"))
+    every = counts.select(key).distinct().join(empty.groupBy().agg(F.collect_list(F.struct("section", "none")).alias("s")))  # one row of all sections
+    every = every.select(key, F.inline("s"))
+    bad = every.join(own, [key, "section"], "left").withColumn("v", F.col("none") + F.coalesce("more", F.lit(0)))
     return bad.groupBy(key).agg(F.min(F.struct("v", "section")).alias("m")).select(key, F.col("m.section").alias("section"), F.col("m.v").alias("violations"))
 
 

@@ -59,21 +59,26 @@ def company_check(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return out.select("c_custkey", "valid", "corrected", F.round("confidence", 6).alias("confidence"), "reason")
 
 
-ROLES = [
-    (1, "Data Engineer", ["etl developer", "pipeline engineer"], ["sql", "spark"], ["airflow"]),
-    (2, "Tester", ["qa", "test engineer"], ["selenium"], ["python"]),
-    (3, "Engineer", ["builder"], ["cad"], []),
-]
+_ROLES = """
+t AS (SELECT n, row_number() OVER (ORDER BY n) AS place, n || ' maker' AS syn, 's_' || replace(n, ' ', '_') AS skill FROM (SELECT DISTINCT p_name AS n FROM part WHERE p_size < 40)),
+a AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'Senior  ' || p_name WHEN 2 THEN p_name || ' Maker' WHEN 3 THEN string_split(p_name, ' ')[-1] ELSE 'x' || p_name END AS role FROM part),
+k AS (SELECT role, trim(regexp_replace(lower(role), '\\s+', ' ', 'g')) AS r FROM a)"""
 
 
-@query("part", sql="""
-SELECT role, CASE role WHEN 'Data Engineer' THEN 'sql,spark,airflow' WHEN 'ETL Developer' THEN 'sql,spark,airflow' WHEN 'Senior Data Engineer' THEN 'sql,spark,airflow' WHEN 'QA' THEN 'selenium,python' WHEN 'engineer' THEN 'cad' WHEN 'Bridge engineer' THEN 'cad' ELSE '' END AS skills
-FROM (SELECT DISTINCT ['Data Engineer', 'ETL Developer', 'Senior Data Engineer', 'QA', 'Gardener', 'engineer', 'Bridge engineer'][p_partkey % 7 + 1] AS role FROM part)""")
+@query("part", sql=f"""
+WITH {_ROLES},
+m AS (SELECT role, skill, CASE WHEN r = n THEN 1 WHEN r = syn THEN 2 ELSE 3 END AS step, place FROM k JOIN t ON r = n OR r = syn OR contains(' ' || r || ' ', ' ' || n || ' ') OR contains(' ' || n || ' ', ' ' || r || ' '))
+SELECT k.role, coalesce(arg_min(skill, (step, place)) || ',all', '') AS skills FROM k LEFT JOIN m USING (role) GROUP BY k.role""")
 def role_lookup(part: DataFrame) -> DataFrame:
-    names = ["Data Engineer", "ETL Developer", "Senior Data Engineer", "QA", "Gardener", "engineer", "Bridge engineer"]
-    table = part.sparkSession.createDataFrame(ROLES, "place int, role string, synonyms array<string>, required array<string>, preferred array<string>")
-    roles = part.select(F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 7 + 1).cast("int")).alias("role"))
-    return P.role_skills(roles, "role", table).select("role", joined("skills").alias("skills"))
+    """Roles named after parts, with other words, other case and a part of their words, looked up in a table of parts."""
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    names = part.filter("p_size < 40").select("p_name").distinct()
+    table = names.select(
+        F.row_number().over(Window.orderBy("p_name")).alias("place"), F.col("p_name").alias("role"), F.array(text(name, " maker")).alias("synonyms"),
+        F.array(text("s_", F.replace(name, F.lit(" "), F.lit("_")))).alias("required"), F.array(F.lit("all")).alias("preferred"),
+    )
+    asked = F.when(k == 0, F.upper(name)).when(k == 1, text("Senior  ", name)).when(k == 2, text(name, " Maker")).when(k == 3, F.element_at(F.split(name, " "), -1)).otherwise(text("x", name))
+    return P.role_skills(part.select(asked.alias("role")), "role", table).select("role", joined("skills").alias("skills"))
 
 
 @query("orders", sql="""
@@ -198,10 +203,16 @@ def experience_variants(lineitem: DataFrame) -> DataFrame:
 
 
 @query("orders", sql="""
-SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 4.5 WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 3 THEN 12 END::double AS stated, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 2.5 END, CASE o_orderkey % 5 WHEN 0 THEN 4.5 WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 3 THEN 12 END)::double AS best FROM orders""")
+WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_custkey % 75 AS n, (o_custkey % 9) / 2.0::double AS h FROM orders),
+s AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN n BETWEEN 1 AND 60 THEN n END WHEN 1 THEN CASE WHEN h > 0 THEN h END WHEN 2 THEN CASE WHEN n BETWEEN 1 AND 60 THEN n ELSE CASE WHEN h > 0 THEN h END END WHEN 3 THEN n % 12 + 1 WHEN 4 THEN n % 30 + 2 END::double AS stated FROM o)
+SELECT o_orderkey, stated, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 2.5 END, stated)::double AS best FROM s""")
 def stated_experience(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    says = F.when(k == 0, "has 4.5+ years of experience").when(k == 1, "More than 7 years in trade").when(k == 2, "3 yrs exp with tools").when(k == 3, "Experience of 12 years").otherwise("99 years of experience")
+    """Years said in several ways, some too many, some of something else, some not at all."""
+    k, n, h = F.col("o_orderkey") % 7, F.col("o_custkey") % 75, (F.col("o_custkey") % 9) / 2.0
+    says = (
+        F.when(k == 0, text("has ", n, "+ years of experience")).when(k == 1, text("Over ", h, " yrs in trade")).when(k == 2, text(n, " years of work. Experience of\t", h, " years")).when(k == 3, text("total ~ ", n % 12 + 1, "years, aged 40 years"))
+        .when(k == 4, text("They bring a combined ", n % 30 + 2, " years.")).when(k == 5, text("born ", n, " years ago"))
+    )
     y = P.stated_years(says)
     return orders.select("o_orderkey", y.alias("stated"), P.best_years(F.when(F.col("o_orderkey") % 2 == 0, 2.5), y).alias("best"))
 
@@ -285,30 +296,47 @@ def date_parse(orders: DataFrame) -> DataFrame:
 
 
 @query("conversations", sql="""
-SELECT conv_id, turn, 'header' AS section, 'Name ' || role AS text FROM conversations UNION ALL SELECT conv_id, turn, 'skills', 'sql' || chr(10) || 'go ' || turn FROM conversations
-UNION ALL SELECT conv_id, turn, 'experience', 'Clerk ' || conv_id FROM conversations""")
+SELECT conv_id, turn, 'header' AS section, 'Name ' || role AS text FROM conversations
+UNION ALL SELECT conv_id, turn, 'skills', CASE WHEN turn % 3 = 0 THEN 'sql' || chr(10) || 'go ' || turn ELSE 'go ' || turn END FROM conversations
+UNION ALL SELECT conv_id, turn, 'experience', 'Clerk ' || conv_id FROM conversations WHERE turn % 3 < 2""")
 def resume_sections(conversations: DataFrame) -> DataFrame:
-    t = text("Name ", F.col("role"), "\nTechnical Skills:\nsql\n\n** Work Histroy **\nClerk ", F.col("conv_id"), "\nSkills\ngo ", F.col("turn"))
-    rows = conversations.select(F.struct("conv_id", "turn").alias("k"), t.alias("t"))
+    """Headings plain, with an edit and decorated; a section that repeats, one that is missing, in three shapes."""
+    k = F.col("turn") % 3
+    first, work = F.when(k == 0, "\nTechnical Skills:\nsql\n").otherwise("\n"), F.when(k < 2, text("\n** Work Histroy **\nClerk ", F.col("conv_id"))).otherwise("")
+    rows = conversations.select(F.struct("conv_id", "turn").alias("k"), text("Name ", F.col("role"), first, work, "\nSkills\ngo ", F.col("turn")).alias("t"))
     return T.split_sections(rows, "k", "t").select("k.conv_id", "k.turn", "section", "text")
 
 
-@query("conversations", sql="""
-SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.45 WHEN 2 THEN 0.0 ELSE 0.5 END::double AS score FROM conversations""")
-def heading_score(conversations: DataFrame) -> DataFrame:
-    k = F.col("turn") % 4
-    line = F.when(k == 0, "WORK EXPERIENCE:").when(k == 1, "Big Red Dog").when(k == 2, "and then we went to the market there today.").otherwise("skills")
-    return conversations.select("conv_id", "turn", T.header_score(line).alias("score"))
-
-
-@query("conversations", sql="""
-SELECT conv_id, turn, 'O,B-ROLE,I-ROLE,O,B-DATE' AS tags, 'O,B-ROLE,O,B-DATE,B-DEGREE' AS weak FROM conversations""")
+@query("part", sql="""
+WITH l AS (SELECT p_partkey, p_partkey % 6 AS k, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ':' WHEN 1 THEN array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], ' ') WHEN 2 THEN p_name || ' and ' || p_name || ' lie there.'
+  WHEN 3 THEN 'Skills: ' || p_name || ',' WHEN 4 THEN upper(p_name) || ' OF ' || p_type || ' AND MORE' ELSE p_name END AS line FROM part),
+n AS (SELECT *, len(string_split(line, ' ')) AS w FROM l)
+SELECT p_partkey, round(greatest(0, least(1, CASE WHEN w <= 3 THEN 0.3 WHEN w <= 6 THEN 0.15 ELSE 0 END + CASE k WHEN 0 THEN 0.3 WHEN 4 THEN 0.3 WHEN 1 THEN 0.15 ELSE 0 END + CASE WHEN k = 0 THEN 0.2 ELSE 0 END
+  + CASE WHEN k = 3 THEN 0.2 ELSE 0 END - CASE WHEN k IN (2, 3) THEN 0.3 ELSE 0 END)), 2)::double AS score FROM n""")
+def heading_score(part: DataFrame) -> DataFrame:
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    line = F.when(k == 0, text(F.upper(n), ":")).when(k == 1, F.initcap(n)).when(k == 2, text(n, " and ", n, " lie there.")).when(k == 3, text("Skills: ", n, ",")).when(k == 4, text(F.upper(n), " OF ", F.col("p_type"), " AND MORE")).otherwise(n)
+    return part.select("p_partkey", T.header_score(line).alias("score"))
+
+
+@query("conversations", sql=r"""
+WITH t AS (SELECT conv_id, turn, role, list_filter(regexp_extract_all(text, '\S+'), lambda x: true) AS w FROM conversations),
+o AS (SELECT conv_id, turn, role, unnest(w) AS token, unnest(range(len(w))) AS p FROM t),
+s AS (SELECT *, sum(length(token) + 1) OVER (PARTITION BY conv_id, turn ORDER BY p) - length(token) - 1 AS a FROM o),
+h AS (SELECT *, CASE WHEN a < 25 AND a + length(token) > 4 THEN 'ROLE' WHEN a < 61 AND a + length(token) > 30 + turn THEN 'DATE' END AS kind FROM s),
+g AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY p) AS before, lower(regexp_replace(token, '[.,;:]+$', '')) AS bare FROM h)
+SELECT conv_id, turn, string_agg(CASE WHEN kind IS NULL THEN 'O' WHEN kind = before THEN 'I-' || kind ELSE 'B-' || kind END, ',' ORDER BY p) AS tags,
+  string_agg(CASE WHEN regexp_matches(bare, '^(19|20)[0-9]{2}$') THEN 'B-DATE' WHEN bare IN ('the', 'die', 'que') THEN 'B-ROLE' WHEN bare IN ('in', 'en') THEN 'B-LOCATION' ELSE 'O' END, ',' ORDER BY p) AS weak FROM g GROUP BY 1, 2""")
 def span_tags(conversations: DataFrame) -> DataFrame:
-    span = lambda s, e, k=None: F.struct(*[F.lit(v).alias(n) for n, v in (("start", s), ("end", e), *((("type", k),) if k else ()))])
-    tokens = F.array(span(0, 3), span(4, 8), span(9, 14), span(15, 17), span(18, 22))
-    spans = F.array(span(4, 14, "ROLE"), span(18, 22, "DATE"))
-    weak = F.transform(F.array(*map(F.lit, ["the", "Clerk,", "in", "2019", "MBA"])), lambda w: T.weak_tags(w, ["clerk"], ["rome"]))
-    return conversations.select("conv_id", "turn", joined(G.tag_spans(tokens, spans)).alias("tags"), joined(weak).alias("weak"))
+    """Whole texts' tokens tagged by two spans, the second of which moves with the turn, and by single words."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    flat = conversations.select("conv_id", "turn", F.array_join(words, " ").alias("t"))
+    rows = T.tokens_with_offsets(flat.select(F.struct("conv_id", "turn").alias("k"), "t"), "k", "t")
+    tokens = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "token"))).alias("t"))
+    span = lambda a, b, kind: F.struct(a.cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(kind).alias("type"))
+    spans = F.array(span(F.lit(4), 25, "ROLE"), span(30 + F.col("k.turn"), 61, "DATE"))
+    weak = F.transform("t.token", lambda w: T.weak_tags(w, ["the", "die", "que"], ["in", "en"]))
+    return tokens.select("k.conv_id", "k.turn", joined(G.tag_spans(F.col("t"), spans)).alias("tags"), joined(weak).alias("weak"))
 
 
 _ENTS = "(SELECT lower(p_brand) AS text, CASE WHEN p_size % 2 = 0 THEN 'ORG' ELSE 'ROLE' END AS type FROM part UNION ALL SELECT p_size::varchar, 'DATE' FROM part WHERE p_size < 20)"
