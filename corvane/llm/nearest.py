@@ -194,7 +194,7 @@ def _pieces(rows: DataFrame, asks: DataFrame, shards: int, blocks: int) -> DataF
     return base.union(asks).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block")
 
 
-def fit_index(rows: DataFrame, width: int, total: int, k: int = 10, sample: int = 4096, asked: int = 96, target: float = 0.95, most: int = 512) -> tuple[tuple[np.ndarray, np.ndarray, int, int], float]:
+def fit_index(rows: DataFrame, width: int, total: int, k: int = 10, sample: int = 4096, asked: int = 96, target: float = 0.97, most: int = 512) -> tuple[tuple[np.ndarray, np.ndarray, int, int], float]:
     """Codes of ``rows`` (``vec_id, embedding``): learnt from ``sample`` rows, fitted to the exact neighbours, among all rows, of ``asked``;
     and the share of rows that a query meets, among the sampled ones."""
     some = drawn(rows.select("vec_id", "embedding"), "vec_id", sample, total).sort("vec_id", "embedding").toArrow()
@@ -251,7 +251,7 @@ def search(
     k: int = 10,
     sample: int = 4096,
     asked: int = 96,
-    target: float = 0.95,
+    target: float = 0.97,
     most: int = 512,
     shard_rows: int = 16_384,
     block_rows: int = 65_536,
