@@ -46,7 +46,7 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
 #: What each byte of UTF-8 becomes: A-Z lower-cased, bytes of no term blank. Bytes of characters beyond ASCII are all above 0x7F.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Counters of a task are handed on at this many entries.
-ENTRIES = 500_000
+ENTRIES = 300_000
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

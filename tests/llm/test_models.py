@@ -551,3 +551,23 @@ def test_stages_with_odd_rows(spark, tmp_path):
     assert ids(stages["minhash_near_dedup"](spark, df, "")) == ["1", "2", "3", "4", "6", "7", "None"]
     assert not {"1", "2", "3"} & set(ids(stages["mixing"](spark, df, "")))
     assert stages["packing"](spark, df, "").filter("start = 0").count() == 9
+
+
+def test_secrets_planted_in_documents(spark):
+    """Keys put into whole documents, half of them real and half look-alikes, behind a word of the text: what is found of each."""
+    import random
+
+    r = random.Random(5)
+    docs = [(x["doc_id"], x["text"] or "") for x in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    found = secrets.labelled_findings(len(docs), seed=777)
+    rows, truth = [], {}
+    for (i, t), (before, c, after, y, _) in zip(docs, found, strict=True):
+        words = t.split(" ")
+        at = r.randrange(len(words) + 1)
+        rows.append((i, " ".join([*words[:at], f"{before}{c}{after}", *words[at:]])))
+        truth[i] = (c, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: [s["secret"] for s in x["secrets"]] for x in secrets.scan(df, secrets.train(df)).collect()}
+    hit = {y: np.mean([any(c in s or s in c for s in got[i]) for i, (c, own) in truth.items() if own == y]) for y in (0, 1)}
+    print("planted keys found", hit)
+    assert hit[1] >= 0.9 and hit[0] <= 0.1
