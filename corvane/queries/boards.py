@@ -212,19 +212,37 @@ def xray_searches(nation: DataFrame) -> DataFrame:
 
 
 @query("customer", sql="""
-SELECT c_custkey, 'linkedin.com/in/c-' || c_custkey AS linkedin, 'github.com/c' || c_custkey AS github, 'https://site.org/p' || c_custkey AS sites, 'Rome, NY' AS place, '2020-01-02' AS dates, (c_custkey % 30 + 5)::int AS years FROM customer""")
+WITH c AS (SELECT c_custkey, c_custkey % 6 AS k, c_custkey AS i, lower(c_mktsegment) AS s, c_nationkey AS n FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'linkedin.com/in/c-' || i WHEN 1 THEN 'linkedin.com/in/' || s || '-' || n || ',linkedin.com/in/c-' || i WHEN 5 THEN NULL ELSE '' END AS linkedin,
+  CASE k WHEN 0 THEN 'github.com/c' || i WHEN 2 THEN 'github.com/' || s WHEN 5 THEN NULL ELSE '' END AS github,
+  CASE k WHEN 0 THEN 'https://site.org/p' || i WHEN 3 THEN 'https://' || s || '.org/a' || n || ',https://x.net/' || i WHEN 5 THEN NULL ELSE '' END AS sites,
+  CASE k WHEN 0 THEN 'Rome, NY' WHEN 4 THEN 'Oslo, TX' WHEN 5 THEN NULL ELSE '' END AS place,
+  CASE k WHEN 0 THEN '2020-01-02' WHEN 3 THEN (1990 + n) || '-0' || (n % 9 + 1) || '-15,2021-12-31' WHEN 5 THEN NULL ELSE '' END AS dates,
+  CASE k WHEN 0 THEN i % 30 + 5 WHEN 1 THEN n + 1 WHEN 4 THEN CASE WHEN i % 90 BETWEEN 1 AND 60 THEN i % 90 END END::int AS years FROM c""")
 def contact_extract(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
-    t = F.concat(F.lit("See https://linkedin.com/in/c-"), k, F.lit(" and https://github.com/c"), k, F.lit(", or https://site.org/p"), k, F.lit(". Lives in Rome, NY since 2020-01-02. 3 years, later "), (F.col("c_custkey") % 30 + 5).cast("string"), F.lit("+ years."))
-    out = customer.select("c_custkey", t.alias("t"))
+    """What texts say of persons: several hits, one, none, and null texts."""
+    k, i, n, s = F.col("c_custkey") % 6, F.col("c_custkey").cast("string"), F.col("c_nationkey"), F.lower("c_mktsegment")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said = (
+        F.when(k == 0, text("See https://linkedin.com/in/c-", i, " and https://github.com/c", i, ", or https://site.org/p", i, ". Lives in Rome, NY since 2020-01-02. 3 years, later ", F.col("c_custkey") % 30 + 5, "+ years."))
+        .when(k == 1, text("linkedin.com/in/", s, "-", n, " or linkedin.com/in/c-", i, ", again linkedin.com/in/c-", i, " for ", n + 1, " years"))
+        .when(k == 2, text("code at github.com/", s, ", no more")).when(k == 3, text("https://", s, ".org/a", n, ": https://x.net/", i, "? on ", n + 1990, "-0", n % 9 + 1, "-15 and 2021-12-31"))
+        .when(k == 4, text("From Oslo, TX, with ", F.col("c_custkey") % 90, " years"))
+    )
+    out = customer.select("c_custkey", said.alias("t"))
     every = lambda p: F.array_join(S.extract_all(F.col("t"), p), ",")
     return out.select("c_custkey", every(S.LINKEDIN).alias("linkedin"), every(S.GITHUB).alias("github"), F.array_join(S.websites(F.col("t")), ",").alias("sites"), every(S.CITY_STATE).alias("place"), every(S.DATE).alias("dates"), S.years_of_experience(F.col("t")).alias("years"))
 
 
 @query("customer", sql="""
-SELECT c_custkey, 'Work Of ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || chr(10) || '- built things and ran them' || chr(10) || '- it''s "done", café ' || c_custkey AS body FROM customer""")
+WITH c AS (SELECT *, c_custkey % 4 AS k, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'Work Of ' || seg || chr(10) || '- built things and ran them' || chr(10) || '- it''s "done", café ' || c_custkey WHEN 1 THEN 'plain ' || lower(c_mktsegment) || ' goes on, and on' || chr(10) || 'Ends ' || c_nationkey
+  WHEN 2 THEN seg || chr(10) || '- a ' || c_nationkey || chr(10) || '- b' END AS body FROM c""")
 def text_repair(customer: DataFrame) -> DataFrame:
-    t = F.concat(F.lit("WORK OF "), "c_mktsegment", F.lit("  \n\u2022 built things and\nran  them\n\u25cf itâ€™s \u201cdone\u201d, cafÃ© "), F.col("c_custkey").cast("string"), F.lit(" \n"))
+    """Misread signs, lists, lines that go on and titles in capitals; texts with none of these, and null ones."""
+    k, seg, i, n = F.col("c_custkey") % 4, F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    first = F.concat(F.lit("WORK OF "), seg, F.lit("  \n\u2022 built things and\nran  them\n\u25cf itâ€™s \u201cdone\u201d, cafÃ© "), i, F.lit(" \n"))
+    t = F.when(k == 0, first).when(k == 1, F.concat(F.lit("plain "), F.lower(seg), F.lit(" goes on,\nand   on\nEnds "), n)).when(k == 2, F.concat(seg, F.lit("\n\u2022 a "), n, F.lit("\n\u25cf b  ")))
     return customer.select("c_custkey", S.repair_text(t).alias("body"))
 
 
