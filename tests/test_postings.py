@@ -57,14 +57,14 @@ def test_phones(spark):
 
 def test_education_over_lines(spark):
     texts = [
-        "Education\nB.Tech (CSE)\nIIT Delhi\n2012-2016\nCGPA: 8.4/10", "Worked as a master of ceremonies at hotel", "MIT\nPh.D in Physics | 2001\n\n\n3.9 gpa\nMBA, Some University, 75%", None, "",
+        "Education\nB.Tech (CSE)\nIIT Nordwind\n2012-2016\nCGPA: 8.4/10", "Worked as a master of ceremonies at hotel", "MIT\nPh.D in Physics | 2001\n\n\n3.9 gpa\nMBA, Some University, 75%", None, "",
         "Be there at 9.\nBE\nSt. Mary College (2009)\nM.A. in Art, grade 4.5", "Diploma\n" + "x" * 400, "Bachelor of Arts\nBachelor of Arts",
     ]
     got = {}
     for r in E.education_records(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect():
         got.setdefault(r["k"], []).append((r["degree"], r["field"], r["institution"], r["start_year"], r["end_year"], r["gpa"], r["scale"]))
     assert got == {
-        0: [("B.Tech", "CSE", "IIT Delhi", 2012, 2016, 8.4, 10.0)], 2: [("Ph.D", "Physics", "MIT", None, 2001, None, None), ("MBA", None, "Some University", None, None, 75.0, 100.0)],
+        0: [("B.Tech", "CSE", "IIT Nordwind", 2012, 2016, 8.4, 10.0)], 2: [("Ph.D", "Physics", "MIT", None, 2001, None, None), ("MBA", None, "Some University", None, None, 75.0, 100.0)],
         5: [("BE", None, "St. Mary College", None, 2009, None, None), ("M.A.", "Art", None, None, None, 4.5, 5.0)], 6: [("Diploma", None, None, None, None, None, None)],
         7: [("Bachelor of Arts", None, None, None, None, None, None)] * 2,
     }
@@ -74,7 +74,7 @@ def test_histories_in_ordinary_layouts(spark):
     """The usual layouts, each as one text: title, company, start, current and details."""
     texts = [
         "Software Engineer\nAcme Ltd\nSept 2018 - Mar 2020\n- did a\n• did b\nAnalyst\nBeta Group\nMar'19 – till date\n* c", "Jan. 2019 - Present\nSenior Developer\nHarbour 12\nbuilt many things there.\n02/2016 - 12/2018\nDeveloper @ Nova Systems",
-        "Company: Acme\nRole: Clerk\nDuration: since 2017\nResponsibilities:\n- x\nCompany: Nova\nRole: Lead\nDuration: 2012 to 2016", "Manager @ Infosys  Mumbai  2019  Present\nEnvironment: Java\nDeveloper, Amazon, 2014 - 2016",
+        "Company: Acme\nRole: Clerk\nDuration: since 2017\nResponsibilities:\n- x\nCompany: Nova\nRole: Lead\nDuration: 2012 to 2016", "Manager @ Nordwind  Hamburg  2019  Present\nEnvironment: Java\nDeveloper, Amazon, 2014 - 2016",
         None, "", "Skills\nJava\nEducation\nB.Tech 2012-2016", "Clerk\n" + "\n".join(f"- line {i}" for i in range(3000)), "Clerk | Shop | 2001 - 2002\nClerk | Shop | 2001 - 2002",
     ]
     got = {}
@@ -82,7 +82,7 @@ def test_histories_in_ordinary_layouts(spark):
         got.setdefault(r["k"], []).append((r["title"], r["company"], str(r["start"])[:7], r["current"], len(r["details"])))
     assert got == {
         0: [("Software Engineer", "Acme Ltd", "2018-09", False, 2), ("Analyst", "Beta Group", "2019-03", True, 1)], 1: [("Senior Developer", "Harbour 12", "2019-01", True, 1), ("Developer", "Nova Systems", "2016-02", False, 0)],
-        2: [("Clerk", "Acme", "2017-01", True, 2), ("Lead", "Nova", "2012-01", False, 0)], 3: [("Manager", "Infosys", "2019-01", True, 1), ("Developer", "Amazon", "2014-01", False, 0)],
+        2: [("Clerk", "Acme", "2017-01", True, 2), ("Lead", "Nova", "2012-01", False, 0)], 3: [("Manager", "Nordwind", "2019-01", True, 1), ("Developer", "Amazon", "2014-01", False, 0)],
         7: [("Clerk", None, "None", False, 3000)], 8: [("Clerk", "Shop", "2001-01", False, 0)] * 2,
     }
 
