@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.dates import DATE
 from corvane.functions.lists import extraction_quality
 from corvane.functions.strings import EMAIL, squeeze
 from corvane.functions.udfs import likeness
@@ -17,11 +18,8 @@ COMMON = (
 )
 SECTIONS = ("experience", "education", "skills", "summary", "objective", "projects", "certifications", "awards", "languages", "interests", "references")
 
-#: Signs of structure: (name, pattern, how many more the original may have).
-SIGNS = [
-    ("bullets", r"[•*+►▸▶→-]", 5), ("tables", r"\t{2,}|\|{2,}", 0), ("dates", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{4}|\b[0-9]{4}\s*[-–—]\s*(?:[0-9]{4}|present)\b", 2),
-    ("addresses", EMAIL, 0), ("phones", r"\+?[0-9][0-9\s()-]{7,}[0-9]", 0),
-]
+#: Signs of structure: (name, pattern, how many more the original may have): lines that begin as a list, empty or tabbed cells, dates, addresses, numbers in groups.
+SIGNS = [("bullets", r"(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]", 5), ("tables", r"\t\t+|\|\|+", 0), ("dates", f"(?i){DATE}", 2), ("addresses", EMAIL, 0), ("phones", r"\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}", 0)]
 
 
 def words_lost(original: Column, rebuilt: Column) -> Column:

@@ -100,8 +100,8 @@ def _rebuilt(documents: DataFrame) -> DataFrame:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS a, coalesce(regexp_replace(regexp_replace(text, '(?m)^.*[0-9].*$', '', 'g'), '[\t\n\f\r \x0b•*+-]+', ' ', 'g'), '') AS b FROM documents),
 w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(a), '\p{L}{3,}')) AS x FROM d EXCEPT SELECT doc_id, unnest(regexp_extract_all(lower(b), '\p{L}{3,}')) FROM d)
   WHERE x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'have', 'has', 'had', 'was', 'were', 'been', 'are', 'will', 'would', 'could', 'should', 'may', 'might', 'can', 'must', 'shall') GROUP BY 1)
-SELECT doc_id, coalesce(n, 0)::int AS n_words, CASE WHEN contains(lower(a), 'skills') THEN 1 ELSE 0 END::int AS n_skills, len(regexp_extract_all(a, '[•*+►▸▶→-]')) > len(regexp_extract_all(b, '[•*+►▸▶→-]')) + 5 AS bullets,
-  len(regexp_extract_all(a, '\+?[0-9][0-9\s()-]{7,}[0-9]')) > len(regexp_extract_all(b, '\+?[0-9][0-9\s()-]{7,}[0-9]')) AS phones, length(a) - length(replace(a, chr(10), '')) > 0 AS lines FROM d LEFT JOIN w USING (doc_id)""")
+SELECT doc_id, coalesce(n, 0)::int AS n_words, CASE WHEN contains(lower(a), 'skills') THEN 1 ELSE 0 END::int AS n_skills, len(regexp_extract_all(a, '(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]')) > len(regexp_extract_all(b, '(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]')) + 5 AS bullets,
+  len(regexp_extract_all(a, '\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}')) > len(regexp_extract_all(b, '\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}')) AS phones, length(a) - length(replace(a, chr(10), '')) > 0 AS lines FROM d LEFT JOIN w USING (doc_id)""")
 def text_losses(documents: DataFrame) -> DataFrame:
     d = _rebuilt(documents)
     a, b = F.coalesce("text", F.lit("")), F.coalesce("rebuilt", F.lit(""))
