@@ -16,7 +16,10 @@ from corvane.functions.udfs import likeness
 COMMON = (
     "the", "and", "for", "with", "this", "that", "from", "have", "has", "had", "was", "were", "been", "are", "will", "would", "could", "should", "may", "might", "can", "must", "shall",
 )
-SECTIONS = ("experience", "education", "skills", "summary", "objective", "projects", "certifications", "awards", "languages", "interests", "references")
+SECTIONS = (
+    "experience", "education", "skills", "summary", "objective", "projects", "certifications", "awards", "publications", "professional experience", "work experience", "employment history",
+    "academic background", "qualifications", "technical skills",
+)
 
 #: Signs of structure: (name, pattern, how many more the original may have): lines that begin as a list, empty or tabbed cells, dates, addresses, numbers in groups.
 SIGNS = [("bullets", r"(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]", 5), ("tables", r"\t\t+|\|\|+", 0), ("dates", f"(?i){DATE}", 2), ("addresses", EMAIL, 0), ("phones", r"\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}", 0)]
