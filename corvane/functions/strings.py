@@ -77,12 +77,12 @@ def real_emails(html: Column, fakes: Sequence[str] = ("example.", "sentry", "wix
 
 
 #: A telephone number: ten digits or more in one, or groups of two to four, in brackets or not, with a sign or space between; the first may be a country's.
-PHONE = r"\+?(?:[0-9]{10,15}|\(?[0-9]{1,4}\)?(?:(?:[ .-]|(?<=\)))\(?[0-9]{2,4}\)?){2,5})"
+GROUPED_PHONE = r"\+?(?:[0-9]{10,15}|\(?[0-9]{1,4}\)?(?:(?:[ .-]|(?<=\)))\(?[0-9]{2,4}\)?){2,5})"
 
 
 def real_phones(html: Column) -> Column:
     """Telephone numbers of a page as written, each once: of 10 to 15 digits, not of one digit alone, nor part of a longer number."""
-    found = F.regexp_extract_all(html, F.lit(rf"(?<![0-9.+-]){PHONE}(?![0-9]|[.-][0-9])"), F.lit(0))
+    found = F.regexp_extract_all(html, F.lit(rf"(?<![0-9.+-]){GROUPED_PHONE}(?![0-9]|[.-][0-9])"), F.lit(0))
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
     return F.array_distinct(F.filter(found, lambda x: F.length(digits(x)).between(10, 15) & ~digits(x).rlike(r"^([0-9])\1+$")))
 
