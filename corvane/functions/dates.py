@@ -14,8 +14,10 @@ _YEAR = r"(?:19|20)[0-9]{2}"
 DATE = rf"(?:{_MONTH}[., -]{{0,3}}(?:{_YEAR}|['’][0-9]{{2}})|(?:0?[1-9]|1[0-2])[/-]{_YEAR}|{_YEAR}[/-](?:1[0-2]|0[1-9])(?:-[0-3][0-9])?|{_YEAR})"
 #: Words for the present.
 PRESENT = r"(?:present|current(?:ly)?|now|today|ongoing|till (?:date|now)|to date)"
-#: From a date, if not since one, until a date or the present.
-SPAN = rf"(?i)\b(?:since +{DATE}|(?:from +)?{DATE}(?:\s*(?:[-–—]|to|until|till)\s*|\s+)(?:{DATE}|{PRESENT}))\b"
+_UNTIL = r"\s*(?:[-–—]|to|until|till)\s*"
+#: From a date, if not since one, until a date or the present; blanks alone join two dates, unless the second begins a span of its own
+#: ('Harbour 2042  1986 - 1988' is from 1986).
+SPAN = rf"(?i)\b(?:since +{DATE}|(?:from +)?{DATE}(?:{_UNTIL}|\s+(?!{DATE}(?:{_UNTIL}{DATE}|(?:{_UNTIL}|\s+){PRESENT})\b))(?:{DATE}|{PRESENT}))\b"
 
 
 def seconds_between(a: Column, b: Column) -> Column:

@@ -55,6 +55,13 @@ def test_records_of_odd_lines(spark):
     assert got == [(1, 0, "Clerk", "Shop", "2019-01-01", "2020-03-01", False), (1, 3, "Baker", "Mill", "2010-05-01", "2024-01-01", True)]
 
 
+def test_number_of_a_firm_is_no_start(spark):
+    """A number like a year before a span of dates belongs to the name; two dates with a blank between are a span still."""
+    text = "Clerk @ Harbour 2042  1986 - 1988\n\n\nClerk @ Harbour 1999  2001 till date\n\n\nBaker @ Mill  2001  2003\n"
+    got = [(r["company"], str(r["start"]), str(r["end"]), r["current"]) for r in H.experience_records(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", "2024-01-01").orderBy("place").collect()]
+    assert got == [("Harbour 2042", "1986-01-01", "1988-01-01", False), ("Harbour 1999", "2001-01-01", "2024-01-01", True), ("Mill", "2001-01-01", "2003-01-01", False)]
+
+
 def test_items_with_digits_are_trimmed_of_blanks_only(spark):
     df = spark.createDataFrame([("0 at first. 1 then 1. 2 last 2",)], "t string")
     assert df.select(R.sentences(F.col("t"))).first()[0] == ["0 at first.", "1 then 1.", "2 last 2"]
