@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.lists import bound
+from corvane.operators.rows import small
 
 #: Words that head a section.
 HEADINGS = [
@@ -133,10 +134,11 @@ def section_fit(counts: DataFrame, key: str, prints: DataFrame) -> DataFrame:
     """
     broken = lambda n: ((n < F.col("low")) | (n > F.col("high"))).cast("int")
     empty = prints.groupBy("section").agg(F.sum(broken(F.lit(0))).alias("none"))
-    own = counts.join(prints, "type").groupBy(key, "section").agg(F.sum(broken(F.col("n")) - broken(F.lit(0))).alias("more"))
-    every = counts.select(key).distinct().join(empty.groupBy().agg(F.collect_list(F.struct("section", "none")).alias("s")))  # one row of all sections
-    every = every.select(key, F.inline("s"))
-    bad = every.join(own, [key, "section"], "left").withColumn("v", F.col("none") + F.coalesce("more", F.lit(0)))
+    more = prints.select("section", "type", "low", "high")
+    # every row meets all sections, then its type's ranges: both tables are small and go to the rows, which stay where they are
+    met = counts.select(key, "type", "n").join(small(empty)).join(small(more), ["section", "type"], "left")
+    own = F.coalesce(broken(F.col("n")) - broken(F.lit(0)), F.lit(0))
+    bad = met.groupBy(key, "section").agg((F.max("none") + F.sum(own)).alias("v"))
     return bad.groupBy(key).agg(F.min(F.struct("v", "section")).alias("m")).select(key, F.col("m.section").alias("section"), F.col("m.v").alias("violations"))
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.udfs import reading_order, sequence_ratio
 from corvane.operators import matching, resumes
+from corvane.queries import QUERIES
+from tests.conftest import DATA
 
 TEXT = "Ann Lee\nann@x.com\n\nSUMMARY\nEngineer.\n\nWork Experience:\nAcme, 2019\nBeta, 2020\n\nEducation\nBSc\n\nSkills\nJava, C++\n\nEXPERIENCE\nGamma, 2022"
 
@@ -64,3 +66,10 @@ def test_project_and_role_scores(spark):
         matching.role_score(F.lit("Senior Java Developer"), "java engineer"), matching.role_score(F.lit("java tester"), "java engineer"),
     ).first()
     assert list(r) == [40.0, 50.0, 50.0, 100.0, 30.0]
+
+
+@pytest.mark.parametrize("name", ["section_fit", "merged_by_policy"])
+def test_tables_of_rules_go_to_the_rows(spark, name):
+    """No large side is dealt out over the few keys of a table of rules."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
