@@ -1,5 +1,8 @@
 """Resume text, matching and the pandas functions."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,26 @@ def test_tables_of_rules_go_to_the_rows(spark, name):
     """No large side is dealt out over the few keys of a table of rules."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_nearest_within_in_blocks(spark):
+    """Against a plain reading, with null, zero, shorter and repeated vectors; a meeting of two blocks is one product, not a row for each pair."""
+    rng = random.Random(5)
+    vectors = {i: [float(rng.randint(-2, 2)) for _ in range(3 if i % 9 == 4 else 4)] for i in range(90)} | {90: None, 91: [0.0] * 4, 92: [1.0, None, 1.0, 1.0], 93: [1.0] * 4, 94: [1.0] * 4}
+    df = spark.createDataFrame([(i, i % 3 if i < 90 else 7, v) for i, v in vectors.items()], "k long, g int, v array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or None in a + b or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))), 9)
+
+    got = matching.nearest_within(df.filter("k % 2 = 0 or k > 90"), df, "k", "g", "v", 4, block=10)
+    near = {}
+    for r in got.orderBy("k", F.desc("sim"), "other").collect():
+        near.setdefault(r["k"], []).append((r["other"], r["sim"]))
+    for i in near:
+        all_ = [(j, cosine(vectors[i], w)) for j, w in vectors.items() if j != i and (j % 3 if j < 90 else 7) == (i % 3 if i < 90 else 7)]
+        assert near[i] == sorted(all_, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:4]
+    assert len(near) == 45 + 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan
