@@ -18,24 +18,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.rows import small
+
 
 def merge_by_policy(values: DataFrame, policy: DataFrame) -> DataFrame:
     """``key, field, value, source, conflict``; ``policy(field, rule, sources array, least)``."""
     v = values.select("key", "source", "field", F.trim("value").alias("value"), "score").filter("value <> ''")
-    # one row a field: small as a rule, but left to the optimiser, which knows its size
     p = policy.select("field", "rule", "sources", F.col("least").cast("double").alias("least"))
-    met = v.join(p, "field", "left").fillna("first", ["rule"])
+    met = v.join(small(p), "field", "left").fillna("first", ["rule"])
     place = F.coalesce(F.nullif(F.array_position("sources", F.col("source")), F.lit(0)), F.lit(1 << 30))
     met = met.withColumn("place", place).withColumn("folded", F.lower("value"))
     doubt = F.when(F.col("rule") == "confident", (~F.coalesce(F.col("score") >= F.col("least"), F.lit(False))).cast("int")).otherwise(0)
     size = F.when(F.col("rule") == "longest", -F.length("value")).otherwise(0)
     rank = F.struct(doubt.alias("a"), size.cast("long").alias("b"), F.col("place").alias("c"), F.col("source").alias("d"), F.col("value").alias("e"))
-    # equal values first, case aside, with their votes; then the best of them, and whether there are several
-    same = met.filter("rule <> 'union'").groupBy("key", "field", "rule", "folded").agg(F.min(rank).alias("m"), F.count_distinct("source").alias("votes"))
+    # equal values first, case aside, with their votes where votes count; then the best of them, and whether there are several
+    votes = F.when(F.col("rule") == "common", F.col("folded"))
+    plain = met.filter("rule <> 'union'").select("key", "field", "rule", "folded", "source", votes.alias("voted"), rank.alias("m"))
+    dealt = plain.repartition("key", "field")  # the groups below are all within a key and field, and their rows move once
+    same = dealt.groupBy("key", "field", "rule", "voted", "source").agg(F.min("m").alias("m"), F.min("folded").alias("low"), F.max("folded").alias("high"))
+    same = same.groupBy("key", "field", "rule", "voted").agg(F.min("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("source").alias("votes"))
     best = F.struct(F.col("m.a").alias("a"), F.when(F.col("rule") == "common", -F.col("votes")).otherwise(F.col("m.b")).alias("b"), F.col("m.c").alias("c"), F.col("m.d").alias("d"), F.col("m.e").alias("e"))
-    one = same.groupBy("key", "field").agg(F.min(best).alias("m"), (F.count(F.lit(1)) > 1).alias("conflict"))
+    one = same.groupBy("key", "field").agg(F.min(best).alias("m"), (F.min("low") < F.max("high")).alias("conflict"))
     one = one.select("key", "field", F.col("m.e").alias("value"), F.col("m.d").alias("source"), "conflict")
-    items = met.filter("rule = 'union'").select("key", "field", "place", "source", F.posexplode(F.split("value", r"\s*;\s*")).alias("at", "item")).filter("item <> ''")
+    lists = met.filter("rule = 'union'").select("key", "field", "place", "source", "value").repartition("key", "field")
+    items = lists.select("key", "field", "place", "source", F.posexplode(F.split("value", r"\s*;\s*")).alias("at", "item")).filter("item <> ''")
     first = items.groupBy("key", "field", F.lower("item").alias("folded")).agg(F.min(F.struct("place", "source", "at", "item")).alias("m"), F.collect_set("source").alias("from"))
     listed: Column = F.array_sort(F.collect_list("m"))
     many = first.groupBy("key", "field").agg(listed.alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("from")))).alias("s"))
