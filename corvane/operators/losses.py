@@ -40,9 +40,11 @@ def sections_lost(original: Column, found: Column, names: Sequence[str] = SECTIO
 
 def structure_lost(original: Column, rebuilt: Column) -> Column:
     """Names of what the rebuilt text has too little of: bullets, tables, dates, addresses, phones, lines (under half)."""
-    n = lambda t, p: F.regexp_count(t, F.lit(p))
+    # a text without a sign's characters is not searched for it
+    barren = lambda t, name: ~t.contains("@") if name == "addresses" else ~t.rlike("[0-9]") if name in ("dates", "phones") else F.lit(False)
+    n = lambda t, p, name: F.when(barren(t, name), 0).otherwise(F.regexp_count(t, F.lit(p)))
     breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    found = [F.when(n(original, p) > n(rebuilt, p) + more, F.lit(name)) for name, p, more in SIGNS]
+    found = [F.when(n(original, p, name) > n(rebuilt, p, name) + more, F.lit(name)) for name, p, more in SIGNS]
     return F.array_compact(F.array(*found, F.when(breaks(original) > 2 * breaks(rebuilt), F.lit("lines"))))
 
 

@@ -103,7 +103,7 @@ w AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_al
 SELECT doc_id, coalesce(n, 0)::int AS n_words, CASE WHEN contains(lower(a), 'skills') THEN 1 ELSE 0 END::int AS n_skills, len(regexp_extract_all(a, '(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]')) > len(regexp_extract_all(b, '(?m)^[ \t]*[-–•*+►▸▶→▪◦][ \t]')) + 5 AS bullets,
   len(regexp_extract_all(a, '\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}')) > len(regexp_extract_all(b, '\+?\(?[0-9]{2,4}\)?(?:[ -][0-9]{2,4}){2,4}')) AS phones, length(a) - length(replace(a, chr(10), '')) > 0 AS lines FROM d LEFT JOIN w USING (doc_id)""")
 def text_losses(documents: DataFrame) -> DataFrame:
-    d = _rebuilt(documents)
+    d = _rebuilt(spread(documents))
     a, b = F.coalesce("text", F.lit("")), F.coalesce("rebuilt", F.lit(""))
     lost = F.array_contains
     out = d.select("doc_id", Q.words_lost(a, b).alias("w"), Q.sections_lost(a, F.col("found")).alias("s"), Q.structure_lost(a, b).alias("x"))
@@ -113,7 +113,7 @@ def text_losses(documents: DataFrame) -> DataFrame:
 @query("documents")
 def extraction_quality(documents: DataFrame) -> DataFrame:
     """Likeness and quality of each document against what was rebuilt from it; tested against a plain table of common subsequences."""
-    out = Q.compare(spread(_rebuilt(documents)), "doc_id", "text", "rebuilt", "found")
+    out = Q.compare(_rebuilt(spread(documents)), "doc_id", "text", "rebuilt", "found")
     return out.select("doc_id", F.round("likeness", 6).alias("likeness"), F.round("quality", 6).alias("quality"))
 
 
