@@ -239,7 +239,7 @@ def job_parse(part: DataFrame) -> DataFrame:
     years = F.when(F.col("p_partkey") % 3 == 0, text(F.col("p_size") % 9 + 1, "-", F.col("p_size") % 9 + 4, " years")).otherwise(text(F.col("p_size") % 9 + 1, "+ years"))
     kind = F.when(F.col("p_partkey") % 2 == 0, "contract").otherwise("full-time")
     t = text("Job title: Senior ", F.col("p_brand"), " Engineer\nCompany: Maker ", F.col("p_size"), "\nLocation: Town ", F.col("p_partkey") % 9, "\nA ", kind, " post, $", F.col("p_size") + 50, ",000 - $", F.col("p_size") + 90, ",000. Needs ", years, " and a bachelor degree; SQL, C++.\n- keep ", F.lower("p_type"), " lines\n- test\nNice to have: Spark and SQL")
-    out = P.parse_job(part.select("p_partkey", t.alias("t")), "p_partkey", "t", ["sql", "c++", "spark", "rust"])
+    out = P.parse_job(spread(part).select("p_partkey", t.alias("t")), "p_partkey", "t", ["sql", "c++", "spark", "rust"])
     return out.withColumns({"required": joined("required"), "preferred": joined("preferred"), "duties": F.array_join("duties", ";")})
 
 
