@@ -41,8 +41,9 @@ def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:
 def skills_in(text: Column, skills: Sequence[str]) -> Column:
     """Skills that the text names as whole words, in the given order."""
     t = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9+#.]+", " "), F.lit(" "))
-    t = F.regexp_replace(t, "\\. ", " ")
-    return F.filter(F.array(*[F.lit(s) for s in skills]), lambda s: t.contains(F.concat(F.lit(" "), F.lower(s), F.lit(" "))))
+    names = F.array(*[F.lit(s) for s in skills])
+    # the text is squeezed once, not once a skill
+    return bound(F.regexp_replace(t, "\\. ", " "), lambda t: F.filter(names, lambda s: F.contains(t, F.concat(F.lit(" "), F.lower(s), F.lit(" ")))))
 
 
 def without_skills(text: Column, skills: Sequence[str]) -> Column:

@@ -99,3 +99,15 @@ def test_nearest_within_in_blocks(spark):
     assert len(near) == 45 + 5
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CoGroups" in plan
+
+
+@pytest.mark.parametrize("name", ["job_parse", "skills_named", "text_losses"])
+def test_small_tables_are_read_by_all_cores(spark, name):
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_skills_bind_the_squeezed_text_once(spark):
+    df = spark.createDataFrame([("Go. C++, the  SQL.\n",), (None,), ("",)], "t string").select(resumes.skills_in(F.col("t"), ["sql", "C++", "go", "t"]).alias("s"))
+    assert [r[0] for r in df.collect()] == [["sql", "C++", "go"], [], []]
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("transform(") < text.index("regexp_replace") < text.index("filter(")
