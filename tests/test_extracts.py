@@ -111,3 +111,8 @@ def test_skills_bind_the_squeezed_text_once(spark):
     assert [r[0] for r in df.collect()] == [["sql", "C++", "go"], [], []]
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("transform(") < text.index("regexp_replace") < text.index("filter(")
+
+
+def test_vectors_move_in_their_own_type(spark):
+    plan = QUERIES["greedy_assignment"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan
