@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,13 @@ from pyspark.sql.types import StringType
 
 #: A token: a word, or a sign that is neither part of a word nor white space.
 TOKEN = r"\w+|[^\w\s]"
-_TOKEN = re.compile(TOKEN)
 _BITS = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What a character is: part of a word, one whose lower case hangs on its neighbours or is longer, a sign; not met yet.
+_SPACE, _WORD, _ODD, _SIGN, _NEW = 0, 1, 3, 4, 255
+#: By code point, filled as characters are met: what it is, and its lower case (0 for white space).
+_KINDS = np.full(0x110000, _NEW, dtype=np.uint8)
+_NUMBERS = np.zeros(0x110000, dtype=np.uint64)
 
 
 def _squeezed(term: str) -> str:
@@ -39,15 +44,59 @@ def _squeezed(term: str) -> str:
     return " ".join(term.lower().split())
 
 
-def _codes(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Tokens' spans, and a number of each token that also says whether white space stands before it."""
-    spans, codes, end = [], [], 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        codes.append(zlib.crc32(m.group().lower().encode("utf-8", "surrogatepass")) << 1 | (a > end))
-        spans.append((a, b))
-        end = b
-    return spans, np.array(codes, dtype=np.uint64)
+def _met(points: np.ndarray) -> np.ndarray:
+    """What each of the characters is."""
+    kinds = _KINDS[points]
+    if (new := kinds == _NEW).any():
+        for p in np.unique(points[new]).tolist():
+            c = chr(p)
+            odd = c == "\u03a3" or len(c.lower()) > 1  # capital sigma, dotted capital I
+            _KINDS[p] = _SPACE if re.match(r"\s", c) else _SIGN if not re.match(r"\w", c) else _ODD if odd else _WORD
+            if _KINDS[p] != _SPACE and not odd:
+                _NUMBERS[p] = ord(c.lower())
+        kinds = _KINDS[points]
+    return kinds
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _places(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inner, last = np.zeros(len(kinds), dtype=bool), kinds != _SPACE
+    inner[1:] = kinds[1:] & kinds[:-1] & _WORD  # a word goes on
+    starts = np.flatnonzero(last & ~inner)
+    last[:-1] &= ~inner[1:]
+    return starts, np.flatnonzero(last) + 1
+
+
+def token_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the text's tokens begin and end, as ``TOKEN`` finds them."""
+    return _places(_met(_points(text)))
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a number, and those that undo them."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n - 1, x, dtype=np.uint64)))) for x in (_STEP, pow(int(_STEP), -1, 1 << 64)))
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens' starts and ends, and a number of each token's lower case that also says whether white space stands before it."""
+    points = _points(text)
+    kinds = _met(points)
+    starts, ends = _places(kinds)
+    if not len(starts):
+        return starts, ends, np.zeros(0, dtype=np.uint64)
+    powers, undone = _powers(1 << len(points).bit_length())
+    codes = np.add.reduceat(_NUMBERS[points] * powers[: len(points)], starts) * undone[starts]
+    odd = kinds == _ODD
+    for i in np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1).tolist() if odd.any() else ():
+        low = _points(text[starts[i] : ends[i]].lower())
+        _met(low)
+        codes[i] = (_NUMBERS[low] * powers[: len(low)]).sum()
+    spaced = starts > np.concatenate(([0], ends[:-1]))
+    return starts, ends, (codes ^ codes >> np.uint64(32)) << np.uint64(1) | spaced.astype(np.uint64)
 
 
 def _runs(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -67,7 +116,7 @@ def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits, longest = np.zeros(_BITS, dtype=bool), 0
     for batch in batches:
         for term in batch.column(0).to_pylist():
-            _, codes = _codes(term)
+            *_, codes = _codes(term)
             longest = max(longest, len(codes))
             bits[[int(h[0]) for n, h in _runs(codes, len(codes)) if n == len(codes)]] = True
     yield pa.RecordBatch.from_arrays([pa.array([longest]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], ["longest", "bits"])
@@ -95,15 +144,14 @@ def _candidates(longest: int, bits: np.ndarray):
                 part = batch.slice(at, 256)
                 keys, starts, ends, runs = [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    spans, codes = _codes(text or "")
+                    begin, end, codes = _codes(text or "")
                     for n, h in _runs(codes, longest):
                         hit = np.flatnonzero(bits[h >> np.uint64(3)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8)) & 1)
-                        for j in hit.tolist():
-                            a, b = spans[j][0], spans[j + n - 1][1]
-                            keys.append(i)
-                            starts.append(a)
-                            ends.append(b)
-                            runs.append(_squeezed(text[a:b]))
+                        a, b = begin[hit].tolist(), end[hit + n - 1].tolist()
+                        keys += [i] * len(a)
+                        starts += a
+                        ends += b
+                        runs += [_squeezed(text[x:y]) for x, y in zip(a, b, strict=True)]
                 taken = part.column(0).take(pa.array(keys, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(runs, pa.string())], ["key", "start", "end", "run"])
 
@@ -124,14 +172,18 @@ def _leftmost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def likely_matches(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """``key, start, end, run`` of every run of words that may be a term of ``terms(term)``; a join by ``run`` leaves those that are."""
+    longest, bits = _bitmap(terms)
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string"))
+    return rows.mapInArrow(_candidates(longest, bits), f"key {kind}, start int, end int, run string")
+
+
 def all_matches(df: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """``key, start, end, run`` of every place where a term of the dictionary stands, overlapping ones too; ``run`` is its compared form."""
     known = terms.select(F.col(term).cast("string").alias("term")).filter(F.col("term").rlike(r"\S")).distinct()
-    longest, bits = _bitmap(known)
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string"))
-    found = rows.mapInArrow(_candidates(longest, bits), f"key {kind}, start int, end int, run string")
-    return found.join(with_runs(known).select("run").distinct(), "run").select("key", "start", "end", "run")
+    return likely_matches(df, key, text, known).join(with_runs(known).select("run").distinct(), "run").select("key", "start", "end", "run")
 
 
 def with_runs(terms: DataFrame) -> DataFrame:

@@ -196,8 +196,8 @@ def _labelled_terms(benchmark: DataFrame) -> DataFrame:
 @query("documents", "benchmark")
 def weak_labels(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Tags of several tokens from a dictionary table and patterns, overlaps settled by weight; tested against every choice of spans."""
-    patterns = [("NAME", r"\b[A-ZÀ-Þ]\w+(?: [A-ZÀ-Þ]\w+)+", 2), ("DATE", r"\b(?:19|20)[0-9]{2}\b", 5), ("MAIL", r"[\w.+-]+@[\w-]+\.[a-z]{2,}", 5)]
+    patterns = [("NAME", r"\b[A-ZÀ-Þ]\w+(?: [A-ZÀ-Þ]\w+)+", 2), ("DATE", r"\b(?:19|20)[0-9]{2}\b", 5, "19", "20"), ("MAIL", r"[\w.+-]+@[\w-]+\.[a-z]{2,}", 5, "@")]
     spans = L.settled(L.weak_spans(documents, "doc_id", "text", _labelled_terms(benchmark), patterns), "doc_id")
-    tags = L.tags(documents, "doc_id", "text", spans)
-    n = lambda kind: F.size(F.filter("tags", lambda t: t == kind)).alias(kind.replace("-", "_").lower())
+    tags = L.tags(documents, "doc_id", "text", spans).select("doc_id", "tags", F.array_remove("tags", "O").alias("marked"))
+    n = lambda kind: F.size(F.filter("marked", lambda t: t == kind)).alias(kind.replace("-", "_").lower())
     return tags.select("doc_id", F.size("tags").alias("n_tokens"), *[n(k) for k in ("B-PHRASE", "I-PHRASE", "B-WORD", "B-NAME", "I-NAME", "B-DATE", "B-MAIL")], F.md5(F.array_join("tags", ",")).alias("tags_md5"))

@@ -1,10 +1,13 @@
 """Weak labels against every choice of spans, and odd texts."""
 
 import random
+import re
+import time
 from itertools import combinations
 
 import pytest
 
+from corvane.operators import dictionary as D
 from corvane.operators import weak_labels as L
 from corvane.queries import QUERIES
 from tests.conftest import DATA
@@ -59,3 +62,53 @@ def test_query(spark):
     rows = QUERIES["weak_labels"](spark, DATA).collect()
     assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert sum(r["b_phrase"] for r in rows) > 0 and sum(r["b_name"] for r in rows) > 0 and all(r["i_phrase"] == r["b_phrase"] or r["b_phrase"] for r in rows)
+
+
+def test_settled_over_batches_equals_each_text_by_itself(spark):
+    rng = random.Random(5)
+    rows = [(k, a := rng.randrange(200), a + rng.randint(1, 12), rng.choice("XYZ"), rng.randint(0, 4)) for k in (None, *range(30)) for _ in range(rng.choice((1, 3, 60)))]
+    df = spark.createDataFrame(rows + rows[::7], "k long, start int, end int, label string, priority int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, L.settled(df, "k").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = [(k, *s[:3]) for k in {r[0] for r in rows} for s in L.heaviest(sorted({r[1:] for r in rows if r[0] == k}, key=lambda s: (s[1], s[0], s[2], s[3])))]
+    assert got == sorted(wanted, key=str)
+
+
+ODD = ["", "Ünï_1 ΟΔΟΣ, ΣΑΣ'Α İstanbul x y", " a.b-c  C++\t\n", "é 日本語 🙂🙂 \x1c\x1fz²", "x" * 5000 + " ̇İΣ"]
+
+
+def test_token_places_are_those_of_the_pattern():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    for text in [*ODD, every, *every[:3000]]:
+        assert list(zip(*(x.tolist() for x in D.token_places(text)), strict=True)) == [m.span() for m in re.finditer(D.TOKEN, text)]
+
+
+def test_equal_tokens_have_equal_codes():
+    seen = {}
+    for text in [*ODD, *map(str.upper, ODD), *map(str.lower, ODD), "οδος odos οδοσ i̇stanbul"]:
+        for a, b, code in zip(*(x.tolist() for x in D._codes(text)), strict=True):
+            seen.setdefault(text[a:b].lower(), set()).add(code >> 1)
+    assert all(len(codes) == 1 for codes in seen.values()) and len({min(codes) for codes in seen.values()}) == len(seen) > 20
+
+
+def test_steps_are_made_for_a_text_not_for_a_token():
+    """A text is coded, and its tags made, by a few steps over all its characters: well under the time of a step in Python for each token."""
+    text = "some of these words or others of them 12 " * 20_000
+    D._codes(text)
+    took = {}
+    for name, run in (("codes", lambda: D._codes(text)), ("places", lambda: D.token_places(text)), ("pattern", lambda: [(m.span(), m.group().lower()) for m in re.finditer(D.TOKEN, text)])):
+        began = time.process_time()
+        run()
+        took[name] = time.process_time() - began
+    assert took["codes"] < took["pattern"] and took["places"] < took["pattern"] / 2
+
+
+def test_patterns_with_signs_find_the_same(spark):
+    df = spark.createDataFrame([(1, "a@b.de in 1999"), (2, "none 3019 here"), (3, None), (4, "2020 x@y.com")], "k long, t string")
+    terms = spark.createDataFrame([], "term string, label string, priority int")
+    plain = [("DATE", r"\b(?:19|20)[0-9]{2}\b", 5), ("MAIL", r"[\w.+-]+@[\w-]+\.[a-z]{2,}", 5)]
+    found = [sorted(map(tuple, L.weak_spans(df, "k", "t", terms, p).collect())) for p in (plain, [(*plain[0], "19", "20"), (*plain[1], "@")])]
+    assert found[0] == found[1] and len(found[0]) == 4
