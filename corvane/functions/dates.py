@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.lists import bound
+from corvane.functions.lists import bound_as
 
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -32,32 +32,46 @@ def days_before(c: Column, now: str) -> Column:
 
 
 def _date(t: Column) -> Column:
-    """The day that a lower-case text in the form of ``DATE`` names; the first where it gives no day or month."""
-    year = F.when(t.rlike(_YEAR), F.regexp_extract(t, _YEAR, 0).try_cast("int")).otherwise(bound(F.right(t, F.lit(2)).try_cast("int"), lambda y: y + F.when(y < 50, 2000).otherwise(1900)))
-    named = F.when(t.rlike("^[a-z]"), ((F.instr(F.lit(MONTHS), F.substring(t, 1, 3)) + 2) / 3).cast("int"))
-    month = F.coalesce(named, F.regexp_extract(t, "^([0-9]{1,2})[/-]", 1).try_cast("int"), F.regexp_extract(t, "^[0-9]{4}[/-]([0-9]{2})", 1).try_cast("int"), F.lit(1))
-    return F.when(t.rlike("-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date")).otherwise(F.make_date(year, month, F.lit(1)))
+    """The day that a lower-case text in the form of ``DATE`` names; the first where it gives no day or month; null before 1980.
+
+    Parts are cut out by place and only digits are cast: a cast that fails costs far more than all else here.
+    """
+    part = lambda at, n: F.substring(t, at, n).cast("int")
+    first = lambda y, m: F.make_date(y, m, F.lit(1))
+    named = ((F.instr(F.lit(MONTHS), F.substring(t, 1, 3)) + 2) / 3).cast("int")
+    tens = bound_as("int", part(-2, 2), lambda y: y + F.when(y < 50, 2000).otherwise(1900))
+    day = (
+        F.when(t >= "a", first(F.when(t.contains("'") | t.contains("’"), tens).otherwise(part(-4, 4)), named))
+        .when(F.length(t) == 4, first(part(1, 4), F.lit(1)))
+        .when(F.substring(t, 2, 1).isin("/", "-"), first(part(-4, 4), part(1, 1)))
+        .when(F.substring(t, 3, 1).isin("/", "-"), first(part(-4, 4), part(1, 2)))
+        .when(t.rlike("-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date"))
+        .otherwise(first(part(1, 4), part(6, 2)))
+    )
+    return bound_as("date", day, lambda d: F.when(F.year(d) >= 1980, d))
 
 
 def parse(c: Column, now: str) -> Column:
     """A date in one of the usual forms (``DATE``); words for the present mean ``now``; years before 1980 and other texts give null."""
 
     def read(t: Column) -> Column:
-        found = bound(F.when(t.rlike(f"^{DATE}$"), _date(t)), lambda d: F.when(F.year(d) >= 1980, d))
-        return F.when(t.rlike(f"^{PRESENT}$"), F.lit(now).cast("date")).otherwise(found)
+        return F.when(t.rlike(f"^{PRESENT}$"), F.lit(now).cast("date")).when(t.rlike(f"^{DATE}$"), _date(t))
 
-    return bound(F.lower(F.trim(c)), read)
+    return bound_as("date", F.lower(F.trim(c)), read)
 
 
 def ends_of(span: Column, now: str) -> Column:
     """``struct(start, end, current)`` of a text that ``SPAN`` matches, or of one date, which is a start; nulls for others."""
 
     def read(t: Column) -> Column:
-        current = t.rlike(rf"^since|{PRESENT}$")
-        dates = F.transform(F.regexp_extract_all(t, F.lit(DATE), F.lit(0)), lambda d: parse(d, now))
-        return F.struct(F.get(dates, F.lit(0)).alias("start"), F.when(current, F.lit(now).cast("date")).otherwise(F.get(dates, F.lit(1))).alias("end"), current.alias("current"))
+        return bound_as(kind, F.regexp_extract_all(t, F.lit(DATE), F.lit(0)), lambda dates: bound_as(kind, t.startswith("since") | ((F.right(t, F.lit(1)) > "9") & t.rlike(f"{PRESENT}$")), lambda current: ends(dates, current)))
 
-    return bound(F.lower(F.trim(span)), read)
+    def ends(dates: Column, current: Column) -> Column:
+        nth = lambda i: bound_as("date", F.get(dates, F.lit(i)), _date)
+        return F.struct(nth(0).alias("start"), F.when(current, F.lit(now).cast("date")).otherwise(nth(1)).alias("end"), current.alias("current"))
+
+    kind = "struct<start:date,end:date,current:boolean>"
+    return bound_as(kind, F.lower(F.trim(span)), read)
 
 
 def range_of(c: Column, now: str) -> Column:

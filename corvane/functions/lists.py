@@ -14,6 +14,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def bound_as(kind: str, value: Column, f: Callable[[Column], Column]) -> Column:
+    """``bound`` for a result of the SQL type ``kind``, by a fold over one value: what ``f`` gives is kept as it is, where an array's items are copied."""
+    return F.aggregate(F.array(value), F.expr(f"cast(null as {kind})"), lambda _, v: f(v))
+
+
 def none() -> Column:
     return F.array().cast("array<string>")
 

@@ -135,8 +135,7 @@ FROM r"""
 @query("orders", sql=_SHAPES.format(now=NOW))
 def experience_records(orders: DataFrame) -> DataFrame:
     out = H.experience_records(_history(spread(orders)), "o_orderkey", "text", NOW)
-    nth = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("place"))
-    return out.select("o_orderkey", nth.alias("nth"), "title", "company", "start", "end", "current", F.array_join("details", "/").alias("details"))
+    return out.select("o_orderkey", "nth", "title", "company", "start", "end", "current", F.array_join("details", "/").alias("details"))
 
 
 def _schooling(customer: DataFrame) -> DataFrame:

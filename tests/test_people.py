@@ -62,6 +62,19 @@ def test_number_of_a_firm_is_no_start(spark):
     assert got == [("Harbour 2042", "1986-01-01", "1988-01-01", False), ("Harbour 1999", "2001-01-01", "2024-01-01", True), ("Mill", "2001-01-01", "2003-01-01", False)]
 
 
+def test_records_are_numbered_within_their_text(spark):
+    """Numbers come from the text itself, so that rows of one key keep theirs apart and no row moves to be numbered."""
+    text = "Clerk at Shop (Jan 2019 - Mar 2020)\n- sold\nBaker | Mill | 05/2010 to Present\n\n\nDriver, Nova Bank, Mar’98 – till now"
+    out = H.experience_records(spark.createDataFrame([(1, text), (1, "Baker | Mill | 2001 - 2002"), (2, None)], "k int, t string"), "k", "t", "2024-01-01")
+    got = sorted((r["nth"], r["title"], r["company"], str(r["start"]), str(r["end"]), r["current"], r["details"]) for r in out.collect())
+    assert got == [
+        (1, "Baker", "Mill", "2001-01-01", "2002-01-01", False, []), (1, "Clerk", "Shop", "2019-01-01", "2020-03-01", False, ["sold"]), (2, "Baker", "Mill", "2010-05-01", "2024-01-01", True, []),
+        (3, "Driver", "Nova Bank", "1998-03-01", "2024-01-01", True, []),
+    ]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_items_with_digits_are_trimmed_of_blanks_only(spark):
     df = spark.createDataFrame([("0 at first. 1 then 1. 2 last 2",)], "t string")
     assert df.select(R.sentences(F.col("t"))).first()[0] == ["0 at first.", "1 then 1.", "2 last 2"]
